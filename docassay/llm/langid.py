@@ -90,8 +90,23 @@ def hashed(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(buckets), np.concatenate(owners)
 
 
+def _pieces(texts: list[str]) -> tuple[list[str], np.ndarray]:
+    """Texts longer than a chunk in pieces, and the text each piece belongs to."""
+    out, owner = [], []
+    for i, t in enumerate(texts):
+        for k in range(0, max(1, len(t)), CHUNK_CHARS):
+            out.append(t[k : k + CHUNK_CHARS])
+            owner.append(i)
+    return out, np.array(owner, np.int64)
+
+
 def scores(texts: list[str], model: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(log score of each text by language, number of its n-grams)."""
+    if any(len(t) > CHUNK_CHARS for t in texts):
+        pieces, of = _pieces(texts)
+        by_piece, n = scores(pieces, model)
+        total = np.stack([np.bincount(of, by_piece[:, i], len(texts)) for i in range(model.shape[1])], 1)
+        return total, np.bincount(of, n, len(texts)).astype(np.int64)
     total, count = np.zeros((len(texts), model.shape[1])), np.zeros(len(texts), np.int64)
     start = 0
     while start < len(texts):
@@ -142,8 +157,11 @@ def _counts(pages: DataFrame, model: np.ndarray | None) -> np.ndarray:
                 best, _ = decide(*scores(texts, sent.value))
                 keep = best == label
                 texts, label = [t for t, k in zip(texts, keep, strict=True) if k], label[keep]
-            bucket, owner = hashed(texts)
-            sums += np.bincount(label[owner] * BUCKETS + bucket, minlength=sums.size).reshape(sums.shape) if len(bucket) else 0
+            texts, of = _pieces(texts)
+            label = label[of]
+            for k in range(0, len(texts), 500):
+                bucket, owner = hashed(texts[k : k + 500])
+                sums += np.bincount(label[k + owner] * BUCKETS + bucket, minlength=sums.size).reshape(sums.shape) if len(bucket) else 0
         lang, bucket = np.nonzero(sums)
         yield pa.RecordBatch.from_arrays([pa.array(lang, pa.int32()), pa.array(bucket, pa.int32()), pa.array(sums[lang, bucket])], names=["lang", "bucket", "n"])
 
