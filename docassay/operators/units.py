@@ -11,8 +11,12 @@ extra columns are ignored.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import cut
+
 # Dimension, value of one unit in the base unit of its dimension, offset added after
 # scaling, and the spellings of the unit (lower case, superscripts and micro signs as ASCII).
 UNITS = [
@@ -83,112 +87,95 @@ def _scale(word: str) -> str:
         else coalesce(try_cast(trim(substr({word}, 2)) as double), 1D) end"""
 
 
-#: The quantities with the dimension of their common unit, and one pattern that finds any of them.
-COMMON = """
-target AS (
-  SELECT t.quantity, lower(t.quantity) AS q, t.common_unit, u.dimension, u.factor AS to_factor, u.shift AS to_shift
-  FROM (SELECT DISTINCT quantity, common_unit FROM unit_targets WHERE quantity IS NOT NULL) t
-  JOIN alias u ON u.alias = {alias_of_target}
-),
-known AS (
-  SELECT array_join(transform(array_sort(collect_set(q), (a, b) -> length(b) - length(a)), x -> replace(x, ' ', '\\\\s+')), '|') AS pattern FROM target
-)"""
-
 MANTISSA = r"[-+−]?[0-9](?:[0-9.,'' ]*[0-9])?"
 EXPONENT = r"\\s*[eE][-+]?[0-9]+|\\s*[x×]\\s*10\\^?[-−]?[0-9]+"
 
 VALUES_SQL = """
 WITH alias AS (SELECT * FROM {alias_rows}),
-{common},
+target AS (SELECT t.*, u.dimension, u.factor AS to_factor, u.shift AS to_shift FROM {target_rows} JOIN alias u ON u.alias = {alias_of_target}),
 plain AS (
   SELECT cell_id, doc_id, table_index, row_index, greatest(coalesce(row_span, 1), 1) AS row_span, col_index,
-         trim(translate(text, '\\u00a0\\u202f\\u2009\\u2007', '    ')) AS text
-  FROM cells_once WHERE text IS NOT NULL
+         trim(translate(text, '\u00a0\u202f\u2009\u2007', '    ')) AS text
+  FROM cells WHERE text IS NOT NULL
 ),
 split AS (
-  SELECT p.*,
-    regexp_replace(lower(regexp_extract(text, concat('^(?i:(', (SELECT pattern FROM known), '))(?![0-9A-Za-z])'), 1)), '\\\\s+', ' ') AS header_q,
-    regexp_extract(text, concat('^(?i:', (SELECT pattern FROM known), ')[\\\\s,/:(\\\\[-]*(.*?)[\\\\s)\\\\]]*$'), 1) AS header_unit
-  FROM plain p
-),
--- header and unit row of each column
-heads AS (
-  SELECT s.doc_id, s.table_index, s.col_index, t.quantity, t.dimension, t.to_factor, t.to_shift, t.common_unit, s.header_unit
-  FROM (SELECT doc_id, table_index, col_index, min_by(header_q, row_index) AS header_q, min_by(header_unit, row_index) AS header_unit
-        FROM split WHERE header_q <> '' AND col_index > 0 GROUP BY doc_id, table_index, col_index) s
-  JOIN target t ON t.q = s.header_q
-),
-unit_rows AS (
-  SELECT doc_id, table_index, col_index, collect_set(text) AS texts
-  FROM split JOIN (SELECT DISTINCT alias FROM alias WHERE alias <> '1') u ON u.alias = {alias_of_row}
-  WHERE header_q = '' AND col_index > 0 GROUP BY doc_id, table_index, col_index
-),
-titles AS (
-  SELECT doc_id, table_index, regexp_replace(lower(regexp_extract(part, '^\\\\s*(.+?)\\\\s+in\\\\s+(.+?)\\\\s*$', 1)), '\\\\s+', ' ') AS q,
-         min(regexp_extract(part, '^\\\\s*(.+?)\\\\s+in\\\\s+(.+?)\\\\s*$', 2)) AS unit
-  FROM (SELECT doc_id, table_index, explode(split(text, ';')) AS part FROM split WHERE header_q = '' AND text LIKE '%;% in %')
-  WHERE part RLIKE '\\\\sin\\\\s' GROUP BY ALL
+  SELECT *,
+    regexp_replace(lower(regexp_extract(text, '^(?i:({quantities}))(?![0-9A-Za-z])', 1)), '\\\\s+', ' ') AS header_q,
+    regexp_extract(text, '^(?i:{quantities})[\\\\s,/:(\\\\[-]*(.*?)[\\\\s)\\\\]]*$', 1) AS header_unit
+  FROM plain
 ),
+-- what stands around the values of a table: headers and unit rows by column, units of quantities in titles
 around AS (
-  SELECT h.*, coalesce(nullif(h.header_unit, ''), r.texts[0], t.unit) AS around_unit
-  FROM heads h
-  LEFT JOIN unit_rows r ON r.doc_id = h.doc_id AND r.table_index = h.table_index AND r.col_index = h.col_index
-  LEFT JOIN titles t ON t.doc_id = h.doc_id AND t.table_index = h.table_index AND t.q = lower(h.quantity)
+  SELECT doc_id, table_index,
+    array_distinct(flatten(collect_list(CASE WHEN header_q = '' AND text LIKE '%;% in %' THEN
+      transform(filter(split(text, ';'), p -> p RLIKE '^\\\\s*.+?\\\\s+in\\\\s+.+'), p -> struct(
+        regexp_replace(lower(regexp_extract(p, '^\\\\s*(.+?)\\\\s+in\\\\s+(.+?)\\\\s*$', 1)), '\\\\s+', ' ') AS key, regexp_extract(p, '^\\\\s*(.+?)\\\\s+in\\\\s+(.+?)\\\\s*$', 2) AS value)) END))) AS titles,
+    collect_set(CASE WHEN header_q <> '' AND col_index > 0 THEN struct(col_index, row_index, header_q, header_unit) END) AS heads,
+    collect_set(CASE WHEN header_q = '' AND col_index > 0 AND s_alias IS NOT NULL THEN struct(col_index, text) END) AS unit_rows
+  FROM (SELECT split.*, u.alias AS s_alias FROM split LEFT JOIN (SELECT DISTINCT alias FROM alias WHERE alias <> '1') u ON u.alias = {alias_of_row})
+  WHERE header_q <> '' OR s_alias IS NOT NULL OR text LIKE '%;% in %'
+  GROUP BY doc_id, table_index
+),
+columns AS (
+  SELECT h.*, t.quantity, t.dimension, t.to_factor, t.to_shift, t.common_unit FROM (
+    SELECT doc_id, table_index, head.col_index, head.header_q,
+      coalesce(nullif(head.header_unit, ''), try_element_at(filter(unit_rows, u -> u.col_index = head.col_index), 1).text, try_element_at(filter(titles, p -> p.key = head.header_q), 1).value) AS around_unit
+    FROM around LATERAL VIEW explode(filter(heads, h -> NOT exists(heads, o -> o.col_index = h.col_index AND o.row_index < h.row_index))) AS head
+    WHERE size(heads) > 0) h
+  JOIN target t ON t.q = h.header_q
 ),
 tags AS (
   SELECT doc_id, table_index, row_at, min_by(text, row_index) AS tag
-  FROM (SELECT *, explode(sequence(row_index, row_index + row_span - 1)) AS row_at FROM split WHERE col_index = 0 AND text <> '')
+  FROM (SELECT *, explode(sequence(row_index, row_index + row_span - 1)) AS row_at FROM plain WHERE col_index = 0 AND text <> '')
   GROUP BY doc_id, table_index, row_at
 ),
--- number and unit of a data cell
+-- number and unit of a data cell: one rewriting puts the parts in one order (form, number, exponent, unit); generators
+-- of one row keep the optimizer from writing it out at every later use
 numbers AS (
-  SELECT cell_id, doc_id, table_index, row_index, col_index, text,
-    regexp_extract(text, '{feet}', 1) AS feet, regexp_extract(text, '{feet}', 2) AS inches,
-    regexp_extract(text, '{feet}', 3) AS upper_part, regexp_extract(text, '{feet}', 4) AS lower_part,
-    text RLIKE '^[(].*[)]' AS minus,
-    nullif(regexp_extract(text, '{suffix}', 1), '') AS suffix_number, regexp_extract(text, '{suffix}', 2) AS suffix_exponent, regexp_extract(text, '{suffix}', 3) AS suffix_unit,
-    nullif(regexp_extract(text, '{prefix}', 2), '') AS prefix_number, regexp_extract(text, '{prefix}', 3) AS prefix_exponent, regexp_extract(text, '{prefix}', 1) AS prefix_unit
-  FROM split WHERE col_index > 0 AND header_q = '' AND text RLIKE '[0-9]'
+  SELECT cell_id, doc_id, table_index, row_index, col_index, text, p FROM plain LATERAL VIEW explode(array(split(CASE
+      WHEN text RLIKE '{feet}' THEN regexp_replace(text, '{feet}', 'F|$1|$2|$3|$4')
+      WHEN text RLIKE '{suffix}' THEN regexp_replace(text, '{suffix}', 'S|$1|$2|$3')
+      WHEN text RLIKE '{prefix}' THEN regexp_replace(text, '{prefix}', 'S|$2|$3|$1') END, '[|]', -1))) AS p
+  WHERE col_index > 0 AND text RLIKE '[0-9]'
 ),
 chosen AS (
-  SELECT cell_id, doc_id, table_index, row_index, col_index, text, minus, feet, inches, upper_part, lower_part,
-    CASE WHEN feet <> '' THEN 'ft' WHEN suffix_number IS NOT NULL THEN nullif(suffix_unit, '') ELSE nullif(prefix_unit, '') END AS own_unit,
-    translate(coalesce(suffix_number, prefix_number), '−', '-') AS mantissa,
-    try_cast(regexp_extract(translate(CASE WHEN suffix_number IS NOT NULL THEN suffix_exponent ELSE prefix_exponent END, '−', '-'), '([-+]?[0-9]+)$', 1) AS int) AS exponent
-  FROM numbers
+  SELECT cell_id, doc_id, table_index, row_index, col_index, text, p, m, text RLIKE '^[(].*[)]' AS minus, p[1] RLIKE '['' ]' AS grouped,
+    CASE WHEN p[0] = 'F' THEN 'ft' ELSE nullif(p[3], '') END AS own_unit
+  FROM numbers LATERAL VIEW explode(array(regexp_replace(translate(p[1], '−', '-'), '['' ]', ''))) AS m
+  WHERE p IS NOT NULL
 ),
 read AS (
-  SELECT *, CASE
-      WHEN feet <> '' THEN try_cast(feet AS double) + (coalesce(try_cast(nullif(inches, '') AS double), 0D)
-           + coalesce(try_divide(try_cast(nullif(upper_part, '') AS double), try_cast(nullif(lower_part, '') AS double)), 0D)) / 12D
-      ELSE try_cast({plain_number} AS double) * power(10D, coalesce(exponent, 0)) * CASE WHEN minus THEN -1D ELSE 1D END END AS number
+  SELECT cell_id, doc_id, table_index, row_index, col_index, text, own_unit, CASE
+      WHEN p[0] = 'F' THEN try_cast(m AS double) + (coalesce(try_cast(nullif(p[2], '') AS double), 0D)
+           + coalesce(try_divide(try_cast(nullif(p[3], '') AS double), try_cast(nullif(p[4], '') AS double)), 0D)) / 12D
+      ELSE try_cast({plain_number} AS double) * CASE WHEN p[2] = '' THEN 1D ELSE power(10D, coalesce(try_cast(regexp_extract(translate(p[2], '−', '-'), '([-+]?[0-9]+)$', 1) AS int), 0)) END * CASE WHEN minus THEN -1D ELSE 1D END END AS number
   FROM chosen
 )
-SELECT r.cell_id, r.doc_id, r.table_index, r.row_index, r.col_index, g.tag, a.quantity, r.text, r.number,
+SELECT DISTINCT r.cell_id, r.doc_id, r.table_index, r.row_index, r.col_index, g.tag, a.quantity, r.text, r.number,
        coalesce(r.own_unit, a.around_unit, CASE WHEN a.dimension = 'ratio' THEN '1' END) AS unit,
        ((CASE WHEN r.own_unit IS NULL THEN {scale_around} ELSE 1D END * r.number * f.factor + f.shift) - a.to_shift) / a.to_factor AS value,
        a.common_unit
 FROM read r
-JOIN around a ON a.doc_id = r.doc_id AND a.table_index = r.table_index AND a.col_index = r.col_index
-JOIN tags g ON g.doc_id = r.doc_id AND g.table_index = r.table_index AND g.row_at = r.row_index
+JOIN columns a ON a.doc_id = r.doc_id AND a.table_index = r.table_index AND a.col_index = r.col_index
 JOIN alias f ON f.dimension = a.dimension AND f.alias = {alias_of_unit}
+JOIN tags g ON g.doc_id = r.doc_id AND g.table_index = r.table_index AND g.row_at = r.row_index
 WHERE r.number IS NOT NULL
 """
 
 RULES_SQL = """
 WITH alias AS (SELECT * FROM {alias_rows}),
-{common},
+target AS (SELECT t.*, u.dimension, u.factor AS to_factor, u.shift AS to_shift FROM {target_rows} JOIN alias u ON u.alias = {alias_of_target}),
 stated AS (
   SELECT rule_no, numeric_limit_params.parameter_name AS parameter_name, numeric_limit_params.limit_value AS number,
-    regexp_replace(lower(regexp_extract(numeric_limit_params.parameter_name, concat('(?i:(?:^|\\\\s)(', (SELECT pattern FROM known), '))\\\\s*$'), 1)), '\\\\s+', ' ') AS q,
+    regexp_replace(lower(regexp_extract(numeric_limit_params.parameter_name, '(?i:(?:^|\\\\s)({quantities}))\\\\s*$', 1)), '\\\\s+', ' ') AS q,
     coalesce(
       nullif(regexp_extract(title, '[(\\\\[]([^()\\\\[\\\\]]+)[)\\\\]]\\\\s*$', 1), ''),
       nullif(regexp_extract(message_template, '[{{]limit[}}]\\\\s*([^{{}}]*?)\\\\s*(?:\\\\bof\\\\b|\\\\bor\\\\b|[.,;]|$)', 1), ''),
       nullif(regexp_extract(recommendation_template, '[{{]limit[}}]\\\\s*([^{{}}]*?)\\\\s*(?:\\\\bof\\\\b|\\\\bor\\\\b|[.,;]|$)', 1), ''),
       nullif(replace(regexp_extract(numeric_limit_params.pattern, '[)]\\\\\\\\s[*]([^()\\\\[\\\\]]+)$', 1), '\\\\', ''), '')) AS unit
-  FROM (SELECT DISTINCT rule_no, numeric_limit_params, title, message_template, recommendation_template FROM rules WHERE kind = 'numeric_limit')
+  FROM rules WHERE kind = 'numeric_limit'
 )
-SELECT s.rule_no, s.parameter_name, t.quantity, s.number, coalesce(s.unit, CASE WHEN t.dimension = 'ratio' THEN '1' END) AS unit,
+SELECT DISTINCT s.rule_no, s.parameter_name, t.quantity, s.number, coalesce(s.unit, CASE WHEN t.dimension = 'ratio' THEN '1' END) AS unit,
        (s.number * f.factor + f.shift - t.to_shift) / t.to_factor AS value, t.common_unit
 FROM stated s JOIN target t ON t.q = s.q
 JOIN alias f ON f.dimension = t.dimension AND f.alias = {alias_of_unit}
@@ -218,7 +205,7 @@ def _plain_number() -> str:
     With both marks the later one is the decimal mark; a mark that repeats parts thousands; a lone
     comma before exactly three final digits parts thousands unless spaces or apostrophes already do.
     """
-    m, grouped = "regexp_replace(mantissa, '['' ]', '')", "mantissa RLIKE '['' ]'"
+    m, grouped = "m", "grouped"
     tail = lambda mark: f"length(substring_index({m}, '{mark}', -1))"
     return f"""CASE
         WHEN {m} LIKE '%,%' AND {m} LIKE '%.%' AND {tail(',')} < {tail('.')} THEN replace(replace({m}, '.', ''), ',', '.')
@@ -230,17 +217,26 @@ def _plain_number() -> str:
         ELSE {m} END"""
 
 
-def _common() -> str:
-    return COMMON.format(alias_of_target=_alias("t.common_unit"))
+def _targets(unit_targets: DataFrame) -> dict[str, str]:
+    """The quantities (a small fixed table) as an inline relation, and one pattern that finds any of them."""
+    rows = sorted({(r.quantity, r.common_unit) for r in unit_targets.where("quantity IS NOT NULL AND common_unit IS NOT NULL").select("quantity", "common_unit").collect()})
+    quoted = lambda x: "'" + x.replace("\\", "\\\\").replace("'", "''") + "'"
+    values = ", ".join(f"({quoted(q)}, {quoted(' '.join(q.lower().split()))}, {quoted(u)})" for q, u in rows) or "('', '\\u0000', '')"
+    names = sorted({" ".join(q.split()) for q, _ in rows}, key=lambda q: (-len(q), q)) or ["\\u0000"]
+    pattern = "|".join("\\\\s+".join(re.escape(w).replace("\\", "\\\\") for w in q.split()) for q in names).replace("'", "''")
+    return {"target_rows": f"(VALUES {values}) AS t(quantity, q, common_unit)", "quantities": pattern, "alias_of_target": _alias("t.common_unit"), "alias_rows": alias_rows()}
 
 
 def cell_values(spark: SparkSession, cells: DataFrame, unit_targets: DataFrame) -> DataFrame:
-    """Each readable table cell of a known quantity with its value in the common unit."""
-    cells.select("cell_id", "doc_id", "table_index", "text", "row_index", "col_index", "row_span").dropDuplicates(["cell_id"]).createOrReplaceTempView("cells_once")
-    unit_targets.createOrReplaceTempView("unit_targets")
+    """Each readable table cell of a known quantity with its value in the common unit.
+
+    The cells are read three times (values, tags, surroundings) and joined on their table; what stands
+    around the values of a table is few cells, however many rows the table has.
+    """
+    cells.createOrReplaceTempView("cells")
     feet = r"^([0-9]+)\\s*(?:''|ft|feet)\\s*-?\\s*([0-9]+)?\\s*(?:([0-9]+)/([0-9]+))?\\s*(?:\"|in|inch)$"
     sql = VALUES_SQL.format(
-        alias_rows=alias_rows(), common=_common(), feet=feet,
+        **_targets(unit_targets), feet=feet,
         suffix=rf"^[(]?({MANTISSA})({EXPONENT})?[)]?\\s*([^0-9\\s.,'')].*)?$",
         prefix=rf"^([^0-9\\s(+−-].*?)\\s+({MANTISSA})({EXPONENT})?$",
         plain_number=_plain_number(),
@@ -254,19 +250,17 @@ def cell_values(spark: SparkSession, cells: DataFrame, unit_targets: DataFrame)
 def rule_values(spark: SparkSession, rules: DataFrame, unit_targets: DataFrame) -> DataFrame:
     """Each numeric rule limit with its value in the common unit; the unit is read from the rule's texts."""
     rules.createOrReplaceTempView("rules")
-    unit_targets.createOrReplaceTempView("unit_targets")
-    return spark.sql(
-        RULES_SQL.format(alias_rows=alias_rows(), common=_common(), alias_of_unit=_alias("coalesce(s.unit, CASE WHEN t.dimension = 'ratio' THEN '1' END)"))
-    )
+    return spark.sql(RULES_SQL.format(**_targets(unit_targets), alias_of_unit=_alias("coalesce(s.unit, CASE WHEN t.dimension = 'ratio' THEN '1' END)")))
 
 
 def equal_quantities(spark: SparkSession, cells: DataFrame, rules: DataFrame, unit_targets: DataFrame) -> DataFrame:
     """Pairs (kind, key_a, key_b) that record one quantity with values within the tolerance.
 
     A range join: values fall into logarithmic bands a little wider than the tolerance, so equal ones
-    lie in one band or in neighbours, and an equi-join on the band meets each pair once.
+    lie in one band or in neighbours, and an equi-join on the band meets each pair once. The values are
+    written to the shared folder first, as both sides of the join read them.
     """
     by_cell = cell_values(spark, cells, unit_targets).selectExpr("'cell' AS kind", "tag AS owner", "quantity", "cell_id AS key", "value")
     by_rule = rule_values(spark, rules, unit_targets).selectExpr("'rule' AS kind", "parameter_name AS owner", "quantity", "rule_no AS key", "value")
-    by_cell.unionByName(by_rule).where("value IS NOT NULL AND NOT isnan(value)").createOrReplaceTempView("normalised")
+    cut(by_cell.unionByName(by_rule).where("value IS NOT NULL AND NOT isnan(value)")).createOrReplaceTempView("normalised")
     return spark.sql(PAIRS_SQL.format(width=1.1 * TOLERANCE, tolerance=TOLERANCE))
