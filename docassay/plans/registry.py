@@ -1,5 +1,5 @@
 """The query modules of the library."""
 
-from . import core_training, relational
+from . import analyzers, core_training, relational
 
-MODULES = [core_training, relational]
+MODULES = [core_training, relational, analyzers]
