@@ -1,5 +1,5 @@
 """The query modules of the library."""
 
-from . import analyzers, core_training, relational
+from . import analyzers, core_training, progress_plans, relational
 
-MODULES = [core_training, relational, analyzers]
+MODULES = [core_training, relational, analyzers, progress_plans]
