@@ -64,10 +64,10 @@ def paragraphs(text: str | None) -> list[str]:
 
 
 def hashed(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(bucket of each n-gram, index of its text): letters in lower case, all else as one space."""
-    codes = np.frombuffer(" ".join(texts).lower().encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) if texts else np.empty(0, np.uint64)
+    """(bucket of each n-gram, index of its text): letters in lower case, all else as a space, one space before each text."""
+    codes = np.frombuffer((" " + " ".join(texts)).lower().encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) if texts else np.empty(0, np.uint64)
     lengths = np.array([len(t.lower()) + 1 for t in texts], np.int64)
-    owner = np.repeat(np.arange(len(texts)), lengths)[: len(codes)]
+    owner = np.repeat(np.arange(len(texts)), lengths)
     letter = (codes >= 128) & ~((codes >= 0x2000) & (codes < 0x2070)) & (codes != 0xA0) | (codes >= 97) & (codes < 123)
     codes = np.where(letter, codes, np.uint64(32))
     buckets, owners = [], []
