@@ -84,10 +84,11 @@ def frames(snapshot_rows: DataFrame) -> DataFrame:
     return snapshot_rows.select("document_id", F.concat(F.lit("event: "), event, F.lit("\ndata: "), body, F.lit("\n\n")).alias("frame"))
 
 
-def write_snapshots(snapshot_rows: DataFrame, folder: str, checkpoint: str):
-    """The snapshots of each micro-batch as Parquet, replaced when a batch is repeated."""
+def write_snapshots(snapshot_rows: DataFrame, folder: str, checkpoint: str, **trigger):
+    """The snapshots of each micro-batch as Parquet, replaced when a batch is repeated; trigger as of DataStreamWriter.trigger."""
 
     def save(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{folder}/batch={number}")
 
-    return snapshot_rows.writeStream.foreachBatch(save).outputMode("update").option("checkpointLocation", checkpoint).start()
+    writer = snapshot_rows.writeStream.foreachBatch(save).outputMode("update").option("checkpointLocation", checkpoint)
+    return (writer.trigger(**trigger) if trigger else writer).start()

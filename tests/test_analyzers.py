@@ -18,6 +18,7 @@ CELL = "cell_id long, doc_id long, table_index int, text string, row_index int,
 
 
 def box(page=0, y=100.0, x=50.0):
+    x, y = float(x), float(y)
     return Row(page_index=page, x0=x, y0=y, x1=x + 200, y1=y + 12, page_width=612.0, page_height=792.0)
 
 

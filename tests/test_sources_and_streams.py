@@ -6,6 +6,7 @@ import zipfile
 from datetime import datetime, timedelta
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from docassay.sources import packs, sinks, uploads
@@ -90,11 +91,15 @@ def test_snapshots_and_end(spark, tmp_path):
     folder, out = str(tmp_path / "in"), str(tmp_path / "out")
     for part in (runs()[:8], runs()[8:]):
         spark.createDataFrame(part, progress.RUNS).coalesce(1).write.mode("append").parquet(folder)
-    q = progress.write_snapshots(progress.snapshots(progress.read_runs(spark, folder)), out, str(tmp_path / "ck"))
-    q.processAllAvailable()
+    # a processing-time timeout asks for batches without data for ever; this run is to end with its data
+    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")
+    q = progress.write_snapshots(progress.snapshots(progress.read_runs(spark, folder)), out, str(tmp_path / "ck"), availableNow=True)
+    ended = q.awaitTermination(45)
     q.stop()
+    spark.conf.unset("spark.sql.streaming.noDataMicroBatches.enabled")
+    assert ended
     rows = spark.read.parquet(out)
-    last = {r.document_id: r for r in rows.withColumn("n", F.row_number().over(__import__("pyspark.sql.window", fromlist=["Window"]).Window.partitionBy("document_id").orderBy(F.col("batch").desc()))).where("n = 1").collect()}
+    last = {r.document_id: r for r in rows.withColumn("n", F.row_number().over(Window.partitionBy("document_id").orderBy(F.col("batch").desc()))).where("n = 1").collect()}
     assert last[1].closed and last[1].percent == 100 and not last[2].closed and last[2].current_stage == "TABLE_MATH" and last[2].failed_stage == "OTHER"
     assert [s["stage"] for s in json.loads(last[2].stages)] == ["EXTRACTING", "TABLE_MATH", "OTHER"]
     frame = progress.frames(rows.where("document_id = 1 AND closed")).first().frame
