@@ -74,13 +74,17 @@ _PHONE = re.compile(
 _CUE_PHONE = re.compile(r"(?:tel|phone|telp|telepon|telefon|Telefon|téléphone|teléfono|telefone|llame[^.]{0,60}al|ligue[^.]{0,60}(?:no|para)|телефону|電話|电话|โทร)[.: ]*\s*([0-9][0-9 .\-/]{6,16}[0-9])", re.I)
 _ADDRESSES = [
     # house number, street, town and postcode in English order
-    rf"(?:(?:Unit|Flat|Suite|Apt\.?|UNIT|FLAT|SUITE) [0-9]+[A-Za-z]?, )?[0-9]+[A-Za-z]? (?:{_CAP} ){{1,3}}(?i:{STREET_BEHIND})\b\.?(?:, {_TOWN})?(?:,? (?:[A-Z]{{2}} )?(?:[0-9]{{5}}(?:-[0-9]{{4}})?|[A-Z]{{1,2}}[0-9][0-9A-Z]? ?[0-9][A-Z]{{2}}))?(?!\w)",
-    rf"[0-9]+(?: (?:bis|ter))?,? (?i:{STREET_FRENCH}) (?:(?:de la|de l'|du|des|de|d'|DE LA|DE L'|DU|DES|DE|D') ?)?{_CAP}(?:[ -]{_CAP}){{0,3}}(?:, [0-9]{{5}} {_TOWN})?",
-    rf"(?<!\w)(?i:{STREET_BEFORE})\.? (?:(?:de la|de los|de las|del|de|da|do|dos|das|DE LA|DEL|DE|DA|DO) )?{_CAP}(?: (?:de |da |do |del )?{_CAP}){{0,3}},?(?: No\.?| NO\.?| n\.?º)? [0-9]+[A-Za-z]?(?:/[0-9]+)?"
+    rf"(?:(?:Unit|Flat|Suite|Apt\.?|UNIT|FLAT|SUITE) [0-9]+[A-Za-z]?, )?[0-9]+[A-Za-z]? (?:{_CAP} ){{1,3}}(?:{STREET_BEHIND}|{STREET_BEHIND.upper()})\b\.?(?:, {_TOWN})?(?:,? (?:[A-Z]{{2}} )?(?:[0-9]{{5}}(?:-[0-9]{{4}})?|[A-Z]{{1,2}}[0-9][0-9A-Z]? ?[0-9][A-Z]{{2}}))?(?!\w)",
+    rf"[0-9]+(?: (?:bis|ter))?,? (?:{STREET_FRENCH}|{STREET_FRENCH.upper()}) (?:(?:de la|de l'|du|des|de|d'|DE LA|DE L'|DU|DES|DE|D') ?)?{_CAP}(?:[ -]{_CAP}){{0,3}}(?:, [0-9]{{5}} {_TOWN})?",
+    rf"(?<!\w)(?:{STREET_BEFORE}|{STREET_BEFORE.upper()})\.? (?:(?:de la|de los|de las|del|de|da|do|dos|das|DE LA|DEL|DE|DA|DO) )?{_CAP}(?: (?:de |da |do |del )?{_CAP}){{0,3}},?(?: No\.?| NO\.?| n\.?º)? [0-9]+[A-Za-z]?(?:/[0-9]+)?"
     rf"(?:, [0-9]+\.?[ºª°](?: [A-Z])?)?(?:, RT [0-9]+/RW [0-9]+)?(?:, (?:[0-9]{{4,5}}(?:-[0-9]{{3}})? )?(?!RT ){_TOWN}(?: [0-9]{{5}})?)?",
     rf"(?:{STREET_GERMAN}) [0-9]+ ?[a-zA-Z]?(?:, [0-9]{{5}} {_TOWN})",
 ]
-_ADDRESS = re.compile("|".join(f"(?:{a})" for a in _ADDRESSES))
+# each form with a cheap test that every address of the form meets
+_ADDRESS_FORMS = [
+    (re.compile(a), re.compile(t).search)
+    for a, t in zip(_ADDRESSES, (rf" (?:{STREET_BEHIND}|{STREET_BEHIND.upper()})\b", rf"[0-9a-z],? (?:{STREET_FRENCH}|{STREET_FRENCH.upper()}) ", rf"(?<!\w)(?:{STREET_BEFORE}|{STREET_BEFORE.upper()})\b", r", [0-9]{5} "), strict=True)
+]
 _ADDRESS_ID = re.compile(rf"(?<!\w)(?:Jalan|Jln\.?|Jl\.?|Gg\.?|Gang) {_CAP}(?: {_CAP}){{0,3}} [IVXL0-9]+/[0-9]+(?:, RT [0-9]+/RW [0-9]+)?(?:, {_TOWN}(?: [0-9]{{5}})?)?")
 # a name's word: capitalised or in capitals, perhaps hyphenated or with d'
 _NAME_WORD = re.compile(r"(?<![\w@.+%-])(?:[dD]['’])?[A-ZÀ-ÖØ-ÞА-ЯЁ][\wÀ-ž’'-]*[\wÀ-ž]|(?<![\w@.+%-])[A-ZÀ-ÖØ-ÞА-ЯЁ]\.")
@@ -115,6 +119,56 @@ def _owner_parts(mail: str) -> tuple[set[str], set[str]]:
     return words, {x for w in words for x in (w[1:],) if len(x) > 3}
 
 
+# ---- places to look at ------------------------------------------------------------------------
+
+_MAIL_ANCHOR = re.compile(r"@|\(at\)|\[at\]| dot ")
+#: Characters looked at around a mark of a mail address; a local part and a domain are shorter by rule.
+MAIL_REACH = 400
+_PHONE_CUES = "tel phone telp telepon telefon téléphone teléfono telefone llame ligue телефону 電話 电话 โทร".split()
+_AUTOMATON: list = []
+
+
+def _mails(text: str) -> Iterator[tuple[int, int]]:
+    """Mail addresses: each holds one of a few marks, so only what surrounds a mark is searched."""
+    done = 0
+    for m in _MAIL_ANCHOR.finditer(text):
+        if m.start() < done:
+            continue
+        start = max(done, m.start() - MAIL_REACH)
+        while start > done and not text[start - 1].isspace():
+            start -= 1
+        end = m.end() + MAIL_REACH
+        for hit in _EMAIL.finditer(text, start, min(len(text), end)):
+            if hit.start() >= done:
+                yield hit.span()
+                done = hit.end()
+        done = max(done, m.end())
+
+
+def _labels(text: str) -> tuple[list[int], bool]:
+    """(starts of identity labels, whether any phone cue occurs), by one pass of an automaton."""
+    if not _AUTOMATON:
+        import ahocorasick
+
+        a = ahocorasick.Automaton()
+        for word in _PHONE_CUES:
+            a.add_word(word, (0, len(word)))
+        for word in ID_LABELS.split("|"):
+            a.add_word(word.lower(), (1, len(word)))
+        a.make_automaton()
+        _AUTOMATON.append(a)
+    low = text.lower()
+    if len(low) != len(text):  # a letter that grows in lower case would shift places
+        return [m.start() for m in _ID.finditer(text)], True
+    starts, cue = set(), False
+    for end, (kind, n) in _AUTOMATON[0].iter(low):
+        if kind:
+            starts.add(end - n + 1)
+        else:
+            cue = True
+    return sorted(starts), cue
+
+
 # ---- disclosure of terms ----------------------------------------------------------------------
 
 
@@ -136,40 +190,37 @@ class Terms:
     def __setstate__(self, packed):
         self.packed, self.seen = packed, {}
 
-    def __contains__(self, term: str) -> bool:
-        got = self.seen.get(term)
+    def holds(self, word: str) -> bool:
+        """Whether a word as written is a protected term."""
+        got = self.seen.get(word)
         if got is None:
+            term = fold(word[:-2] if word[-2:] in ("'s", "’s") else word)
             got = len(term) > 2 and all(self.packed[b >> 3] >> (b & 7) & 1 for b in _bits(term))
             if len(self.seen) > 100_000:
                 self.seen.clear()
-            self.seen[term] = got
+            self.seen[word] = got
         return got
 
 
-def linked_terms(text: str) -> tuple[Counter, Counter]:
-    """(places of each capitalised term, places that a mail address nearby repeats)."""
-    every, linked = Counter(), Counter()
-    spots = []
-    for m in _NAME_WORD.finditer(text):
-        term = _fold(m[0])
-        if len(term) > 2:
-            every[term] += 1
-            spots.append((m.start(), m.end(), term))
-    if not spots:
-        return every, linked
+def linked_terms(text: str | None) -> Counter:
+    """Places of each capitalised term that a mail address nearby repeats."""
+    linked: Counter = Counter()
+    mails = list(_mails(text)) if text else []
+    if not mails:
+        return linked
+    spots = [(m.start(), m.end(), term) for m in _NAME_WORD.finditer(text) if len(term := _fold(m[0])) > 2]
     j = 0
-    for mail in _EMAIL.finditer(text):
-        words, inner = _owner_parts(mail[0])
-        while j < len(spots) and spots[j][1] < mail.start() - WINDOW:
+    for a, b in mails:
+        words, inner = _owner_parts(text[a:b])
+        while j < len(spots) and spots[j][1] < a - WINDOW:
             j += 1
         i = j
-        while i < len(spots) and spots[i][0] < mail.end() + WINDOW:
+        while i < len(spots) and spots[i][0] < b + WINDOW:
             start, end, term = spots[i]
             i += 1
-            if end <= mail.start() or start >= mail.end():
-                if term in words or term in inner:
-                    linked[term] += 1
-    return every, linked
+            if (end <= a or start >= b) and (term in words or term in inner):
+                linked[term] += 1
+    return linked
 
 
 def disclosure(documents: DataFrame) -> DataFrame:
@@ -177,11 +228,14 @@ def disclosure(documents: DataFrame) -> DataFrame:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            every, linked = Counter(), Counter()
+            words, linked = Counter(), Counter()
             for text in batch.column(0).to_pylist():
-                a, b = linked_terms(text)
-                every.update(a)
-                linked.update(b)
+                words.update(_NAME_WORD.findall(text))
+                linked.update(linked_terms(text))
+            every: Counter = Counter()
+            for word, n in words.items():
+                if len(term := _fold(word)) > 2:
+                    every[term] += n
             terms = list(every)
             yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), pa.array([every[t] for t in terms], pa.int64()), pa.array([linked[t] for t in terms], pa.int64())], names=["term", "n", "linked"])
 
@@ -217,11 +271,11 @@ def _names(text: str, terms: Terms) -> list[tuple[int, int]]:
         if w[-2:] in ("'s", "’s"):
             end -= 2
         initial = len(w) == 2 and w[1] == "."
-        strong = not initial and _fold(w) in terms
+        strong = not initial and terms.holds(w)
         if not strong and not initial:
             if start and text[start - 1] == " " and _TITLE.search(text, max(0, start - 14), start):
                 strong = True
-            elif "-" in w and all(_fold(p) in terms for p in w.split("-")):
+            elif "-" in w and all(terms.holds(p) for p in w.split("-")):
                 strong = True
         words.append((start, end, strong, initial))
     out, i = [], 0
@@ -257,18 +311,22 @@ def mentions(text: str | None, terms: Terms) -> list[tuple[str, int, int]]:
     if not text:
         return []
     found: list[tuple[int, int, int]] = []
-    if "@" in text or "at" in text:
-        found += [(0, *m.span()) for m in _EMAIL.finditer(text)]
-    for m in _ID.finditer(text):
-        if sum(c.isdigit() for c in m[1]) >= 5:
+    found += [(0, *span) for span in _mails(text)]
+    starts, cue = _labels(text)
+    for start in starts:
+        m = _ID.match(text, start)
+        if m and sum(c.isdigit() for c in m[1]) >= 5:
             found.append((1, *m.span(1)))
-    found += [(2, *m.span()) for m in _ADDRESS.finditer(text)]
-    found += [(2, *m.span()) for m in _ADDRESS_ID.finditer(text)]
+    for form, likely in _ADDRESS_FORMS:
+        if likely(text):
+            found += [(2, *m.span()) for m in form.finditer(text)]
+    if "J" in text or "G" in text:
+        found += [(2, *m.span()) for m in _ADDRESS_ID.finditer(text)]
     for m in _PHONE.finditer(text):
         number = re.split(r",? ?(?:ext|extension|x|Durchwahl|poste|ramal)", m[0], maxsplit=1, flags=re.I)[0]
         if (11 if number.startswith("00") else 8) <= sum(c.isdigit() for c in number) <= 15:
             found.append((3, *m.span()))
-    for m in _CUE_PHONE.finditer(text):
+    for m in _CUE_PHONE.finditer(text) if cue else ():
         if 8 <= sum(c.isdigit() for c in m[1]) <= 15:
             found.append((3, *m.span(1)))
     found += [(4, *span) for span in _names(text, terms)]
