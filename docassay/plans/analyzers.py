@@ -124,7 +124,12 @@ O = {
     "src7_page_metrics": "SELECT doc_id, page_index, least(1.0, sum(greatest(0.0, x1 - x0) * greatest(0.0, y1 - y0)) / max(page_width * page_height)) AS utilization, sum(coalesce(CASE WHEN trim(text) = '' THEN 0 ELSE len(string_split_regex(trim(text), '\\s+')) END, 0)) AS words FROM {SPANS} s GROUP BY doc_id, page_index",
     "txt29_verdicts": "WITH n AS (SELECT doc_id, count(CASE WHEN severity IN ('BLOCKER', 'CRITICAL', 'HIGH') THEN 1 END) AS blockers, count(CASE WHEN severity IN ('MAJOR', 'MEDIUM') THEN 1 END) AS majors, count(*) AS n FROM {ISSUES} i WHERE included GROUP BY doc_id), v AS (SELECT *, CASE WHEN blockers > 0 THEN 'rejected' WHEN majors > 0 THEN 'rework' ELSE 'approved' END AS verdict FROM n) SELECT doc_id, blockers, majors, n - blockers - majors AS minors, verdict, printf('%d blocker(s), %d major and %d minor finding(s): %s', blockers, majors, n - blockers - majors, verdict) AS bottom_line FROM v",
     "txt16_uncontrolled_pages": "WITH e AS (SELECT doc_id, min_by(doc_number, page_index) AS expected FROM {PAGES} p WHERE page_index < 5 AND length(doc_number) >= 10 GROUP BY doc_id), m AS (SELECT p.page_id, p.doc_id, p.page_index, e.expected, array_to_string(list_filter([CASE WHEN NOT coalesce(has_header, false) THEN 'HEADER' END, CASE WHEN NOT coalesce(has_footer, false) THEN 'FOOTER' END, CASE WHEN NOT coalesce(has_page_number, false) THEN 'PAGE_NUMBER' END, CASE WHEN NOT coalesce(has_doc_number, false) OR (e.expected IS NOT NULL AND p.doc_number <> e.expected) THEN 'DOC_NUMBER' END], lambda x: x IS NOT NULL), ',') AS missing FROM {PAGES} p LEFT JOIN e ON e.doc_id = p.doc_id) SELECT * FROM m WHERE missing <> ''",
-    "txt13_page_breaks": None,
+    "txt15_voids": 'WITH m AS (SELECT doc_id, page_index, least(1.0, sum(greatest(0.0, x1 - x0) * greatest(0.0, y1 - y0)) / max(page_width * page_height)) AS u FROM {SPANS} s GROUP BY doc_id, page_index), w AS (SELECT *, min(page_index) OVER (PARTITION BY doc_id) AS low, max(page_index) OVER (PARTITION BY doc_id) AS high, count(*) OVER (PARTITION BY doc_id) AS n FROM m) SELECT doc_id, page_index, u AS ratio FROM w WHERE n >= 3 AND page_index > low AND page_index < high AND u < 0.25',
+    "txt14_misused_styles": "SELECT item_id, doc_id, level, substr(text, 1, 60) AS text FROM {HEADINGS} h WHERE regexp_matches(trim(text), '^(based on|referring to|according to|with reference to|in accordance with|as (shown|described|discussed|noted|stated|indicated|presented|defined) in|pursuant to|following (the|this)|in order to|please note that|note that|in regard to|with regard to)\\b', 'i')",
+    "prj2_part_boxes": 'SELECT item_id, round_even(x0 + (x1 - x0) / length(text) * 2, 1) AS x0, round_even(x0 + (x1 - x0) / length(text) * 4, 1) AS x1 FROM {HEADINGS} h WHERE length(text) > 4',
+    "snk7_placed_marks": 'WITH b AS (SELECT item_id, page_index, greatest(0.0, least(x0 * 595.0 / page_width, 595.0)) AS a0, greatest(0.0, least(x1 * 595.0 / page_width, 595.0)) AS a1, greatest(0.0, least(842.0 - y1 * 842.0 / page_height, 842.0)) AS b0, greatest(0.0, least(842.0 - y0 * 842.0 / page_height, 842.0)) AS b1 FROM {SPANS} s) SELECT item_id, greatest(0, least(page_index, 99)) AS page_index, a0 AS x0, b0 AS y0, greatest(a1, a0 + 20.0) AS x1, greatest(b1, b0 + 20.0) AS y1 FROM b',
+    "src5_printed_label": "SELECT doc_id, page_index, max_by(label, y0) AS label FROM (SELECT doc_id, page_index, y0, regexp_extract(trim(text), '^(?:page\\s+)?([0-9]+|[ivxlcdm]+)(?:\\s+of\\s+[0-9]+)?$', 1, 'i') AS label FROM {SPANS} s WHERE y0 >= page_height * 0.78) t WHERE label <> '' GROUP BY doc_id, page_index",
+    "prj10_evidence_page": "WITH e AS (SELECT issue_id, CASE WHEN json_valid(evidence) THEN evidence END AS j FROM {ISSUES} i) SELECT issue_id, CASE WHEN json_extract_string(j, '$.kind') = 'STAGE_FAILURE' THEN NULL ELSE coalesce(TRY_CAST(coalesce(json_extract_string(j, '$.location.page_index'), json_extract_string(j, '$.bounding_box.page_index'), json_extract_string(j, '$.total_location.page_index'), json_extract_string(j, '$.entry_location.page_index'), json_extract_string(j, '$.target_location.page_index'), json_extract_string(j, '$.body_location.page_index'), json_extract_string(j, '$.bibliography_location.page_index'), json_extract_string(j, '$.original_location.page_index'), json_extract_string(j, '$.locations[0].page_index'), json_extract_string(j, '$.operand_locations[0].page_index'), json_extract_string(j, '$.page_index')) AS INT) + 1, CASE WHEN json_extract_string(j, '$.kind') = 'REVISION' THEN 1 END) END AS page FROM e",
 }
 
 # Portable plans: exact sums with the dual tolerance, and other analyzers that both engines read.
