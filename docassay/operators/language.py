@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .asof import with_heading
+
 # Grammar rules (id, type, pattern, suggestion or null for the repeated part).
 GRAMMAR = [
     ("RULE_GRAMMAR_COMPRISING_BY", "repeated_phrase", r"\bcomprising\s+by\b", "comprising"),
@@ -108,9 +110,7 @@ def _precision(df: DataFrame) -> DataFrame:
 
 def unclosed(items: DataFrame, sections: str = r"(?i)\b(?:summary|conclusions?|recommendations?|recommended|findings)\b") -> DataFrame:
     """(doc_id, section_item, item_id, text): the last text of a key section, where it ends without a closing mark."""
-    order = Window.partitionBy("doc_id").orderBy("page_index", "y0", F.col("is_heading").desc(), "seq", "item_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    head = F.last(F.when(F.col("is_heading"), F.struct("item_id", "text")), True).over(order)
-    placed = items.where("text IS NOT NULL").withColumn("head", head).where("NOT is_heading AND head IS NOT NULL").where(F.col("head.text").rlike(sections))
+    placed = with_heading(items.where("text IS NOT NULL")).where("NOT is_heading AND head IS NOT NULL").where(F.col("head.text").rlike(sections))
     last = placed.groupBy("doc_id", F.col("head.item_id").alias("section_item")).agg(F.max_by(F.struct("item_id", "text"), F.struct("page_index", "y0", "seq", "item_id")).alias("l"))
     return last.select("doc_id", "section_item", "l.*").where(~F.trim("text").rlike(r"[.!?。！？:;\"”»)]$") & (F.size(F.split(F.trim("text"), r"\s+")) >= 4))
 

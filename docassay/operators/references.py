@@ -40,13 +40,15 @@ def normalized_code(code: Column) -> Column:
 
 def citations(items: DataFrame) -> DataFrame:
     """(doc_id, item_id, page_index, y0, x0, family, code, year, section, ambiguous): all citations; those behind the first bibliography heading are REFERENCE."""
-    order = Window.partitionBy("doc_id").orderBy("page_index", "y0", "x0", "seq", "item_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     starts = F.trim(F.col("text")).rlike(BIBLIOGRAPHY) & (F.col("is_heading") | (F.length("text") <= 80))
-    # only documents that cite at all are ordered
     any_citation = F.expr("false")
     for pattern in STANDARDS.values():
         any_citation = any_citation | F.col("text").rlike("(?i)" + pattern)
-    marked = items.where(F.col("text").isNotNull()).withColumn("starts", starts).where(any_citation | F.col("starts")).withColumn("section", F.when(F.max(F.col("starts").cast("int")).over(order) == 1, "REFERENCE").otherwise("BODY")).where(any_citation)
+    # the first bibliography heading of a document is an aggregate; what stands behind it is a comparison of places
+    place = F.struct("page_index", "y0", "x0", "seq", "item_id")
+    readable = items.where(F.col("text").isNotNull())
+    first = readable.where(starts).groupBy("doc_id").agg(F.min(place).alias("first"))
+    marked = readable.where(any_citation).join(first, "doc_id", "left").withColumn("section", F.when(place >= F.col("first"), "REFERENCE").otherwise("BODY"))
     found = None
     for family, pattern in STANDARDS.items():
         p = F.lit("(?i)" + pattern)

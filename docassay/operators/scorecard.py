@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .asof import with_heading
+
 # Sections by what their headings say.
 SECTIONS = {
     "summary": r"(?i)\b(?:summary|ringkasan|zusammenfassung|resumen|resumo|résumé|сводка|主要发现|所見)",
@@ -45,10 +47,8 @@ ITEMS = [
 
 def sections(items: DataFrame) -> DataFrame:
     """(doc_id, item_id, section_item, section, text): each span with the section of the last heading at or above it."""
-    order = Window.partitionBy("doc_id").orderBy("page_index", "y0", F.col("is_heading").desc(), "seq", "item_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    head = F.last(F.when(F.col("is_heading"), F.struct("item_id", "text")), True).over(order)
     name = F.coalesce(*[F.when(F.col("head.text").rlike(p), k) for k, p in SECTIONS.items()], F.lit("other"))
-    return items.withColumn("head", head).where("NOT is_heading").select("doc_id", "item_id", F.col("head.item_id").alias("section_item"), F.when(F.col("head").isNull(), None).otherwise(name).alias("section"), "text")
+    return with_heading(items).where("NOT is_heading").select("doc_id", "item_id", F.col("head.item_id").alias("section_item"), F.when(F.col("head").isNull(), None).otherwise(name).alias("section"), "text")
 
 
 def signals(items: DataFrame, cells: DataFrame, citations: DataFrame, repeats: DataFrame, uncontrolled: DataFrame) -> DataFrame:

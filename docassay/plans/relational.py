@@ -95,6 +95,20 @@ P["jon16_as_of_heading"] = plan(
     f"""SELECT item_id, section FROM (SELECT item_id, kind, last_value(CASE WHEN kind = 0 THEN text END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY page_index, y0, kind, seq, item_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS section FROM {_ITEMS} u) t WHERE kind = 1""",
     f"""SELECT item_id, section FROM (SELECT item_id, kind, last_value(CASE WHEN kind = 0 THEN text END, true) OVER (PARTITION BY doc_id ORDER BY page_index, y0, kind, seq, item_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS section FROM {_ITEMS} u) t WHERE kind = 1""",
 )
+
+
+
+def _as_of(spark, folder):
+    """The same through the operator, which orders a page at a time."""
+    from ..operators.asof import with_heading
+    from ..operators.references import ordered_items
+    from ..sources.tables import table
+
+    items = ordered_items(table(spark, folder, "headings"), table(spark, folder, "spans"))
+    return with_heading(items).where("NOT is_heading").selectExpr("item_id", "head.text AS section")
+
+
+P["jon16_as_of_heading"] = (_as_of, P["jon16_as_of_heading"][1])
 P["jon17_adjacent_pages"] = plan("""
   SELECT doc_id, page_index, next_page FROM (SELECT doc_id, page_index, lead(page_index) OVER (PARTITION BY doc_id ORDER BY page_index) AS next_page
   FROM (SELECT DISTINCT doc_id, page_index FROM pdf_pages) p) t WHERE next_page IS NOT NULL""")
@@ -156,7 +170,7 @@ P["agg19_tri_partition"] = plan("""
   SELECT doc_id, count(CASE WHEN severity IN ('BLOCKER', 'CRITICAL', 'HIGH') THEN 1 END) AS blockers, count(CASE WHEN severity IN ('MAJOR', 'MEDIUM') THEN 1 END) AS majors,
     count(*) - count(CASE WHEN severity IN ('BLOCKER', 'CRITICAL', 'HIGH') THEN 1 END) - count(CASE WHEN severity IN ('MAJOR', 'MEDIUM') THEN 1 END) AS minors FROM {ISSUES} i GROUP BY doc_id""")
 P["agg20_averages"] = plan("""
-  SELECT category, round(avg(confidence), 4) AS mean_confidence, count(*) AS n FROM {ISSUES} i GROUP BY ROLLUP (category)""")
+  SELECT category, CAST(sum(CAST(confidence AS DECIMAL(12, 6))) AS DOUBLE) / nullif(count(confidence), 0) AS mean_confidence, count(*) AS n FROM {ISSUES} i GROUP BY ROLLUP (category)""")
 P["agg22_baseline_score"] = plan("""
   SELECT page_id, CAST(coalesce(has_header, false) AS INT) + CAST(coalesce(has_footer, false) AS INT) + CAST(coalesce(has_page_number, false) AS INT) + CAST(coalesce(has_doc_number, false) AS INT) AS score FROM {PAGES} p""")
 P["agg25_type_counts"] = plan("SELECT doc_id, count(CASE WHEN type = 'REPEATED_WORD' THEN 1 END) AS repeats, count(CASE WHEN type = 'PAGE_DRIFT' THEN 1 END) AS drifts FROM {ISSUES} i GROUP BY doc_id")
@@ -234,6 +248,51 @@ P["set6_explicit_or_detected"] = plan("SELECT pack_id FROM rules WHERE kind = 't
 P["set7_used_not_declared"] = plan("SELECT DISTINCT standard FROM rules EXCEPT SELECT DISTINCT standard FROM rules WHERE kind = 'terminology'")
 P["set8_local_dedup"] = plan("SELECT filename, page_count, min(doc_id) AS doc_id FROM {META} m GROUP BY filename, page_count")
 
+# ---- further projections, merges and text features --------------------------------------------
+P["prj3_revision_issues"] = plan("SELECT issue_id, 'REVISION_MISMATCH' AS type, 'CRITICAL' AS severity, 1.0E0 AS confidence FROM {ISSUES} i WHERE type = 'REVISION_MISMATCH'")
+P["prj4_table_math_grades"] = plan("SELECT issue_id, CASE type WHEN 'TABLE_SUM_MISMATCH' THEN 'HIGH' WHEN 'UNIT_CONFLICT' THEN 'MEDIUM' ELSE 'LOW' END AS severity FROM {ISSUES} i WHERE type IN ('TABLE_SUM_MISMATCH', 'UNIT_CONFLICT')")
+P["prj5_missing_targets"] = plan(
+    "SELECT issue_id, coalesce(json_extract_string(evidence, '$.actual_page_label'), 'NOT_FOUND') AS target, coalesce(TRY_CAST(json_extract_string(evidence, '$.page_delta') AS INT), 0) AS delta FROM {ISSUES} i WHERE type = 'PAGE_DRIFT' AND json_valid(evidence)",
+    "SELECT issue_id, coalesce(get_json_object(evidence, '$.actual_page_label'), 'NOT_FOUND') AS target, coalesce(TRY_CAST(get_json_object(evidence, '$.page_delta') AS INT), 0) AS delta FROM {ISSUES} i WHERE type = 'PAGE_DRIFT' AND try_parse_json(evidence) IS NOT NULL",
+)
+P["prj6_standard_messages"] = plan(
+    "SELECT rule_no, replace(replace(message_template, '{standard}', standard), '{clause}', clause) AS message FROM rules WHERE message_template IS NOT NULL"
+)
+P["prj8_clamped_pages"] = plan("SELECT issue_id, greatest(0, page_number - 1) AS page_index FROM {ISSUES} i WHERE page_number IS NOT NULL")
+P["prj22_localized_tokens"] = plan("SELECT issue_id, replace(replace(replace(severity, 'CRITICAL', 'KRITIS'), 'MAJOR', 'UTAMA'), 'MINOR', 'RINGAN') AS label FROM {ISSUES} i")
+P["agg21_fallback_averages"] = plan("SELECT category, coalesce(CAST(sum(CASE WHEN included THEN CAST(confidence AS DECIMAL(12, 6)) END) AS DOUBLE) / nullif(count(CASE WHEN included THEN confidence END), 0), 0) AS average FROM {ISSUES} i GROUP BY category")
+P["agg26_shared_numbers"] = plan(
+    r"""SELECT page_id, len(list_intersect(list_distinct(regexp_extract_all(raw_text, '[0-9]+[.][0-9]+')), list_distinct(regexp_extract_all(next_text, '[0-9]+[.][0-9]+')))) AS shared FROM (SELECT page_id, raw_text, lead(raw_text) OVER (PARTITION BY doc_id ORDER BY page_index, page_id) AS next_text FROM {PAGES} p WHERE raw_text IS NOT NULL) t WHERE next_text IS NOT NULL""",
+    r"""SELECT page_id, size(array_intersect(regexp_extract_all(raw_text, '[0-9]+[.][0-9]+', 0), regexp_extract_all(next_text, '[0-9]+[.][0-9]+', 0))) AS shared FROM (SELECT page_id, raw_text, lead(raw_text) OVER (PARTITION BY doc_id ORDER BY page_index, page_id) AS next_text FROM {PAGES} p WHERE raw_text IS NOT NULL) t WHERE next_text IS NOT NULL""",
+)
+P["win6_kind_code_year"] = plan("SELECT rule_no FROM (SELECT rule_no, row_number() OVER (PARTITION BY kind, standard, edition ORDER BY rule_no) AS nth FROM rules) t WHERE nth = 1")
+P["win7_rule_page_text"] = plan("SELECT item_id FROM (SELECT item_id, row_number() OVER (PARTITION BY doc_id, page_index, lower(text), round(y0) ORDER BY seq, item_id) AS nth FROM {HEADINGS} h) t WHERE nth = 1")
+P["win9_rule_fact_page"] = plan("SELECT issue_id FROM (SELECT issue_id, row_number() OVER (PARTITION BY doc_id, type, message, page_number ORDER BY issue_id) AS nth FROM {ISSUES} i) t WHERE nth = 1")
+P["win13_last_of_section"] = plan(
+    f"""SELECT doc_id, section_item, max_by(item_id, page_index * 1000000 + y0 * 1000 + seq) AS last_item FROM (SELECT item_id, doc_id, kind, seq, page_index, y0, last_value(CASE WHEN kind = 0 THEN item_id END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY page_index, y0, kind, seq, item_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS section_item FROM {_ITEMS} u) t WHERE kind = 1 AND section_item IS NOT NULL GROUP BY doc_id, section_item""",
+    f"""SELECT doc_id, section_item, max_by(item_id, page_index * 1000000 + y0 * 1000 + seq) AS last_item FROM (SELECT item_id, doc_id, kind, seq, page_index, y0, last_value(CASE WHEN kind = 0 THEN item_id END, true) OVER (PARTITION BY doc_id ORDER BY page_index, y0, kind, seq, item_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS section_item FROM {_ITEMS} u) t WHERE kind = 1 AND section_item IS NOT NULL GROUP BY doc_id, section_item""",
+)
+P["jon20_title_lookup"] = plan("""
+  SELECT m.doc_id, min(CASE WHEN h.text = m.title THEN 1 WHEN lower(trim(h.text)) = lower(trim(m.title)) THEN 2 ELSE 3 END) AS tier FROM {META} m JOIN {HEADINGS} h ON h.doc_id = m.doc_id
+  WHERE m.title IS NOT NULL AND (strpos(lower(h.text), lower(m.title)) > 0 OR strpos(lower(m.title), lower(h.text)) > 0) GROUP BY m.doc_id""",
+    """SELECT m.doc_id, min(CASE WHEN h.text = m.title THEN 1 WHEN lower(trim(h.text)) = lower(trim(m.title)) THEN 2 ELSE 3 END) AS tier FROM {META} m JOIN {HEADINGS} h ON h.doc_id = m.doc_id
+  WHERE m.title IS NOT NULL AND (instr(lower(h.text), lower(m.title)) > 0 OR instr(lower(m.title), lower(h.text)) > 0) GROUP BY m.doc_id""")
+P["txt19_baselines"] = plan(
+    r"""SELECT doc_id, max(CASE WHEN regexp_matches(lower(text), 'scope|background|introduction') THEN 1 ELSE 0 END) + max(CASE WHEN regexp_matches(lower(text), 'summary|conclusion') THEN 1 ELSE 0 END) + max(CASE WHEN regexp_matches(lower(text), 'recommend|repair') THEN 1 ELSE 0 END) + max(CASE WHEN regexp_matches(lower(text), 'survey|assessment|check') THEN 1 ELSE 0 END) AS baselines FROM {HEADINGS} h GROUP BY doc_id""",
+    r"""SELECT doc_id, max(CASE WHEN lower(text) RLIKE 'scope|background|introduction' THEN 1 ELSE 0 END) + max(CASE WHEN lower(text) RLIKE 'summary|conclusion' THEN 1 ELSE 0 END) + max(CASE WHEN lower(text) RLIKE 'recommend|repair' THEN 1 ELSE 0 END) + max(CASE WHEN lower(text) RLIKE 'survey|assessment|check' THEN 1 ELSE 0 END) AS baselines FROM {HEADINGS} h GROUP BY doc_id""",
+)
+P["txt22_not_applicable"] = plan("""
+  SELECT m.doc_id, CASE WHEN lower(m.title) LIKE '%procedure%' THEN NULL WHEN count(c.cell_id) > 0 THEN 5 ELSE 3 END AS steps_outlined FROM {META} m LEFT JOIN {CELLS} c ON c.doc_id = m.doc_id GROUP BY m.doc_id, m.title""")
+P["txt23_evidence_notes"] = plan("""
+  SELECT m.doc_id, coalesce(min(h.text), 'no section') AS note FROM {META} m LEFT JOIN {HEADINGS} h ON h.doc_id = m.doc_id AND lower(h.text) LIKE '%recommend%' GROUP BY m.doc_id""")
+P["txt27_cover_values"] = plan(
+    r"""SELECT page_id, regexp_extract(raw_text, '([0-9]{2}-[0-9]{4}-[0-9]{3}(-[A-Z]{3}-[0-9]{4})?)', 1) AS doc_number, regexp_extract(coalesce(header_text, ''), 'Rev ([A-Z0-9])', 1) AS revision FROM {PAGES} p WHERE page_index = 0 AND raw_text IS NOT NULL""",
+    r"""SELECT page_id, regexp_extract(raw_text, '([0-9]{2}-[0-9]{4}-[0-9]{3}(-[A-Z]{3}-[0-9]{4})?)', 1) AS doc_number, regexp_extract(coalesce(header_text, ''), 'Rev ([A-Z0-9])', 1) AS revision FROM {PAGES} p WHERE page_index = 0 AND raw_text IS NOT NULL""",
+)
+P["txt28_summary_prose"] = plan("""
+  SELECT doc_id, 'The review found ' || CAST(count(*) AS VARCHAR(12)) || ' finding(s) in ' || CAST(count(DISTINCT category) AS VARCHAR(12)) || ' categories.' AS prose FROM {ISSUES} i WHERE included GROUP BY doc_id""",
+    """SELECT doc_id, 'The review found ' || CAST(count(*) AS STRING) || ' finding(s) in ' || CAST(count(DISTINCT category) AS STRING) || ' categories.' AS prose FROM {ISSUES} i WHERE included GROUP BY doc_id""")
+
 
 def queries() -> dict:
     return split(P)[0]

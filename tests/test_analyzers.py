@@ -332,3 +332,19 @@ def test_evidence(spark):
     assert [(r.pos, r.source) for r in findings.boxes(df).orderBy("pos").collect()] == [(0, "total_location"), (1, "operand_locations"), (2, "operand_locations")]
     pages = {r.issue_id: r.p for r in df.select("issue_id", findings.evidence_page(F.col("evidence")).alias("p")).collect()}
     assert pages == {1: 3, 2: 1, 3: None, 4: None, 5: None}
+
+
+def test_last_heading_against_brute_force(spark):
+    from docassay.operators.asof import with_heading
+
+    rng = random.Random(6)
+    rows = [(i, rng.randrange(3), rng.randrange(5), f"t{i}", rng.randrange(4), float(rng.randrange(6) * 10), rng.random() < 0.25) for i in range(200)]
+    df = spark.createDataFrame(rows, "item_id long, doc_id long, seq int, text string, page_index int, y0 double, is_heading boolean")
+    order = sorted(rows, key=lambda r: (r[1], r[4], r[5], not r[6], r[2], r[0]))
+    want, last = {}, {}
+    for r in order:
+        if r[6]:
+            last[r[1]] = r[0]
+        want[r[0]] = last.get(r[1])
+    got = {r.item_id: r.head.item_id if r.head else None for r in with_heading(df).collect()}
+    assert got == want
