@@ -32,7 +32,7 @@ P["fil7_boilerplate_suppression"] = plan(
 )
 P["fil8_cover_page"] = plan("SELECT item_id, doc_id, y0, x0 FROM {SPANS} s WHERE page_index = 0")
 P["fil9_expired"] = plan("""
-  SELECT doc_id, created_at FROM documents, (SELECT max(created_at) AS newest FROM documents) n WHERE created_at < newest - INTERVAL 90 DAY""")
+  SELECT doc_id, created_at FROM documents WHERE created_at < (SELECT max(created_at) FROM documents) - INTERVAL 90 DAY""")
 P["fil10_active_newest"] = plan("""
   SELECT text_key, doc_id FROM (
     SELECT md5(text) AS text_key, doc_id, row_number() OVER (PARTITION BY md5(text) ORDER BY created_at DESC, doc_id DESC) AS nth
@@ -82,14 +82,6 @@ P["jon9_hash_lookup"] = plan("""
 P["jon10_null_fill"] = plan("""
   SELECT m.doc_id, coalesce(m.doc_no, m.cover_no) AS doc_no, coalesce(m.rev, m.cover_rev) AS rev, coalesce(m.project_no, d.project_no) AS project_no
   FROM {META} m JOIN documents d ON d.doc_id = m.doc_id""")
-P["jon15_shared_tokens"] = plan(
-    """WITH t AS (SELECT DISTINCT item_id, doc_id, unnest(string_split_regex(lower(text), '[^a-z0-9]+')) AS token FROM {HEADINGS} h)
-  SELECT a.item_id AS item_a, b.item_id AS item_b, count(*) AS shared FROM t a JOIN t b ON a.doc_id = b.doc_id AND a.token = b.token AND a.item_id < b.item_id
-  WHERE length(a.token) >= 4 GROUP BY a.item_id, b.item_id HAVING count(*) >= 2""",
-    """WITH t AS (SELECT DISTINCT item_id, doc_id, token FROM (SELECT item_id, doc_id, explode(split(lower(text), '[^a-z0-9]+')) AS token FROM {HEADINGS} h) WHERE length(token) >= 4)
-  SELECT a.item_id AS item_a, b.item_id AS item_b, count(*) AS shared FROM t a JOIN t b ON a.doc_id = b.doc_id AND a.token = b.token AND a.item_id < b.item_id
-  GROUP BY a.item_id, b.item_id HAVING count(*) >= 2""",
-)
 _ITEMS = "(SELECT item_id, doc_id, seq, text, page_index, y0, x0, 0 AS kind FROM {HEADINGS} h UNION ALL SELECT item_id, doc_id, seq, text, page_index, y0, x0, 1 AS kind FROM {SPANS} s)"
 P["jon16_as_of_heading"] = plan(
     f"""SELECT item_id, section FROM (SELECT item_id, kind, last_value(CASE WHEN kind = 0 THEN text END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY page_index, y0, kind, seq, item_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS section FROM {_ITEMS} u) t WHERE kind = 1""",
@@ -131,9 +123,9 @@ P["jon22_pack_resolution"] = plan(
 P["agg1_filtered_count"] = plan("SELECT count(*) AS total FROM {ISSUES} i WHERE severity = 'BLOCKER' AND included")
 P["agg2_zero_filled"] = plan("""
   SELECT s.severity, coalesce(n.n, 0) AS issues FROM {SEVERITIES} LEFT JOIN (SELECT severity, count(*) AS n FROM {ISSUES} i GROUP BY severity) n ON n.severity = s.severity""")
-P["agg3_category_severity"] = plan("""
-  SELECT c.category, s.severity, coalesce(n.n, 0) AS issues FROM (SELECT DISTINCT category FROM issues) c CROSS JOIN {SEVERITIES}
-  LEFT JOIN (SELECT category, severity, count(*) AS n FROM {ISSUES} i GROUP BY category, severity) n ON n.category = c.category AND n.severity = s.severity""")
+_EACH = "['BLOCKER', 'CRITICAL', 'HIGH', 'MAJOR', 'MEDIUM', 'MINOR', 'LOW', 'INFO']"
+_AGG3 = "SELECT c.category, c.severity, coalesce(n.n, 0) AS issues FROM (SELECT category, {each} AS severity FROM (SELECT DISTINCT category FROM issues) d) c LEFT JOIN (SELECT category, severity, count(*) AS n FROM {ISSUES} i GROUP BY category, severity) n ON n.category = c.category AND n.severity = c.severity"
+P["agg3_category_severity"] = plan(_AGG3.replace("{each}", f"unnest({_EACH})"), _AGG3.replace("{each}", f"explode(array({_EACH[1:-1]}))"))
 P["agg4_traceability_summary"] = plan("""
   SELECT type, severity, count(*) AS n, count(CASE WHEN severity IN ('CRITICAL', 'BLOCKER') THEN 1 END) AS critical, count(CASE WHEN included THEN 1 END) AS unresolved
   FROM {ISSUES} i WHERE category IN ('TRACEABILITY', 'STANDARD_TRACEABILITY') GROUP BY GROUPING SETS ((type), (severity), ())""")
@@ -146,7 +138,7 @@ P["agg6_portfolio_counters"] = plan("""
 P["agg7_count_distinct"] = plan("SELECT source, count(DISTINCT project_no) AS projects, count(DISTINCT doc_id) AS documents FROM documents GROUP BY source")
 P["agg8_coalesced_count"] = plan("SELECT s.site, coalesce(count(m.doc_no), 0) AS numbered FROM sites s LEFT JOIN {META} m ON m.site = s.site GROUP BY s.site")
 P["agg9_retention_metrics"] = plan("""
-  SELECT min(created_at) AS oldest, count(*) AS documents, count(CASE WHEN created_at < newest - INTERVAL 90 DAY THEN 1 END) AS expired FROM documents, (SELECT max(created_at) AS newest FROM documents) n GROUP BY newest""")
+  SELECT min(created_at) AS oldest, count(*) AS documents, count(CASE WHEN created_at < (SELECT max(created_at) FROM documents) - INTERVAL 90 DAY THEN 1 END) AS expired FROM documents""")
 P["agg10_guard_count"] = plan("SELECT c_nationkey, count(CASE WHEN c_acctbal > 9000 THEN 1 END) AS leads FROM customer GROUP BY c_nationkey HAVING count(CASE WHEN c_acctbal > 9000 THEN 1 END) <= 1")
 P["agg11_disagreeing"] = plan("""
   WITH v AS (SELECT doc_id, 'METADATA' AS source, 1 AS pos, upper(rev) AS value FROM {META} m UNION ALL SELECT doc_id, 'COVER', 2, replace(upper(cover_rev), 'REV ', '') FROM {META} m
@@ -229,7 +221,7 @@ P["srt5_multi_key"] = plan("SELECT source, count(DISTINCT project_no) AS project
 P["srt6_severity_rank"] = plan("SELECT i.issue_id, s.rank, row_number() OVER (PARTITION BY i.doc_id ORDER BY s.rank, i.created_at, i.issue_id) AS position FROM {ISSUES} i JOIN {SEVERITIES} ON s.severity = i.severity")
 P["srt7_alias_rank"] = plan("""
   SELECT issue_id, CASE severity WHEN 'BLOCKER' THEN 0 WHEN 'CRITICAL' THEN 1 WHEN 'HIGH' THEN 2 WHEN 'MAJOR' THEN 2 WHEN 'MEDIUM' THEN 3 WHEN 'MINOR' THEN 3 ELSE 4 END AS rank FROM {ISSUES} i""")
-P["srt8_column_sort"] = plan("SELECT doc_id, title, row_number() OVER (ORDER BY lower(title), doc_id) AS position FROM {META} m WHERE title IS NOT NULL")
+P["srt8_column_sort"] = plan("SELECT doc_id, title FROM {META} m WHERE title IS NOT NULL ORDER BY lower(title), doc_id")
 P["srt9_first_seen_five"] = plan("""
   SELECT doc_id, message, nth FROM (SELECT doc_id, message, row_number() OVER (PARTITION BY doc_id ORDER BY first_seen, message) AS nth FROM (SELECT doc_id, message, min(issue_id) AS first_seen FROM {ISSUES} i WHERE message IS NOT NULL GROUP BY doc_id, message) a) b WHERE nth <= 5""")
 P["srt10_natural_pages"] = plan("""
