@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,18 +26,18 @@ def local_session(cores: int = 8, shuffle_partitions: int | None = None, app: st
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; only where unset (tests) a temporary one is made."""
+    """The shared folder that ``spark.checkpoint.dir`` names; only where it is unset (tests) a temporary one is made."""
     sc = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if not folder:
         folder = "file://" + tempfile.mkdtemp(prefix="docassay-ck-")
         spark.conf.set("spark.checkpoint.dir", folder)
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(folder)
     return folder
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage through a reliable checkpoint in the shared folder (survives executor loss)."""
-    checkpoint_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Cut the lineage by a table in the shared folder: computed once, readable whichever executors are lost."""
+    spark = df.sparkSession
+    path = f"{checkpoint_folder(spark)}/docassay-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
