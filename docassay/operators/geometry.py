@@ -44,8 +44,3 @@ def placed(box: Column, media_width: Column, media_height: Column, pages: Column
         F.greatest(F.lit(0), F.least(box["page_index"], pages - 1)).alias("page_index"), x0.alias("x0"), y0.alias("y0"),
         F.greatest(x1, x0 + LEAST_MARK).alias("x1"), F.greatest(y1, y0 + LEAST_MARK).alias("y1"),
     )
-
-
-def same_line(a: Column, b: Column) -> Column:
-    """True where two boxes overlap or touch."""
-    return (a["page_index"] == b["page_index"]) & (a["x0"] <= b["x1"]) & (b["x0"] <= a["x1"]) & (a["y0"] <= b["y1"]) & (b["y0"] <= a["y1"])

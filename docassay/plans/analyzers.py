@@ -160,7 +160,7 @@ P = {
     "prj19_status": plan("SELECT c_custkey, CASE WHEN count(o_orderkey) = 0 THEN 'EMPTY' WHEN count(CASE WHEN o_orderstatus <> 'F' THEN 1 END) = 0 THEN 'FINISHED' ELSE 'ACTIVE' END AS status FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey"),
     "src9_pack_counts": plan("SELECT pack_id, count(*) AS rules, count(DISTINCT kind) AS kinds, count(CASE WHEN kind = 'numeric_limit' AND numeric_limit_params.limit_value IS NULL THEN 1 END) AS invalid FROM rules GROUP BY pack_id"),
     "src10_pack_registry": plan("SELECT standard, pack_id, count(*) AS rules FROM rules GROUP BY standard, pack_id"),
-    "src13_point_scan": plan("SELECT doc_id, lang, n_chars FROM documents WHERE doc_id = 466"),
+    "src13_point_scan": plan("SELECT doc_id, lang, n_chars FROM documents WHERE source = 'lab_bench'"),
     "src12_envelope_rows": plan("SELECT doc_id, coalesce(nullif(doc_no, ''), cover_no) AS number, coalesce(contractor, originator) AS party FROM {META} m"),
     "fil_snk4_content_hash": plan("SELECT doc_id, sha256(text) AS sha256, length(text) AS n FROM documents WHERE text IS NOT NULL", "SELECT doc_id, sha2(text, 256) AS sha256, length(text) AS n FROM documents WHERE text IS NOT NULL"),
     "agg13_variants": plan(
