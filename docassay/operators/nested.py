@@ -187,11 +187,84 @@ def boxes(df: DataFrame, key: str, column: str) -> DataFrame:
     return found.groupBy(key, "parent_dewey", "parent_path").agg(F.bit_or(F.expr("CASE name WHEN 'x0' THEN 1 WHEN 'y0' THEN 2 WHEN 'x1' THEN 4 ELSE 8 END")).alias("members")).where("members = 15").select(key, F.col("parent_path").alias("box_path")).distinct()
 
 
+def table_rows(text: str | None) -> Iterator[tuple]:
+    """Rows of one record's tables, parents first: the root, every object and every item of an array.
+
+    (table_name, dewey, parent_dewey, ordinal, depth, path, members, owner_dewey, owner_table, name, kind, value, member_kinds).
+    An array that is a member has no row of its own: its items hang by its name from the object that has
+    it. So the owner of a row is its parent, or that object. Scalars and empty arrays are members.
+    """
+    root, good = read_json(text)
+    if not good:
+        return
+    stack = [("", None, None, 0, "", "", None, None, None, _held(root))]
+    while stack:
+        dewey, parent, ordinal, depth, path, schema, owner, owner_table, name, value = stack.pop()
+        table, top = schema or "root", f"{dewey}." if dewey else ""
+        kind, leaf = _kind(value)
+        members: dict[str, tuple[str, str | None]] = {}
+        below = []
+        if kind == "object":
+            dot, sdot = (f"{path}." if path else ""), (f"{schema}." if schema else "")
+            for i, (k, v) in enumerate(value.items()):
+                v = _held(v)
+                if isinstance(v, dict):
+                    below.append((f"{top}{i}", dewey, i, depth + 1, f"{dot}{k}", f"{sdot}{k}", dewey, table, k, v))
+                elif isinstance(v, list) and v:
+                    below.extend((f"{top}{i}.{j}", f"{top}{i}", j, depth + 2, f"{dot}{k}[{j}]", f"{sdot}{k}[]", dewey, table, k, _held(x)) for j, x in enumerate(v))
+                else:
+                    members[k] = _kind(v)
+        elif kind == "array":
+            below.extend((f"{top}{i}", dewey, i, depth + 1, f"{path}[{i}]", f"{schema}[]", dewey, table, None, _held(v)) for i, v in enumerate(value))
+        stack.extend(reversed(below))
+        order = sorted(members)
+        values, kinds = ({k: members[k][1] for k in order}, {k: members[k][0] for k in order}) if order else (None, None)
+        yield table, dewey, parent, ordinal, depth, path, _compact(values), owner, owner_table, name, kind, leaf, _compact(kinds)
+
+
+def _kind(value) -> tuple[str, str | None]:
+    """(kind, value as text) of a node; objects and arrays have no value."""
+    if isinstance(value, dict):
+        return "object", None
+    if isinstance(value, list):
+        return "array", None
+    if value is None:
+        return "null", None
+    if isinstance(value, bool):
+        return "boolean", str(value).lower()
+    return ("number", repr(value)) if isinstance(value, (int, float)) else ("string", value)
+
+
+def _compact(value: dict | None) -> str | None:
+    return None if value is None else json.dumps(value, ensure_ascii=False, separators=(",", ":"))
+
+
 def flat_tables(df: DataFrame, key: str, column: str) -> DataFrame:
-    """One row per object: its table (schema path), key, label, parent label and table, and scalar members as a map."""
-    flat = nodes(df.dropDuplicates([key]), key, column)
-    scalars = flat.where("kind NOT IN ('object', 'array') AND name IS NOT NULL").groupBy(key, F.col("parent_dewey").alias("dewey")).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("name", "value")))).alias("members"))
-    objects = flat.where("kind = 'object'").select(key, "dewey", "parent_dewey", "ordinal", "depth", "path", "schema_path")
-    return objects.join(scalars, [key, "dewey"], "left").select(
-        F.when(F.col("schema_path") == "", "root").otherwise(F.col("schema_path")).alias("table_name"), key, "dewey", "parent_dewey", "ordinal", "depth", "path", F.to_json("members").alias("members")
-    )
+    """One row per root, object and array item: its table (schema path), key, label, parent label, members and value.
+
+    parent_dewey is the label of the parent node; owner_dewey and owner_table name the nearest ancestor that
+    has a row, and name is the member of it that the row belongs to (null in an array). The tables alone
+    give the record back.
+    """
+    fields = [("table_name", pa.string()), (key, pa.int64()), ("dewey", pa.string()), ("parent_dewey", pa.string()), ("ordinal", pa.int32()), ("depth", pa.int32()), ("path", pa.string()), ("members", pa.string())]
+    fields += [(n, pa.string()) for n in ("owner_dewey", "owner_table", "name", "kind", "value", "member_kinds")]
+    schema = pa.schema(fields)
+
+    def shred(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def batch(rows: list) -> pa.RecordBatch:
+            columns = list(zip(*rows, strict=True)) if rows else [[] for _ in fields]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(columns, fields, strict=True)], schema=schema)
+
+        for b in batches:
+            rows = []
+            for k, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                for table, *rest in table_rows(text):
+                    rows.append((table, k, *rest))
+                    if len(rows) >= OUT_ROWS:
+                        yield batch(rows)
+                        rows = []
+            yield batch(rows)
+
+    types = {pa.string(): "string", pa.int64(): "bigint", pa.int32(): "int"}
+    once = df.dropDuplicates([key]).select(F.col(key).cast("bigint").alias(key), F.col(column).alias("record_text"))
+    return once.where("record_text IS NOT NULL").mapInArrow(shred, ", ".join(f"`{n}` {types[t]}" for n, t in fields))

@@ -55,5 +55,42 @@ def test_flat_tables(spark):
     assert set(got) == {("root", ""), ("o[]", "1.0"), ("o[]", "1.1")} and json.loads(got["o[]", "1.1"].members) == {"n": "2"} and got["o[]", "1.1"].parent_dewey == "1"
 
 
+def rebuilt(rows):
+    """The record from the rows of its flat tables alone."""
+    leaf = lambda kind, value: [] if kind == "array" else {} if kind == "object" else None if kind == "null" else value == "true" if kind == "boolean" else json.loads(value) if kind == "number" else value
+    built = {}
+    for r in sorted(rows, key=lambda r: [int(x) for x in r.dewey.split(".")] if r.dewey else []):
+        built[r.dewey] = new = leaf(r.kind, r.value)
+        kinds = json.loads(r.member_kinds or "{}")
+        for k, v in json.loads(r.members or "{}").items():
+            new[k] = leaf(kinds[k], v)
+        if r.dewey:
+            owner = built[r.owner_dewey]
+            if isinstance(owner, list):
+                owner.append(new)
+            elif r.owner_dewey == r.parent_dewey:
+                owner[r.name] = new
+            else:
+                owner.setdefault(r.name, []).append(new)
+    return built[""]
+
+
+def test_flat_tables_alone_give_the_record_back(spark):
+    records = [
+        {"blocks": [{"lines": [{"dir": [1, 0.5]}, {"dir": []}], "n": None}], "sources": ["A", "1", None, True], "q": [[1, [2]], [], {}], "e": {}, "z": [], "a.b": {"c[0]": [{"d": "x"}]}},
+        [1, "two", [3]],
+        [],
+        "text",
+        {"k": {"k": {"k": [{"k": [{"k": "1"}]}]}}},
+    ]
+    df = spark.createDataFrame([(i, json.dumps(r), "") for i, r in enumerate(records)], ISSUES)
+    rows = nested.flat_tables(df, "issue_id", "evidence").collect()
+    for i, record in enumerate(records):
+        assert rebuilt([r for r in rows if r.issue_id == i]) == record
+    tables = {(r.issue_id, r.dewey): r.table_name for r in rows}
+    assert all(tables[r.issue_id, r.owner_dewey] == r.owner_table for r in rows if r.dewey)
+    assert {r.value for r in rows if r.table_name == "blocks[].lines[].dir[]"} == {"1", "0.5"}
+
+
 def test_empty(spark):
     assert nested.boxes(spark.createDataFrame([], ISSUES), "issue_id", "evidence").count() == 0
