@@ -130,29 +130,36 @@ def ambiguity(spans: DataFrame) -> DataFrame:
 
 # ---- spelling ---------------------------------------------------------------------------------
 
-#: A word seen so often in the corpus counts as known; shorter words are not judged.
-KNOWN_TIMES, SHORTEST = 5, 3
+#: A word counts as known from so many places and such a share of all words on, whatever the size of the corpus;
+#: shorter words are not judged.
+KNOWN_TIMES, KNOWN_SHARE, SHORTEST = 5, 7e-6, 3
 # Frequent misspellings of the field with their correction.
 TYPOS = {"acheive": "achieve", "recieve": "receive", "seperate": "separate", "occured": "occurred", "corossion": "corrosion", "preasure": "pressure", "temparature": "temperature", "maintainance": "maintenance", "thicknes": "thickness", "inspecton": "inspection", "calibraton": "calibration", "equipement": "equipment", "vesel": "vessel", "materal": "material", "teh": "the"}
 
 
 def spelling(spans: DataFrame, terms: DataFrame | None = None) -> DataFrame:
-    """(doc_id, page_index, y0, word, suggestion, confidence) of unknown words with a suggestion.
+    """(doc_id, page_index, y0, word, suggestion, confidence) of listed typos and unknown words.
 
-    The corpus itself is the vocabulary: words seen KNOWN_TIMES or more. A suggestion is a listed typo's
-    correction, or the known word that equals the unknown one after one deletion in either; deletions
+    A listed typo is reported however often it occurs, unless terms hold it. The corpus itself is the
+    vocabulary: words of KNOWN_TIMES places and a share of KNOWN_SHARE. A suggestion is a listed
+    typo's correction, or the known word that equals the unknown one after one deletion in either; deletions
     are the join key, so no word is compared with the whole vocabulary.
     """
     once = spans.dropDuplicates(["item_id"]).where("text IS NOT NULL").select("doc_id", F.col("bbox.page_index").alias("page_index"), F.col("bbox.y0").alias("y0"), F.explode(F.regexp_extract_all("text", F.lit(r"(?<![\p{L}\p{N}_/-])(\p{L}+)(?![\p{L}\p{N}_/-])"), 1)).alias("word"))
     once = once.where(f"length(word) >= {SHORTEST} AND NOT word RLIKE '^[A-Z]{{2,8}}$'").withColumn("low", F.lower("word"))
     counts = once.groupBy("low").agg(F.count("*").alias("times"))
-    known = counts.where(f"times >= {KNOWN_TIMES}").select("low")
+    typo = F.create_map(*[F.lit(x) for kv in TYPOS.items() for x in kv])[F.col("low")]
+    total = counts.agg(F.sum("times")).scalar()
+    common = (F.col("times") >= KNOWN_TIMES) & (F.col("times") >= total * KNOWN_SHARE)
+    known = counts.where((common & typo.isNull())).select("low")
+    listed = counts.where(typo.isNotNull()).select("low")
     if terms is not None:
-        known = known.unionByName(terms.select(F.lower("term").alias("low"))).distinct()
-    unknown = counts.join(known, "low", "left_anti").where("length(low) >= 4")
-    typo = F.create_map(*[F.lit(x) for kv in TYPOS.items() for x in kv])
+        own = terms.select(F.lower("term").alias("low")).distinct()
+        known, listed = known.unionByName(own).distinct(), listed.join(own, "low", "left_anti")
+    unknown = counts.select("low").join(known, "low", "left_anti").where(typo.isNull())
     shorter = F.expr("array_distinct(concat(array(low), transform(sequence(1, length(low)), i -> concat(substr(low, 1, i - 1), substr(low, i + 1)))))")
     # words of up to this length have neighbours looked up; longer strings are codes, not words
-    neighbours = unknown.where("length(low) <= 40").withColumn("k", F.explode(shorter)).alias("u").join(known.where("length(low) BETWEEN 3 AND 41").withColumn("k", F.explode(shorter)).alias("v"), "k").where("abs(length(u.low) - length(v.low)) <= 1").groupBy(F.col("u.low").alias("low")).agg(F.min("v.low").alias("near"))
-    suggested = unknown.join(neighbours, "low", "left").withColumn("suggestion", F.coalesce(typo[F.col("low")], "near")).where("suggestion IS NOT NULL").select("low", "suggestion", F.when(typo[F.col("low")].isNotNull(), 0.95).otherwise(0.80).alias("confidence"))
-    return once.join(suggested, "low").withColumn("band", F.bround("y0")).dropDuplicates(["doc_id", "page_index", "low", "band"]).select("doc_id", "page_index", "y0", "word", "suggestion", "confidence")
+    neighbours = unknown.where("length(low) <= 40").withColumn("k", F.explode(shorter)).alias("u").join(known.where("length(low) BETWEEN 3 AND 41").withColumn("k", F.explode(shorter)).alias("v"), "k").where("abs(length(u.low) - length(v.low)) <= 1").groupBy(F.col("u.low").alias("low")).agg(F.min("v.low").alias("suggestion"))
+    judged = unknown.join(neighbours, "low", "left").where("suggestion IS NOT NULL")
+    found = judged.unionByName(listed.withColumn("suggestion", typo)).withColumn("confidence", F.when(F.col("suggestion").isNotNull(), 0.95).otherwise(0.80))
+    return once.join(found, "low").withColumn("band", F.bround("y0")).dropDuplicates(["doc_id", "page_index", "low", "band"]).select("doc_id", "page_index", "y0", "word", "suggestion", "confidence")

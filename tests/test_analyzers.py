@@ -162,6 +162,11 @@ def test_spelling(spark):
     assert got == {("presure", "pressure"), ("vesel", "vessel"), ("inspektion", "inspection")}
 
 
+def test_spelling_keeps_its_meaning_with_size(spark):
+    rows = [(d, " ".join(["pressure"] * 100_000), 0, 10.0) for d in range(10)] + [(d, "presure", 0, 30.0) for d in range(5)]
+    assert {(r.word, r.suggestion) for r in language.spelling(spans(spark, rows)).collect()} == {("presure", "pressure")}
+
+
 def test_lines_and_unclosed(spark):
     df = spark.createDataFrame([(1, 1, 0, "The pump", Row(0, 10.0, 100.0, 60.0, 112.0, 612.0, 792.0), "c"), (2, 1, 1, "was opened", Row(0, 65.0, 101.0, 120.0, 112.0, 612.0, 792.0), "c"), (3, 1, 2, "far away", Row(0, 300.0, 101.0, 350.0, 112.0, 612.0, 792.0), "c"), (4, 1, 3, "below", Row(0, 10.0, 130.0, 60.0, 142.0, 612.0, 792.0), "c")], SPAN)
     assert [(r.text, r.x1) for r in language.lines(df).collect()] == [("The pump was opened", 120.0)]
