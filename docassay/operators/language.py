@@ -131,19 +131,45 @@ def ambiguity(spans: DataFrame) -> DataFrame:
 # ---- spelling ---------------------------------------------------------------------------------
 
 #: A word counts as known from so many places and such a share of all words on, whatever the size of the corpus;
-#: shorter words are not judged.
-KNOWN_TIMES, KNOWN_SHARE, SHORTEST = 5, 7e-6, 3
+#: shorter words are not judged, and words without a suggestion only from UNSUGGESTED letters on.
+KNOWN_TIMES, KNOWN_SHARE, SHORTEST, UNSUGGESTED = 5, 7e-6, 3, 4
+#: Scripts written without spaces: a run of their letters is no word.
+SPACELESS = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}]"
 # Frequent misspellings of the field with their correction.
-TYPOS = {"acheive": "achieve", "recieve": "receive", "seperate": "separate", "occured": "occurred", "corossion": "corrosion", "preasure": "pressure", "temparature": "temperature", "maintainance": "maintenance", "thicknes": "thickness", "inspecton": "inspection", "calibraton": "calibration", "equipement": "equipment", "vesel": "vessel", "materal": "material", "teh": "the"}
+TYPOS = {
+    "teh": "the", "recieve": "receive", "recieved": "received", "recieving": "receiving", "temprature": "temperature", "temparature": "temperature",
+    "prcedure": "procedure", "procedeure": "procedure", "specifcation": "specification", "specificaton": "specification", "requirment": "requirement",
+    "requirments": "requirements", "calbration": "calibration", "calibraton": "calibration", "tensil": "tensile", "yeild": "yield",
+    "elongtion": "elongation", "hardnes": "hardness", "diminsion": "dimension", "diminsions": "dimensions", "thicknes": "thickness",
+    "wellding": "welding", "electrod": "electrode", "electrods": "electrodes", "seperator": "separator", "tolerence": "tolerance",
+    "definate": "definite", "occurrance": "occurrence", "accaptable": "acceptable", "complience": "compliance", "verifcation": "verification",
+    "ceritificate": "certificate", "inspecon": "inspection", "audite": "audit", "criterea": "criteria", "appoved": "approved", "disscuss": "discuss",
+    "independant": "independent", "maintainance": "maintenance", "matieral": "material", "metallurigal": "metallurgical", "radiogaphy": "radiography",
+    "ultrasonc": "ultrasonic", "referance": "reference",
+    # further ones of the field
+    "acheive": "achieve", "seperate": "separate", "occured": "occurred", "corossion": "corrosion", "preasure": "pressure", "inspecton": "inspection",
+    "equipement": "equipment", "vesel": "vessel", "materal": "material",
+}
+# Terms, acronyms and symbols of the field, never reported.
+TERMS = """
+    aisi annealed ansi api asme astm austenite austenitic aws bainitic bevel bop brinell bsi butt calibrated calibration car carbide cen charpy cmtr
+    conformance cra crevice csa cvn dimensional din dnv ductility duplex ebw eds egw electrode elongation esw extruded fastener fat fcaw ferrite
+    ferritic fillet fitting flange flux forged galvanized gmaw grissik groove gtaw hardness hastelloy haz hbw hic hrb hrc hydrostatic hydrotest
+    inconel intergranular iso itb itp jis lapi lbw martensite martensitic mdr medco metallurgical metallurgy microalloyed microstructure monel mss mtr
+    nace ncr nde ndt nimonic nonconformance normalized nozzle nps oes passivation paw pearlitic pertamina piping pitting pmi pneumatic pqr pren pwht
+    quenched radiography reksolindo rockwell rul sat saw scc sch seamless sem shielding smaw sohic specimen specimens spectrometric spectrometry
+    spectroscopy ssc stellite superduplex szc tempered tensile tmin tolerance toughness tpi transgranular tubing ultrasonic uns uts vickers
+    weldability welded wpq wps yield
+""".split()
 
 
 def spelling(spans: DataFrame, terms: DataFrame | None = None) -> DataFrame:
     """(doc_id, page_index, y0, word, suggestion, confidence) of listed typos and unknown words.
 
     A listed typo is reported however often it occurs, unless terms hold it. The corpus itself is the
-    vocabulary: words of KNOWN_TIMES places and a share of KNOWN_SHARE. A suggestion is a listed
+    vocabulary, with TERMS: words of KNOWN_TIMES places and a share of KNOWN_SHARE. A suggestion is a listed
     typo's correction, or the known word that equals the unknown one after one deletion in either; deletions
-    are the join key, so no word is compared with the whole vocabulary.
+    are the join key, so no word is compared with the whole vocabulary. Without one the suggestion is null.
     """
     once = spans.dropDuplicates(["item_id"]).where("text IS NOT NULL").select("doc_id", F.col("bbox.page_index").alias("page_index"), F.col("bbox.y0").alias("y0"), F.explode(F.regexp_extract_all("text", F.lit(r"(?<![\p{L}\p{N}_/-])(\p{L}+)(?![\p{L}\p{N}_/-])"), 1)).alias("word"))
     once = once.where(f"length(word) >= {SHORTEST} AND NOT word RLIKE '^[A-Z]{{2,8}}$'").withColumn("low", F.lower("word"))
@@ -151,7 +177,7 @@ def spelling(spans: DataFrame, terms: DataFrame | None = None) -> DataFrame:
     typo = F.create_map(*[F.lit(x) for kv in TYPOS.items() for x in kv])[F.col("low")]
     total = counts.agg(F.sum("times")).scalar()
     common = (F.col("times") >= KNOWN_TIMES) & (F.col("times") >= total * KNOWN_SHARE)
-    known = counts.where((common & typo.isNull())).select("low")
+    known = counts.where((common & typo.isNull()) | F.col("low").isin(TERMS)).select("low")
     listed = counts.where(typo.isNotNull()).select("low")
     if terms is not None:
         own = terms.select(F.lower("term").alias("low")).distinct()
@@ -160,6 +186,6 @@ def spelling(spans: DataFrame, terms: DataFrame | None = None) -> DataFrame:
     shorter = F.expr("array_distinct(concat(array(low), transform(sequence(1, length(low)), i -> concat(substr(low, 1, i - 1), substr(low, i + 1)))))")
     # words of up to this length have neighbours looked up; longer strings are codes, not words
     neighbours = unknown.where("length(low) <= 40").withColumn("k", F.explode(shorter)).alias("u").join(known.where("length(low) BETWEEN 3 AND 41").withColumn("k", F.explode(shorter)).alias("v"), "k").where("abs(length(u.low) - length(v.low)) <= 1").groupBy(F.col("u.low").alias("low")).agg(F.min("v.low").alias("suggestion"))
-    judged = unknown.join(neighbours, "low", "left").where("suggestion IS NOT NULL")
+    judged = unknown.join(neighbours, "low", "left").where(F.col("suggestion").isNotNull() | ((F.length("low") >= UNSUGGESTED) & ~F.col("low").rlike(SPACELESS)))
     found = judged.unionByName(listed.withColumn("suggestion", typo)).withColumn("confidence", F.when(F.col("suggestion").isNotNull(), 0.95).otherwise(0.80))
     return once.join(found, "low").withColumn("band", F.bround("y0")).dropDuplicates(["doc_id", "page_index", "low", "band"]).select("doc_id", "page_index", "y0", "word", "suggestion", "confidence")

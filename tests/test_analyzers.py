@@ -162,6 +162,15 @@ def test_spelling(spark):
     assert got == {("presure", "pressure"), ("vesel", "vessel"), ("inspektion", "inspection")}
 
 
+def test_spelling_of_listed_typos_and_unknown_words(spark):
+    often = [(1, "the preasure gauge", 0, i * 20.0) for i in range(8)]
+    rows = often + [(2, "teh yeild of gauge zorbifax", 0, 10.0), (2, "qzj 高温高压容器", 0, 30.0)]
+    got = {(r.word, r.suggestion, r.confidence) for r in language.spelling(spans(spark, rows)).collect()}
+    assert got == {("preasure", "pressure", 0.95), ("teh", "the", 0.95), ("yeild", "yield", 0.95), ("zorbifax", None, 0.80)}
+    terms = spark.createDataFrame([("Yeild",), ("zorbifax",)], "term string")
+    assert {r.word for r in language.spelling(spans(spark, rows), terms).collect()} == {"preasure", "teh"}
+
+
 def test_spelling_keeps_its_meaning_with_size(spark):
     rows = [(d, " ".join(["pressure"] * 100_000), 0, 10.0) for d in range(10)] + [(d, "presure", 0, 30.0) for d in range(5)]
     assert {(r.word, r.suggestion) for r in language.spelling(spans(spark, rows)).collect()} == {("presure", "pressure")}
