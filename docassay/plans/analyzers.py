@@ -40,7 +40,10 @@ def _drift(s: SparkSession, d: str) -> DataFrame:
 def _signals(s: SparkSession, d: str) -> DataFrame:
     spans = table(s, d, "spans")
     repeats = language.matches(spans.dropDuplicates(["item_id"]).select("doc_id", "item_id", "text"), "text", [r for r in language.GRAMMAR if "REPEATED" in r[0]])
-    return scorecard.signals(_items(s, d), table(s, d, "cells"), references.citations(_items(s, d)), repeats, layout.uncontrolled(table(s, d, "pdf_pages")))
+    items, cells = _items(s, d), table(s, d, "cells")
+    faults = language.grammar(spans).select("doc_id", "page_index").unionByName(language.ambiguity(spans).select("doc_id", "page_index")).unionByName(language.spelling(spans).select("doc_id", "page_index"))
+    metadata = table(s, d, "doc_metadata").select("doc_id", F.concat_ws(" ", "title", "original_filename").alias("named")).unionByName(table(s, d, "documents").select("doc_id", F.col("doc_type").alias("named")))
+    return scorecard.signals(items, cells, references.citations(items), repeats, layout.uncontrolled(table(s, d, "pdf_pages")), layout.voids(layout.metrics(_placed(s, d))), _drift(s, d).where("kind = 'PAGE_DRIFT'"), consistency.contradictions(cells, items), faults, metadata)
 
 
 def _merged(s: SparkSession, d: str) -> DataFrame:

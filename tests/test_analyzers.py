@@ -329,6 +329,20 @@ def test_scorecard_averages(spark):
     assert got == {(1, "I"): (3.0, 1), (1, "II"): (5.0, 0), (1, "ALL"): (3.67, 1), (2, "I"): (3.0, 0), (2, "ALL"): (3.0, 0)}
 
 
+def test_scorecard_has_all_items(spark):
+    h = heads(spark, [(1, "Introduction", 1, 0, 10), (1, "Methodology", 1, 0, 30), (1, "Conclusions", 1, 0, 60), (2, "Test procedure", 1, 0, 10)])
+    said = [(1, "The purpose of this", 0, 15), (1, "report is stated. Scope of work.", 0, 20), (1, "Step 1 is to measure.", 0, 40), (1, "See Table 3.", 0, 70), (2, "Do it.", 0, 20)]
+    items = references.ordered_items(h, spans(spark, said))
+    none = spark.createDataFrame([], "doc_id long, item_id long, page_index int, year int, named string")
+    signals = scorecard.signals(items, cells(spark), none, none, none, none, none, none, none, none)
+    rows = scorecard.scores(signals).collect()
+    groups = {g: sum(r.doc_id == 1 and r.grp == g for r in rows) for g in ("I", "II", "III", "IV")}
+    assert groups == {"I": 9, "II": 11, "III": 11, "IV": 10}
+    got = {(r.doc_id, r.item): r.score for r in rows}
+    assert got[1, "purpose_of_report_clear"] == 5 and got[1, "objective_of_report_clear"] == 3 and got[1, "conclusions_clear"] == 2 and got[1, "sections_logical"] == 5 and got[1, "experimental_steps_outlined"] == 5
+    assert {k for (doc, k), v in got.items() if v is None and doc == 2} == {"experimental_steps_outlined", "adequate_detail_to_repeat", "discussion_relates_to_others", "discussion_length_appropriate"}
+
+
 def test_merged_first_wins(spark):
     one = spark.createDataFrame([(1, 0, "x"), (1, 0, "x"), (2, 1, "y")], "doc_id long, page_index int, m string")
     a = findings.as_issues(one, 1, "LAYOUT", F.lit("UNCONTROLLED_PAGE"), F.col("page_index"), F.col("m"))
