@@ -158,6 +158,17 @@ def scores(signal_rows: DataFrame) -> DataFrame:
     return signal_rows.select("doc_id", F.explode(F.expr(f"array({parts})")).alias("s")).select("doc_id", "s.*")
 
 
+def baselines(signal_rows: DataFrame) -> DataFrame:
+    """(doc_id, purpose_distinct, procedure_repeatable, conclusions_valid, recommendations_actionable): the four baselines."""
+    return signal_rows.select("doc_id", "purpose_distinct", "procedure_repeatable", "conclusions_valid", "recommendations_actionable")
+
+
+def not_applicable(signal_rows: DataFrame) -> DataFrame:
+    """(doc_id, item, score, status) of the items that apply to laboratory reports only; NOT_APPLICABLE has a null score."""
+    judged = scores(signal_rows).where(F.col("item").isin("experimental_steps_outlined", "adequate_detail_to_repeat", "discussion_relates_to_others", "discussion_length_appropriate"))
+    return judged.select("doc_id", "item", "score", F.when(F.col("score").isNull(), "NOT_APPLICABLE").otherwise("EVALUATED").alias("status"))
+
+
 def averages(score_rows: DataFrame) -> DataFrame:
     """(doc_id, grp, average, rework): averages of each group and over all (grp 'ALL'), two decimals; items at 2 or less need rework."""
     rolled = score_rows.rollup("doc_id", "grp").agg(F.round(F.avg("score"), 2).alias("average"), F.count_if(F.col("score") <= 2).alias("rework"), F.grouping("grp").alias("g"))

@@ -98,6 +98,8 @@ Q = {
     "txt18_signals": _signals,
     "txt20_scorecard": lambda s, d: scorecard.scores(_signals(s, d)),
     "agg20_group_averages": lambda s, d: scorecard.averages(scorecard.scores(_signals(s, d))),
+    "txt19_four_baselines": lambda s, d: scorecard.baselines(_signals(s, d)),
+    "txt22_non_laboratory_items": lambda s, d: scorecard.not_applicable(_signals(s, d)),
     "txt24_rule_findings": lambda s, d: rules.all_findings(_texts(s, d), _rules(s, d)),
     "txt25_generic_rules": _judged,
     "agg23_pack_confusion": lambda s, d: rules.confusion(table(s, d, "benchmarks"), _rules(s, d)),
