@@ -87,7 +87,7 @@ Q = {
     "txt8_grammar": lambda s, d: language.grammar(table(s, d, "spans")),
     "txt9_unclosed_sections": lambda s, d: language.unclosed(_items(s, d)),
     "txt10_near_duplicates": lambda s, d: duplicates.near_duplicates(table(s, d, "spans")),
-    "jon15_similarity_join": lambda s, d: duplicates.near_duplicates(table(s, d, "headings").selectExpr("item_id", "doc_id", "seq", "text", "bbox"), 95),
+    "jon15_similarity_join": lambda s, d: duplicates.near_duplicates(table(s, d, "headings").select("item_id", "doc_id", "seq", "text", "bbox").unionByName(table(s, d, "spans").select("item_id", "doc_id", "seq", "text", "bbox"))),
     "txt11_ambiguity": lambda s, d: language.ambiguity(table(s, d, "spans")),
     "txt12_band_contradictions": lambda s, d: consistency.contradictions(table(s, d, "cells"), _items(s, d)),
     "txt13_page_breaks": lambda s, d: layout.page_breaks(_items(s, d)),

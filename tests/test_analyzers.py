@@ -378,3 +378,12 @@ def test_last_heading_against_brute_force(spark):
         want[r[0]] = last.get(r[1])
     got = {r.item_id: r.head.item_id if r.head else None for r in with_heading(df).collect()}
     assert got == want
+
+
+def test_similarity_join_takes_headings_and_spans(spark, tmp_path):
+    from docassay.plans import analyzers
+
+    heads(spark, [(1, "Thickness survey of the lower shell plates", 1, 0, 100)]).write.parquet(f"{tmp_path}/headings.parquet")
+    spans(spark, [(1, "Thickness survey of the lower shell plating", 0, 200)]).write.parquet(f"{tmp_path}/spans.parquet")
+    rows = analyzers.Q["jon15_similarity_join"](spark, str(tmp_path)).collect()
+    assert len(rows) == 1 and 85 <= rows[0].similarity < 95
