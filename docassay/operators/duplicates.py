@@ -19,8 +19,8 @@ from pyspark.sql.types import DoubleType
 
 #: Similarity in percent, shortest block, largest relative difference of lengths, shortest word, share of words.
 THRESHOLD, SHORTEST, LENGTH_GAP, WORD, SHARED = 85, 30, 0.35, 4, 0.2
-# Lines that repeat on every page.
-BOILERPLATE = ["confidential", "uncontrolled when printed", "printed copies are uncontrolled"]
+# Boilerplate lines.
+BOILERPLATE = ["confidential", "proprietary", "all rights reserved"]
 
 
 def common_length(a: str, b: str) -> int:

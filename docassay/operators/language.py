@@ -29,6 +29,7 @@ GRAMMAR = [
     ("RULE_GRAMMAR_AGREEMENT", "grammar_error", r"\b((?:specimens|results|tests|measurements|readings|calculations)\s+)(?:was|is)\b", "$1were"),
     ("RULE_GRAMMAR_AGREEMENT", "grammar_error", r"\b((?:specimen|result|test|measurement|reading|calculation)\s+)(?:were|are)\b", "$1was"),
 ]
+# Fixed value: two numbers that are compared.
 PRECISION_PAIR = r"([0-9]+\.[0-9]+)\s*(?:vs\.?|versus|compared\s+(?:with|to))\s*([0-9]+\.[0-9]+)"
 # Vague directives and passive wording.
 VAGUE = [

@@ -19,6 +19,7 @@ STANDARDS = {
     "ISO": r"\b((?:EN\s+)?ISO\s+[0-9]{3,6}(?:-[0-9]+)?)(?:\s*[-:,(]\s*((?:19|20)[0-9]{2})\)?)?\b",
     "SITE": r"\b((?:QN|MPC|TRS)\s+[0-9]{1,4})(?:\s*[-:,(]\s*((?:19|20)[0-9]{2})\)?)?\b",
 }
+# Codes that stand without a series, headings of a bibliography, entries of a list of contents, revision labels.
 BARE_API = ["510", "570", "579", "650", "653", "1104", "5L", "6A"]
 BIBLIOGRAPHY = r"^(?i)(?:[0-9]+(?:\.[0-9]+)*\s+)?(?:NORMATIVE\s+)?(?:REFERENCES?|BIBLIOGRAPHY|CODES?\s+AND\s+STANDARDS?)$"
 ENTRY = r"^(?i)(.+?)(?:[.\s\t_–—]{2,}|\s{2,}|\t+)([ivxlcdm]+|[0-9]+)\s*$"

@@ -1,9 +1,11 @@
 """Mixed timestamp notations brought to one unambiguous day or instant.
 
 Local times meet zone-offset intervals in an as-of join: the intervals of each zone are exploded by
-local year, so an equi-join on (zone, year) plus a range condition finds them. One matching interval
-gives the offset, two mean an hour that occurs twice (the first is taken), none means a skipped hour
-(it moves forward by the gap, that is, the offset before the gap holds).
+local year, so an equi-join on (zone, year) plus a range condition finds them. The number of matching
+intervals is the status of a wall-clock time: one gives the offset directly, two mean an ambiguous
+hour (it occurs twice, the first is taken), none means a nonexistent one (it moves forward by the gap,
+that is, the offset of the interval before the gap holds). No year is left out: before the table the
+first offset holds, and behind it the rules repeat every 400 years, as the calendar does.
 
 Defined results: null, empty and unreadable texts, days and times that do not exist, and precisions
 coarser than a day (year, month, quarter) give no row; all-numeric dates need a site that tells their
@@ -13,6 +15,7 @@ order; a redelivered record counts once; fractions of a second are cut off.
 from __future__ import annotations
 
 from datetime import UTC, datetime, timedelta
+from functools import lru_cache
 from zoneinfo import ZoneInfo
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -35,12 +38,14 @@ MONTHS = {
 }
 # Abbreviations that the zone database gives only as digits.
 EXTRA_ABBREVIATIONS = [("Asia/Singapore", "SGT", 28800), ("Asia/Jakarta", "WIB", 25200), ("Asia/Kolkata", "IST", 19800), ("Asia/Tokyo", "JST", 32400)]
-#: Local years that the interval table covers.
-YEARS = range(1970, 2100)
+#: Local years of the interval table: before it zones keep their first offset, and its last 400 years repeat for ever.
+YEARS, CYCLE = range(1800, 2440), 400
+OLDEST = int(datetime(YEARS[0], 1, 1, tzinfo=UTC).timestamp())
 
 
+@lru_cache(maxsize=64)
 def offset_intervals(zone: str) -> list[tuple[int, int, int, str]]:
-    """(utc start, utc end, offset, abbreviation) of a zone over YEARS, by bisection of hours."""
+    """(utc start, utc end, offset, abbreviation) of a zone over YEARS, by bisection of hours; the first reaches back for ever."""
     tz, step = ZoneInfo(zone), timedelta(hours=6)
     at, end = datetime(YEARS[0] - 1, 12, 1, tzinfo=UTC), datetime(YEARS[-1] + 1, 2, 1, tzinfo=UTC)
 
@@ -62,7 +67,7 @@ def offset_intervals(zone: str) -> list[tuple[int, int, int, str]]:
         else:
             at = then
     out.append((int(begun.timestamp()), int(end.timestamp()), *now))
-    return out
+    return [(-(1 << 50), *out[0][1:]), *out[1:]]
 
 
 def interval_tables(spark: SparkSession, zones: list[str]) -> tuple[DataFrame, DataFrame]:
@@ -72,7 +77,7 @@ def interval_tables(spark: SparkSession, zones: list[str]) -> tuple[DataFrame, D
         found = offset_intervals(zone)
         for i, (start, end, offset, name) in enumerate(found):
             reach = max(end + offset, found[i + 1][0] + found[i + 1][2]) if i + 1 < len(found) else end + offset
-            first, last = (datetime.fromtimestamp(x, UTC).year for x in (start + offset, reach))
+            first, last = (datetime.fromtimestamp(max(x, OLDEST), UTC).year for x in (start + offset, reach))
             spans.extend((zone, y, start + offset, end + offset, reach, offset) for y in range(first, last + 1))
             if name[:1] not in "+-":
                 names[zone, name] = offset
@@ -138,8 +143,12 @@ def parsed(df: DataFrame, text: str, day_first: str) -> DataFrame:
     return out.drop("_t", "_o", "_p", "_mon", "_y", "_a", "_b", "_c", "_h", "_mi", "_s", "_h0", "_ap", "_day", "h", "mi", "s", "y", "mo", "d")
 
 
-def unambiguous(spark: SparkSession, metadata: DataFrame, sites: DataFrame) -> DataFrame:
-    """(doc_id, field, iso) of each date text of an upload that names an existing day or instant."""
+def resolved(spark: SparkSession, metadata: DataFrame, sites: DataFrame) -> DataFrame:
+    """(doc_id, field, iso, status) of each date text of an upload that names a day or an instant.
+
+    status: DAY (no time), EPOCH (digits alone), ZONED (the text states its zone), and of wall-clock times UNIQUE,
+    AMBIGUOUS or NONEXISTENT by the number of zone-offset intervals that hold them.
+    """
     by_site = sites.select(F.col("site").alias("_site"), "time_zone", "day_first").dropDuplicates(["_site"])
     # the sites are a small fixed dimension; its zones set the size of the interval table
     zones = sorted({r.time_zone for r in by_site.select("time_zone").distinct().collect() if r.time_zone})
@@ -157,9 +166,26 @@ def unambiguous(spark: SparkSession, metadata: DataFrame, sites: DataFrame) -> D
         .otherwise(F.col("zone_offset")),
     )
     got = got.withColumn("wall", F.when(F.col("local").isNotNull() & (F.coalesce(F.col("zone_text"), F.lit("")) == ""), F.col("local")))
-    hit = (got.time_zone == spans.zone) & (F.year(F.timestamp_seconds("wall")) == spans.year) & (got.wall >= spans.local_start) & (got.wall < spans.reach_end)
-    placed = got.join(F.broadcast(spans), hit, "left")
-    # of the intervals that hold the time the first counts; a time in a gap is held by the one before it
-    instant = F.coalesce("epoch", F.col("local") - F.col("stated"), F.col("wall") - F.col("offset"))
+    # a time outside of the table is looked up where its year stands in it, whole calendar cycles away
+    year, cycle_seconds = F.year(F.timestamp_seconds("wall")), CYCLE * 146097 // 400 * 86400
+    cycles = F.greatest(F.lit(0), F.ceil((year - (YEARS[-1] - 1)) / CYCLE)).cast("bigint")
+    got = got.withColumn("held", F.col("wall") - cycles * cycle_seconds).withColumn("held_year", F.greatest(F.lit(YEARS[0]), year - cycles * CYCLE))
+    hit = (got.time_zone == spans.zone) & (got.held_year == spans.year) & (got.held >= spans.local_start) & (got.held < spans.reach_end)
+    # an interval reaches over the gap behind it, but a time in the gap doesn't match it
+    placed = got.join(F.broadcast(spans), hit, "left").withColumn("matches", F.col("held") < F.col("local_end"))
+    key = ["doc_id", "field", "day", "epoch", "local", "stated", "wall"]
+    offset = F.coalesce(F.max(F.when(F.col("matches"), F.col("offset"))), F.max("offset"))
+    one = placed.groupBy(*key).agg(offset.alias("wall_offset"), F.count_if("matches").alias("intervals"))
+    # of two instants the first is the one with the larger offset
+    instant = F.coalesce("epoch", F.col("local") - F.col("stated"), F.col("wall") - F.col("wall_offset"))
     iso = F.coalesce("day", F.date_format(F.timestamp_seconds(instant), "yyyy-MM-dd'T'HH:mm:ss'Z'"))
-    return placed.withColumn("iso", iso).where("iso IS NOT NULL").groupBy("doc_id", "field").agg(F.min("iso").alias("iso"))
+    status = (
+        F.when(F.col("day").isNotNull(), "DAY").when(F.col("epoch").isNotNull(), "EPOCH").when(F.col("stated").isNotNull(), "ZONED")
+        .when(F.col("intervals") == 0, "NONEXISTENT").when(F.col("intervals") == 1, "UNIQUE").otherwise("AMBIGUOUS")
+    )
+    return one.select("doc_id", "field", iso.alias("iso"), status.alias("status")).where("iso IS NOT NULL")
+
+
+def unambiguous(spark: SparkSession, metadata: DataFrame, sites: DataFrame) -> DataFrame:
+    """(doc_id, field, iso) of each date text of an upload that names an existing day or instant."""
+    return resolved(spark, metadata, sites).select("doc_id", "field", "iso")

@@ -16,6 +16,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p1_values": lambda s, d: units.cell_values(s, table(s, d, "cells"), table(s, d, "unit_targets")),
         "p4_found": lambda s, d: nested.boxes(table(s, d, "issues"), "issue_id", "evidence"),
         "p4_tables": lambda s, d: nested.flat_tables(table(s, d, "issues"), "issue_id", "evidence"),
+        "p7_status": lambda s, d: timestamps.resolved(s, table(s, d, "doc_metadata"), table(s, d, "sites")),
         "p7_found": lambda s, d: timestamps.unambiguous(s, table(s, d, "doc_metadata"), table(s, d, "sites")),
     }
 

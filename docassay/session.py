@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
@@ -25,19 +26,59 @@ def local_session(cores: int = 8, shuffle_partitions: int | None = None, app: st
     )
 
 
+#: Folder of local sessions that name none, and the tables cut so far with their sessions.
+_OWN: list[str] = []
+_CUT: list[tuple[SparkSession, str]] = []
+
+
 def checkpoint_folder(spark: SparkSession) -> str:
-    """The shared folder that ``spark.checkpoint.dir`` names; only where it is unset (tests) a temporary one is made."""
+    """The shared folder that ``spark.checkpoint.dir`` names.
+
+    Only a local session without the setting (a test) gets a temporary folder; on a cluster its absence is an error,
+    as a machine's own folder would be lost with the machine.
+    """
     sc = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="docassay-ck-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    if folder:
+        return folder
+    if not sc.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    if not _OWN:
+        _OWN.append("file://" + tempfile.mkdtemp(prefix="docassay-ck-"))
+    return _OWN[0]
+
+
+def path_of(spark: SparkSession, folder: str) -> tuple:
+    """(file system, path) of a folder, whatever store it is on."""
+    jvm = spark._jvm
+    path = jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()), path
+
+
+def exists(spark: SparkSession, folder: str) -> bool:
+    store, path = path_of(spark, folder)
+    return store.exists(path)
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage by a table in the shared folder: computed once, readable whichever executors are lost."""
+    """Cut the lineage by a table in the shared folder: computed once, readable whichever executors are lost.
+
+    The table stays while the session may read it; ``clear`` or the end of the program deletes it.
+    """
     spark = df.sparkSession
     path = f"{checkpoint_folder(spark)}/docassay-{uuid.uuid4().hex}"
+    _CUT.append((spark, path))
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+@atexit.register
+def clear() -> None:
+    """Delete all tables that ``cut`` wrote."""
+    while _CUT:
+        spark, folder = _CUT.pop()
+        try:
+            store, path = path_of(spark, folder)
+            store.delete(path, True)
+        except Exception:  # noqa: BLE001, S112  the session has ended; nothing reads the table any more
+            continue

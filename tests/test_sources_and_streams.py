@@ -61,6 +61,39 @@ def test_replaced_documents(spark, tmp_path):
     assert got.count() == 52 and {r.m for r in got.where("doc_id = 3").collect()} == {"new", "more"} and got.where("doc_id = 7").first().m == "old7"
 
 
+def test_documents_replaced_by_nothing(spark, tmp_path):
+    out = str(tmp_path / "issues")
+    sinks.replace_documents(spark.createDataFrame([(d, f"old{d}") for d in range(20)], "doc_id long, m string"), out, 64)
+    run = spark.createDataFrame([(2,), (5,)], "doc_id long")
+    sinks.replace_documents(spark.createDataFrame([(5, "new")], "doc_id long, m string"), out, 64, run)
+    got = {r.doc_id: r.m for r in spark.read.parquet(out).collect()}
+    assert got == {**{d: f"old{d}" for d in range(20) if d != 2}, 5: "new"}
+
+
+def test_unreadable_folders_are_errors(spark, tmp_path):
+    broken = tmp_path / "issues"
+    broken.mkdir()
+    (broken / "part-0.parquet").write_text("no parquet")
+    with pytest.raises(Exception, match="."):
+        sinks.replace_documents(spark.createDataFrame([(5, "new")], "doc_id long, m string"), str(broken), 4)
+    assert (broken / "part-0.parquet").read_text() == "no parquet"
+    (tmp_path / "stage").mkdir()
+    (tmp_path / "stage" / "part-0.parquet").write_text("no parquet")
+    with pytest.raises(Exception, match="."):
+        sinks.read_stage(spark, str(tmp_path), "stage", "a int").count()
+    assert sinks.read_stage(spark, str(tmp_path), "other", "a int").count() == 0
+
+
+def test_cut_tables_are_deleted(spark):
+    from docassay import session
+
+    kept = session.cut(spark.range(5).toDF("id"))
+    path = session._CUT[-1][1]
+    assert kept.count() == 5 and session.exists(spark, path)
+    session.clear()
+    assert not session.exists(spark, path)
+
+
 def test_stages_and_attempts(spark, tmp_path):
     sinks.write_stage(spark.range(3), str(tmp_path), "s", "v1")
     assert sinks.read_stage(spark, str(tmp_path), "s", "id long, rule_version string").where("rule_version = 'v1'").count() == 3

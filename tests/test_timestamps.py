@@ -52,11 +52,35 @@ def test_local_times_against_the_zone_database(spark):
     assert [got[i, "document_date"] for i in range(len(rows))] == want
 
 
+def test_years_outside_of_the_table(spark):
+    """Wall times long before and long behind any table of offsets, at the turns of 2150, 2839 and 9998 too."""
+    walls = [datetime(1965, 3, 2, 10), datetime(1850, 6, 1, 12), datetime(1700, 6, 1, 12), datetime(1, 5, 1, 1), datetime(2149, 6, 1, 8, 30), datetime(2150, 1, 1, 10), datetime(9998, 7, 1, 12)]
+    walls += [datetime(y, m, d, h, 30) for y in (2150, 2438, 2439, 2839, 5000) for m in (3, 4, 10, 11) for d in range(1, 31, 3) for h in (1, 2)]
+    rows = [(site, f"{w.year:04d}-{w:%m-%d %H:%M:%S}", None, None) for site, _, _ in SITES for w in walls]
+    want = [datetime_text(zone, w) for _, zone, _ in SITES for w in walls]
+    got = normal(spark, rows)
+    assert [got[i, "document_date"] for i in range(len(rows))] == want
+
+
+def datetime_text(zone, wall):
+    at = wall.replace(tzinfo=ZoneInfo(zone), fold=0)
+    utc = wall - at.utcoffset()
+    return f"{utc.year:04d}-{utc:%m-%dT%H:%M:%SZ}"
+
+
+def test_status(spark):
+    texts = ["2021-03-28 01:30:00", "2021-10-31 01:30:00", "2021-06-01 12:00:00", "2021-06-01", "2021-06-01T12:00:00Z", "1358559490", "nothing 1"]
+    meta = spark.createDataFrame([(i, "LON", Row(document_date=t), None, None, "") for i, t in enumerate(texts)], META)
+    sites = spark.createDataFrame(SITES, "site string, time_zone string, day_first boolean")
+    got = {r.doc_id: (r.iso, r.status) for r in timestamps.resolved(spark, meta, sites).collect()}
+    assert got == {0: ("2021-03-28T01:30:00Z", "NONEXISTENT"), 1: ("2021-10-31T00:30:00Z", "AMBIGUOUS"), 2: ("2021-06-01T11:00:00Z", "UNIQUE"), 3: ("2021-06-01", "DAY"), 4: ("2021-06-01T12:00:00Z", "ZONED"), 5: ("2013-01-19T01:38:10Z", "EPOCH")}
+
+
 def test_intervals_meet():
     for _, zone, _ in SITES:
         found = timestamps.offset_intervals(zone)
         assert all(a[1] == b[0] and a[2:] != b[2:] for a, b in zip(found, found[1:]))
-        for start, end, offset, _ in found[:60]:
+        for start, end, offset, _ in found[1:60]:
             assert datetime.fromtimestamp((start + end) // 2, ZoneInfo(zone)).utcoffset().total_seconds() == offset
 
 
