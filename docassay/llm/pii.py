@@ -1,14 +1,25 @@
 """Personal information inside free text: found, typed and replaced.
 
-Numbers, addresses of mail and of places have forms of their own. Names have none: they are found by
-what terms disclose. Over the whole corpus, each capitalised term is counted, and counted again where
-it stands with a protected entity that repeats it (the local part of a mail address nearby). The gain
-of information, log2 of P(protected | term) / P(protected), tells how strongly the term reveals a
-person; terms beyond the thresholds are protected and leave the text wherever they stand as a name,
-all others (towns, eponyms of laws and tests, sentence openers) are kept.
+What leaves the text is decided by what terms disclose, measured over the whole corpus.
+
+Names have no form. Each capitalised term is counted, and counted again where it stands with a protected
+entity that repeats it (the local part of a mail address nearby). The gain of information, log2 of
+P(protected | term) / P(protected), tells how strongly the term reveals a person; terms beyond the
+thresholds are protected and leave the text wherever they stand as a name, all others (towns, eponyms of
+laws and tests, sentence openers) are kept.
+
+Mail addresses, phone and identity numbers and street addresses have forms, which propose them. Each value
+is then scored by the information its occurrence gives on whose document it is in, log2 of the number of
+documents over those that hold the value: what stands in very many of them (the address in a letterhead,
+a hotline) reveals nobody and is kept, what stands in few is protected.
+
+A protected term is generalised to its type, the typed placeholder.
+
+One pass over the texts gives proposals and counts, which are written; a second one finds the names.
 
 Defined results: null and empty texts give no mention; overlapping finds give the one of the earlier
-type in TYPES; positions count code points; equal documents are each reported; extra columns stay.
+type in TYPES; positions count code points; equal documents are each reported; extra columns stay;
+documents with one doc_id are one document, those without an id give no mention.
 """
 
 from __future__ import annotations
@@ -19,20 +30,22 @@ import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import cut
+
 #: Types by precedence where finds overlap.
 TYPES = ("EMAIL", "ID_NUMBER", "ADDRESS", "PHONE", "NAME")
 #: Thresholds of disclosure: bits of information gained, share of a term's places that a protected entity repeats, and how often at least.
 MIN_BITS, MIN_SHARE, MIN_LINKS = 2.0, 0.05, 2
 #: Characters around a mail address in which its owner's name is looked for.
 WINDOW = 60
-#: Bits of the filter that carries the protected terms to the workers.
-FILTER_BITS = 1 << 22
+#: A value of a form is public from so many documents and such a share of them on.
+PUBLIC_DOCUMENTS, PUBLIC_SHARE = 50, 0.01
+#: Protected terms that are sent to the workers; where there are more, the words of the texts are joined with them.
+MOST_SENT = 1_000_000
 
 # Words that stand before an identity number.
 ID_LABELS = (
@@ -47,8 +60,22 @@ NAME_TITLES = r"(?:Mr|Mrs|Ms|Miss|Dr|Prof|Ir|Ing|Eng|Dipl\.-Ing|Sr|Sra|Srta|Mme|
 STREET_BEHIND = "Road|Lane|Street|Drive|Avenue|Court|Close|Way|Place|Square|Terrace|Crescent|Boulevard|Rd|St|Ave|Dr|Ln|Blvd"
 STREET_BEFORE = "Avda|Avenida|Av|Calle|C/|Plaza|Paseo|Camino|Carretera|Rua|Travessa|Praça|Largo|Estrada|Jalan|Jln|Jl|Gang|Gg|Dermaga"
 STREET_FRENCH = "rue|avenue|boulevard|place|chemin|impasse|allée|quai|route"
+#: Words that are no other part of speech; they may be written in lower case or with a large letter too.
+STREET_PLAIN = set("road lane street avenue boulevard square terrace crescent avenida calle plaza paseo camino carretera rua travessa praça estrada jalan rue place chemin impasse allée quai route".split())
 STREET_GERMAN = r"[A-ZÄÖÜ][\wäöüß-]*(?:str\.|straße|strasse|weg|allee|platz|gasse|ring|damm|ufer|Str\.|STR\.|STRASSE|WEG|ALLEE|PLATZ)|(?:Am|An der|Im|In der|Zum|Zur|Auf der|Auf dem|AM|IM|ZUM|ZUR) [A-ZÄÖÜ][\wäöüß-]+"
 
+
+
+def spellings(words: str) -> str:
+    """Alternatives of street words as listed and in capitals, of plain ones in lower case and with a large first letter too."""
+    out: dict[str, None] = {}
+    for w in words.split("|"):
+        plain = w.lower() in STREET_PLAIN
+        out.update(dict.fromkeys([w, w.upper(), *([w.lower(), w.capitalize()] if plain else [])]))
+    return "|".join(sorted(out, key=lambda w: (-len(w), w)))
+
+
+_BEHIND, _BEFORE, _FRENCH = spellings(STREET_BEHIND), spellings(STREET_BEFORE), spellings(STREET_FRENCH)
 _CAP = r"[A-ZÀ-ÖØ-Þ][\w’'-]*"
 _PLACE = r"[A-ZÀ-ÖØ-Þ](?:[^\W\d_]|['’-])*(?!\w)"
 _TOWN = rf"{_PLACE}(?: {_PLACE}){{0,2}}"
@@ -71,20 +98,19 @@ _PHONES = [
 ]
 _PHONE = re.compile(
     r"(?<![\w.,/@-])(?:" + "|".join(p.replace("([.\\- ])", "(?P<s>[.\\- ])").replace("\\1", "(?P=s)") for p in _PHONES) + r")(?![0-9A-Za-z])(?:,? ?(?:ext\.?|extension|x|Durchwahl|poste|ramal) ?[0-9]{1,6}(?![0-9]))?", re.I)
+_EXTENSION = re.compile(r",? ?(?:ext|extension|x|Durchwahl|poste|ramal)", re.I)
 _CUE_PHONE = re.compile(r"(?:tel|phone|telp|telepon|telefon|Telefon|téléphone|teléfono|telefone|llame[^.]{0,60}al|ligue[^.]{0,60}(?:no|para)|телефону|電話|电话|โทร)[.: ]*\s*([0-9][0-9 .\-/]{6,16}[0-9])", re.I)
 _ADDRESSES = [
     # house number, street, town and postcode in English order
-    rf"(?:(?:Unit|Flat|Suite|Apt\.?|UNIT|FLAT|SUITE) [0-9]+[A-Za-z]?, )?[0-9]+[A-Za-z]? (?:{_CAP} ){{1,3}}(?:{STREET_BEHIND}|{STREET_BEHIND.upper()})\b\.?(?:, {_TOWN})?(?:,? (?:[A-Z]{{2}} )?(?:[0-9]{{5}}(?:-[0-9]{{4}})?|[A-Z]{{1,2}}[0-9][0-9A-Z]? ?[0-9][A-Z]{{2}}))?(?!\w)",
-    rf"[0-9]+(?: (?:bis|ter))?,? (?:{STREET_FRENCH}|{STREET_FRENCH.upper()}) (?:(?:de la|de l'|du|des|de|d'|DE LA|DE L'|DU|DES|DE|D') ?)?{_CAP}(?:[ -]{_CAP}){{0,3}}(?:, [0-9]{{5}} {_TOWN})?",
-    rf"(?<!\w)(?:{STREET_BEFORE}|{STREET_BEFORE.upper()})\.? (?:(?:de la|de los|de las|del|de|da|do|dos|das|DE LA|DEL|DE|DA|DO) )?{_CAP}(?: (?:de |da |do |del )?{_CAP}){{0,3}},?(?: No\.?| NO\.?| n\.?º)? [0-9]+[A-Za-z]?(?:/[0-9]+)?"
+    rf"(?:(?:Unit|Flat|Suite|Apt\.?|UNIT|FLAT|SUITE) [0-9]+[A-Za-z]?, )?[0-9]+[A-Za-z]? (?:{_CAP} ){{1,3}}(?:{_BEHIND})\b\.?(?:, {_TOWN})?(?:,? (?:[A-Z]{{2}} )?(?:[0-9]{{5}}(?:-[0-9]{{4}})?|[A-Z]{{1,2}}[0-9][0-9A-Z]? ?[0-9][A-Z]{{2}}))?(?!\w)",
+    rf"[0-9]+(?: (?:bis|ter))?,? (?:{_FRENCH}) (?:(?:de la|de l'|du|des|de|d'|DE LA|DE L'|DU|DES|DE|D') ?)?{_CAP}(?:[ -]{_CAP}){{0,3}}(?:, [0-9]{{5}} {_TOWN})?",
+    rf"(?<!\w)(?:{_BEFORE})\.? (?:(?:de la|de los|de las|del|de|da|do|dos|das|DE LA|DEL|DE|DA|DO) )?{_CAP}(?: (?:de |da |do |del )?{_CAP}){{0,3}},?(?: No\.?| NO\.?| n\.?º)? [0-9]+[A-Za-z]?(?:/[0-9]+)?"
     rf"(?:, [0-9]+\.?[ºª°](?: [A-Z])?)?(?:, RT [0-9]+/RW [0-9]+)?(?:, (?:[0-9]{{4,5}}(?:-[0-9]{{3}})? )?(?!RT ){_TOWN}(?: [0-9]{{5}})?)?",
     rf"(?:{STREET_GERMAN}) [0-9]+ ?[a-zA-Z]?(?:, [0-9]{{5}} {_TOWN})",
 ]
-# each form with a cheap test that every address of the form meets
-_ADDRESS_FORMS = [
-    (re.compile(a), re.compile(t).search)
-    for a, t in zip(_ADDRESSES, (rf" (?:{STREET_BEHIND}|{STREET_BEHIND.upper()})\b", rf"[0-9a-z],? (?:{STREET_FRENCH}|{STREET_FRENCH.upper()}) ", rf"(?<!\w)(?:{STREET_BEFORE}|{STREET_BEFORE.upper()})\b", r", [0-9]{5} "), strict=True)
-]
+# each form with the kind of word that every address of the form holds
+_ADDRESS_FORMS = [(re.compile(a), kind) for a, kind in zip(_ADDRESSES, ("behind", "french", "before", None), strict=True)]
+_GERMAN_TOWN = re.compile(r", [0-9]{5} ").search
 _ADDRESS_ID = re.compile(rf"(?<!\w)(?:Jalan|Jln\.?|Jl\.?|Gg\.?|Gang) {_CAP}(?: {_CAP}){{0,3}} [IVXL0-9]+/[0-9]+(?:, RT [0-9]+/RW [0-9]+)?(?:, {_TOWN}(?: [0-9]{{5}})?)?")
 # a name's word: capitalised or in capitals, perhaps hyphenated or with d'
 _NAME_WORD = re.compile(r"(?<![\w@.+%-])(?:[dD]['’])?[A-ZÀ-ÖØ-ÞА-ЯЁ][\wÀ-ž’'-]*[\wÀ-ž]|(?<![\w@.+%-])[A-ZÀ-ÖØ-ÞА-ЯЁ]\.")
@@ -145,70 +171,73 @@ def _mails(text: str) -> Iterator[tuple[int, int]]:
         done = max(done, m.end())
 
 
-def _labels(text: str) -> tuple[list[int], bool]:
-    """(starts of identity labels, whether any phone cue occurs), by one pass of an automaton."""
+def _marks(text: str) -> tuple[list[int], list[int], set[str]]:
+    """(starts of identity labels, starts of phone cues, kinds of street words that occur), by one pass of an automaton."""
     if not _AUTOMATON:
         import ahocorasick
 
+        words: dict[str, list] = {}
+        for kind, listed in (("cue", _PHONE_CUES), ("label", ID_LABELS.split("|")), ("behind", STREET_BEHIND.split("|")), ("before", STREET_BEFORE.split("|")), ("french", STREET_FRENCH.split("|"))):
+            for word in listed:
+                words.setdefault(word.lower(), [len(word)]).append(kind)
         a = ahocorasick.Automaton()
-        for word in _PHONE_CUES:
-            a.add_word(word, (0, len(word)))
-        for word in ID_LABELS.split("|"):
-            a.add_word(word.lower(), (1, len(word)))
+        for word, value in words.items():
+            a.add_word(word, tuple(value))
         a.make_automaton()
         _AUTOMATON.append(a)
     low = text.lower()
     if len(low) != len(text):  # a letter that grows in lower case would shift places
-        return [m.start() for m in _ID.finditer(text)], True
-    starts, cue = set(), False
-    for end, (kind, n) in _AUTOMATON[0].iter(low):
-        if kind:
-            starts.add(end - n + 1)
-        else:
-            cue = True
-    return sorted(starts), cue
-
-
-# ---- disclosure of terms ----------------------------------------------------------------------
-
-
-def _bits(term: str) -> list[int]:
-    h = xxhash.xxh64_intdigest(term.encode("utf-8", "surrogatepass"))
-    a, b = h & 0xFFFFFFFF, (h >> 32) | 1
-    return [(a + i * b) % FILTER_BITS for i in range(4)]
+        return [m.start() for m in _ID.finditer(text)], [m.start() for m in _CUE_PHONE.finditer(text)], {"behind", "before", "french"}
+    labels, cues, kinds = [], [], set()
+    for end, (n, *found) in _AUTOMATON[0].iter(low):
+        for kind in found:
+            if kind == "label":
+                labels.append(end - n + 1)
+            elif kind == "cue":
+                cues.append(end - n + 1)
+            else:
+                kinds.add(kind)
+    return sorted(set(labels)), sorted(set(cues)), kinds
 
 
-class Terms:
-    """The protected terms as a filter of fixed size."""
+def proposals(text: str, mails: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
+    """(type as a number, start, end) of everything with the form of an entity, given the mail addresses."""
+    found = [(0, *span) for span in mails]
+    labels, cues, kinds = _marks(text)
+    for start in labels:
+        m = _ID.match(text, start)
+        if m and sum(c.isdigit() for c in m[1]) >= 5:
+            found.append((1, *m.span(1)))
+    for form, kind in _ADDRESS_FORMS:
+        if kind in kinds if kind else _GERMAN_TOWN(text):
+            found += [(2, *m.span()) for m in form.finditer(text)]
+    if "before" in kinds:
+        found += [(2, *m.span()) for m in _ADDRESS_ID.finditer(text)]
+    for m in _PHONE.finditer(text):
+        number = _EXTENSION.split(m[0], maxsplit=1)[0]
+        if (11 if number.startswith("00") else 8) <= sum(c.isdigit() for c in number) <= 15:
+            found.append((3, *m.span()))
+    done = 0
+    for start in cues:
+        m = _CUE_PHONE.match(text, start) if start >= done else None
+        if m:
+            done = m.end()
+            if 8 <= sum(c.isdigit() for c in m[1]) <= 15:
+                found.append((3, *m.span(1)))
+    return found
 
-    def __init__(self, packed: np.ndarray):
-        self.packed, self.seen = packed, {}
 
-    def __getstate__(self):
-        return self.packed
+def value_of(kind: int, text: str) -> str:
+    """A value in the form in which it is counted: digits of numbers, letters and digits of others."""
+    return re.sub(r"[^0-9]", "", text) if kind == 3 else re.sub(r"[\W_]+", "", text.lower())
 
-    def __setstate__(self, packed):
-        self.packed, self.seen = packed, {}
 
-    def holds(self, word: str) -> bool:
-        """Whether a word as written is a protected term."""
-        got = self.seen.get(word)
-        if got is None:
-            term = fold(word[:-2] if word[-2:] in ("'s", "’s") else word)
-            got = len(term) > 2 and all(self.packed[b >> 3] >> (b & 7) & 1 for b in _bits(term))
-            if len(self.seen) > 100_000:
-                self.seen.clear()
-            self.seen[word] = got
-        return got
+# ---- disclosure of terms ----------------------------------------------------------------------
 
 
-def linked_terms(text: str | None) -> Counter:
-    """Places of each capitalised term that a mail address nearby repeats."""
+def linked_terms(text: str, mails: list[tuple[int, int]], spots: list[tuple[int, int, str]]) -> Counter:
+    """Places of each capitalised term that a mail address nearby repeats; spots: start, end and word of the capitalised words."""
     linked: Counter = Counter()
-    mails = list(_mails(text)) if text else []
-    if not mails:
-        return linked
-    spots = [(m.start(), m.end(), term) for m in _NAME_WORD.finditer(text) if len(term := _fold(m[0])) > 2]
     j = 0
     for a, b in mails:
         words, inner = _owner_parts(text[a:b])
@@ -216,129 +245,207 @@ def linked_terms(text: str | None) -> Counter:
             j += 1
         i = j
         while i < len(spots) and spots[i][0] < b + WINDOW:
-            start, end, term = spots[i]
+            start, end, word = spots[i]
             i += 1
-            if (end <= a or start >= b) and (term in words or term in inner):
-                linked[term] += 1
+            if end <= a or start >= b:
+                term = _fold(word)
+                if len(term) > 2 and (term in words or term in inner):
+                    linked[term] += 1
     return linked
 
 
-def disclosure(documents: DataFrame) -> DataFrame:
-    """(term, n, linked, bits): counts over all documents, added up in each batch before the shuffle."""
+#: Rows of the first pass: a proposal's number is its place in TYPES, these are counts.
+TERM, DOCUMENTS = 9, 8
+
+
+def first_pass(documents: DataFrame) -> DataFrame:
+    """(kind, doc_id, start_pos, end_pos, value, n, linked), written once.
+
+    A proposal (kind: its type's number) with its value; TERM: a term of a batch of texts with its places and those that a
+    protected entity repeats; DOCUMENTS: the number of texts of a batch. Counts take a text once, however many copies
+    there are of it: a document is a copy if an earlier one has its text. A copy's proposals have n = 0, others n = 1.
+    """
+    schema = pa.schema([("kind", pa.int32()), ("doc_id", pa.int64()), ("start_pos", pa.int32()), ("end_pos", pa.int32()), ("value", pa.string()), ("n", pa.int64()), ("linked", pa.int64())])
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            words, linked = Counter(), Counter()
-            for text in batch.column(0).to_pylist():
-                words.update(_NAME_WORD.findall(text))
-                linked.update(linked_terms(text))
+            words, linked, rows = Counter(), Counter(), []
+            copies = batch.column(2).to_pylist()
+            for key, text, copy in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), copies, strict=True):
+                mails = list(_mails(text))
+                if copy:
+                    pass
+                elif mails:
+                    spots = [(*m.span(), m[0]) for m in _NAME_WORD.finditer(text)]
+                    words.update([w for _, _, w in spots])
+                    linked.update(linked_terms(text, mails, spots))
+                else:
+                    words.update(_NAME_WORD.findall(text))
+                rows += [(kind, key, a, b, value_of(kind, text[a:b]), int(not copy), None) for kind, a, b in proposals(text, mails)]
             every: Counter = Counter()
             for word, n in words.items():
                 if len(term := _fold(word)) > 2:
                     every[term] += n
-            terms = list(every)
-            yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), pa.array([every[t] for t in terms], pa.int64()), pa.array([linked[t] for t in terms], pa.int64())], names=["term", "n", "linked"])
-
-    counts = documents.where("text IS NOT NULL").select("text").mapInArrow(count, "term string, n bigint, linked bigint").groupBy("term").agg(F.sum("n").alias("n"), F.sum("linked").alias("linked"))
-    return documents.sparkSession.sql(
+            rows += [(TERM, None, None, None, t, n, linked[t]) for t, n in every.items()]
+            rows.append((DOCUMENTS, None, None, None, None, copies.count(False), None))
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(schema)], schema=schema)
+
+    texts = documents.where("text <> '' AND doc_id IS NOT NULL").select(F.col("doc_id").cast("bigint"), "text", F.xxhash64("text").alias("h"))
+    repeated = cut(texts.groupBy("h").agg(F.min("doc_id").alias("first"), F.count("*").alias("k")).where("k > 1").select("h", "first"))
+    # repeated texts are few as a rule; where they are many, the join shuffles, and a text with very many copies is split at run time
+    side = F.broadcast(repeated) if repeated.count() <= MOST_SENT else repeated
+    marked = texts.join(side, "h", "left").select("doc_id", "text", F.expr("first IS NOT NULL AND first <> doc_id").alias("copy"))
+    return cut(marked.mapInArrow(look, "kind int, doc_id bigint, start_pos int, end_pos int, value string, n bigint, linked bigint"))
+
+
+def disclosure(looked: DataFrame) -> DataFrame:
+    """(term, n, linked, bits) of the terms that a protected entity repeats somewhere, over all documents."""
+    counts = looked.where(F.col("kind") == TERM).groupBy(F.col("value").alias("term")).agg(F.sum("n").alias("n"), F.sum("linked").alias("linked"))
+    return looked.sparkSession.sql(
         """SELECT term, n, linked, log2((linked / n) / (SELECT greatest(sum(linked), 1) / greatest(sum(n), 1) FROM {counts})) AS bits
            FROM {counts} WHERE linked > 0""", counts=counts)
 
 
-def protected_terms(documents: DataFrame) -> Terms:
-    """Terms whose disclosure exceeds the thresholds, as a filter of fixed size."""
-    chosen = disclosure(documents).where(f"bits >= {MIN_BITS} AND linked >= {MIN_LINKS} AND linked >= {MIN_SHARE} * n").select("term")
+def protected_terms(looked: DataFrame) -> DataFrame:
+    """(term): terms whose disclosure exceeds the thresholds."""
+    return disclosure(looked).where(f"bits >= {MIN_BITS} AND linked >= {MIN_LINKS} AND linked >= {MIN_SHARE} * n").select("term")
 
-    def positions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = sorted({b for t in batch.column(0).to_pylist() for b in _bits(t)})
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.int32())], names=["bit"])
 
-    flags = np.zeros(FILTER_BITS, np.uint8)
-    flags[chosen.mapInArrow(positions, "bit int").distinct().toArrow().column("bit").to_numpy()] = 1
-    return Terms(np.packbits(flags, bitorder="little"))
+def protected_values(looked: DataFrame) -> DataFrame:
+    """(doc_id, kind, start_pos, end_pos, bits): proposals whose values disclose in whose document they stand."""
+    documents = looked.where(F.col("kind") == DOCUMENTS).agg(F.sum("n").alias("documents"))
+    proposed = looked.where(F.col("kind") < DOCUMENTS)
+    # of a value first its documents, so that a value in a third of them is counted in parts
+    held = proposed.where("n = 1").select("kind", "value", "doc_id").distinct().groupBy("kind", "value").agg(F.count("*").alias("held"))
+    scored = proposed.join(held, ["kind", "value"]).join(F.broadcast(documents))  # one row
+    public = (F.col("held") >= PUBLIC_DOCUMENTS) & (F.col("held") >= PUBLIC_SHARE * F.col("documents"))
+    return scored.where(~public).select("doc_id", "kind", "start_pos", "end_pos", F.log2(F.col("documents") / F.col("held")).alias("bits"))
 
 
-# ---- mentions ---------------------------------------------------------------------------------
+# ---- names ------------------------------------------------------------------------------------
 
 
-def _names(text: str, terms: Terms) -> list[tuple[int, int]]:
-    """Spans of names: runs of protected terms and initials, 'Surname, Given' too; after a title any capitalised word."""
-    words = []
+def name_words(text: str) -> list[tuple[int, int, str, bool]]:
+    """(start, end, word, whether it is an initial) of each capitalised word."""
+    out = []
     for m in _NAME_WORD.finditer(text):
-        w = m[0]
-        start, end = m.span()
+        w, (start, end) = m[0], m.span()
         if w[-2:] in ("'s", "’s"):
             end -= 2
-        initial = len(w) == 2 and w[1] == "."
-        strong = not initial and terms.holds(w)
-        if not strong and not initial:
-            if start and text[start - 1] == " " and _TITLE.search(text, max(0, start - 14), start):
-                strong = True
-            elif "-" in w and all(terms.holds(p) for p in w.split("-")):
-                strong = True
-        words.append((start, end, strong, initial))
+        out.append((start, end, w, len(w) == 2 and w[1] == "."))
+    return out
+
+
+def titled(text: str, start: int) -> bool:
+    return start > 0 and text[start - 1] == " " and bool(_TITLE.search(text, max(0, start - 14), start))
+
+
+def runs(text: str, words: list[tuple[int, int, str, bool]], strong: list[bool]) -> list[tuple[int, int]]:
+    """Spans of names: runs of protected words and initials, 'Surname, Given' too."""
     out, i = [], 0
     while i < len(words):
-        start, end, strong, initial = words[i]
-        if not (strong or initial):
+        if not (strong[i] or words[i][3]):
             i += 1
             continue
-        j, any_strong = i, strong
-        while j + 1 < len(words):
+        j, comma = i, False
+        while j + 1 < len(words) and (strong[j + 1] or words[j + 1][3]):
             gap = text[words[j][1] : words[j + 1][0]]
-            if not (words[j + 1][2] or words[j + 1][3]):
-                break
-            if gap in (" ", "\n", " ") or gap == ", " and words[j][2] and words[j + 1][2] and not words[j][3] and "," not in text[start : words[j][1]]:
-                j += 1
-                any_strong |= words[j][2]
-            else:
+            if gap == ", " and strong[j] and strong[j + 1] and not comma:
+                comma = True
+            elif gap not in (" ", "\n", "\u00a0"):
                 break
+            j += 1
         # an initial at the end belongs only to 'Surname, Given M.'
         last = j
-        while last > i and words[last][3] and "," not in text[start : words[last][0]]:
+        while last > i and words[last][3] and "," not in text[words[i][0] : words[last][0]]:
             last -= 1
-        if any_strong and any(words[k][2] for k in range(i, last + 1)):
-            a, b = start, words[last][1]
-            if not _EPONYM.match(text, b):
-                out.append((a, b))
+        if any(strong[i : last + 1]) and not _EPONYM.match(text, words[last][1]):
+            out.append((words[i][0], words[last][1]))
         i = j + 1
     return out
 
 
-def mentions(text: str | None, terms: Terms) -> list[tuple[str, int, int]]:
-    """(type, start, end) of every mention, in order."""
-    if not text:
-        return []
-    found: list[tuple[int, int, int]] = []
-    found += [(0, *span) for span in _mails(text)]
-    starts, cue = _labels(text)
-    for start in starts:
-        m = _ID.match(text, start)
-        if m and sum(c.isdigit() for c in m[1]) >= 5:
-            found.append((1, *m.span(1)))
-    for form, likely in _ADDRESS_FORMS:
-        if likely(text):
-            found += [(2, *m.span()) for m in form.finditer(text)]
-    if "J" in text or "G" in text:
-        found += [(2, *m.span()) for m in _ADDRESS_ID.finditer(text)]
-    for m in _PHONE.finditer(text):
-        number = re.split(r",? ?(?:ext|extension|x|Durchwahl|poste|ramal)", m[0], maxsplit=1, flags=re.I)[0]
-        if (11 if number.startswith("00") else 8) <= sum(c.isdigit() for c in number) <= 15:
-            found.append((3, *m.span()))
-    for m in _CUE_PHONE.finditer(text) if cue else ():
-        if 8 <= sum(c.isdigit() for c in m[1]) <= 15:
-            found.append((3, *m.span(1)))
-    found += [(4, *span) for span in _names(text, terms)]
-    found.sort(key=lambda x: (x[0], -(x[2] - x[1]), x[1]))
+class Terms:
+    """The protected terms, exactly."""
+
+    def __init__(self, terms: set[str]):
+        self.terms, self.seen = terms, {}
+
+    def __getstate__(self):
+        return self.terms
+
+    def __setstate__(self, terms):
+        self.terms, self.seen = terms, {}
+
+    def holds(self, word: str) -> bool:
+        """Whether a word as written, or each part of one with hyphens, is a protected term."""
+        got = self.seen.get(word)
+        if got is None:
+            term = fold(word[:-2] if word[-2:] in ("'s", "’s") else word)
+            got = len(term) > 2 and term in self.terms or "-" in word and all(fold(p) in self.terms and len(fold(p)) > 2 for p in word.split("-"))
+            if len(self.seen) > 100_000:
+                self.seen.clear()
+            self.seen[word] = got
+        return got
+
+
+def names_in(text: str, terms: Terms) -> list[tuple[int, int]]:
+    """Spans of names: runs of protected terms; after a title any capitalised word."""
+    words = name_words(text)
+    strong = [not initial and (terms.holds(w) or titled(text, start)) for start, _, w, initial in words]
+    return runs(text, words, strong) if any(strong) else []
+
+
+def _spans(batch_keys: list, found: Iterator[list[tuple[int, int]]]) -> pa.RecordBatch:
+    rows = [(key, a, b) for key, spans in zip(batch_keys, found, strict=True) for a, b in spans]
+    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.int32())], names=["doc_id", "start_pos", "end_pos"])
+
+
+def names_by_set(spark: SparkSession, texts: DataFrame, terms: DataFrame) -> DataFrame:
+    """(doc_id, start_pos, end_pos) of names, the protected terms being few enough to be sent."""
+    sent = spark.sparkContext.broadcast(Terms({r.term for r in terms.collect()}))
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = sent.value
+        for batch in batches:
+            yield _spans(batch.column(0).to_pylist(), (names_in(t, own) for t in batch.column(1).to_pylist()))
+
+    return texts.mapInArrow(search, "doc_id bigint, start_pos int, end_pos int")
+
+
+def names_by_join(texts: DataFrame, terms: DataFrame) -> DataFrame:
+    """(doc_id, start_pos, end_pos) of names, however many protected terms there are: the distinct words of each text are joined with them."""
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                found = {w for _, _, w, initial in name_words(text) if not initial}
+                rows += [(key, t) for t in {_fold(p) for w in found for p in (w, *(w.split("-") if "-" in w else ()))} if len(t) > 2]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.string())], names=["doc_id", "term"])
+
+    held = texts.mapInArrow(spread, "doc_id bigint, term string").distinct().join(terms, "term", "left_semi").groupBy("doc_id").agg(F.collect_list("term").alias("terms"))
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield _spans(batch.column(0).to_pylist(), (names_in(t, Terms(set(held or ()))) for t, held in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)))
+
+    return texts.join(held, "doc_id", "left").select("doc_id", "text", "terms").mapInArrow(search, "doc_id bigint, start_pos int, end_pos int")
+
+
+# ---- mentions ---------------------------------------------------------------------------------
+
+
+def resolved(found: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """Of overlapping finds the one of the earlier type, then the longer, then the first; in order of place."""
     taken: list[tuple[int, int]] = []
     out = []
-    for kind, a, b in found:
+    for kind, a, b in sorted(set(found), key=lambda x: (x[0], -(x[2] - x[1]), x[1])):
         k = bisect.bisect_left(taken, (a, b))
         if k and taken[k - 1][1] > a or k < len(taken) and taken[k][0] < b:
             continue
         taken.insert(k, (a, b))
-        out.append((TYPES[kind], a, b))
+        out.append((kind, a, b))
     return sorted(out, key=lambda x: x[1])
 
 
@@ -351,31 +458,37 @@ def redact(text: str, spans: list[tuple[str, int, int]]) -> str:
     return "".join([*parts, text[at:]])
 
 
-def found(spark: SparkSession, documents: DataFrame) -> DataFrame:
-    """(doc_id, pii_type, start_pos, end_pos) of every mention in every document."""
-    sent = spark.sparkContext.broadcast(protected_terms(documents))
+def mentions(spark: SparkSession, documents: DataFrame) -> DataFrame:
+    """(doc_id, found): of each document with any, its mentions in order, as array<struct<kind, a, b>>."""
+    looked = first_pass(documents)
+    texts = documents.where("text <> '' AND doc_id IS NOT NULL").select(F.col("doc_id").cast("bigint"), "text")
+    terms = cut(protected_terms(looked))
+    names = names_by_set(spark, texts, terms) if terms.count() <= MOST_SENT else names_by_join(texts, terms)
+    every = protected_values(looked).select("doc_id", "kind", "start_pos", "end_pos").unionByName(names.select("doc_id", F.lit(TYPES.index("NAME")).alias("kind"), "start_pos", "end_pos"))
+    by_document = every.groupBy("doc_id").agg(F.collect_list(F.struct("kind", F.col("start_pos").alias("a"), F.col("end_pos").alias("b"))).alias("found"))
+    kind = pa.list_(pa.struct([("kind", pa.int32()), ("a", pa.int32()), ("b", pa.int32())]))
 
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        terms = sent.value
+    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(key, *m) for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for m in mentions(text, terms)]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.int32()), pa.array([r[3] for r in rows], pa.int32())], names=["doc_id", "pii_type", "start_pos", "end_pos"])
+            found = [[dict(zip(("kind", "a", "b"), x, strict=True)) for x in resolved([(f["kind"], f["a"], f["b"]) for f in row])] for row in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, kind)], names=["doc_id", "found"])
+
+    return by_document.mapInArrow(settle, "doc_id bigint, found array<struct<kind:int,a:int,b:int>>")
 
-    return documents.where("text IS NOT NULL").select("doc_id", "text").mapInArrow(search, "doc_id bigint, pii_type string, start_pos int, end_pos int")
+
+def found(spark: SparkSession, documents: DataFrame) -> DataFrame:
+    """(doc_id, pii_type, start_pos, end_pos) of every mention in every document."""
+    one = mentions(spark, documents).select("doc_id", F.explode("found").alias("m"))
+    return one.select("doc_id", F.element_at(F.array(*map(F.lit, TYPES)), F.col("m.kind") + 1).alias("pii_type"), F.col("m.a").alias("start_pos"), F.col("m.b").alias("end_pos"))
 
 
 def redacted(spark: SparkSession, documents: DataFrame) -> DataFrame:
     """(doc_id, text, n_mentions): the text of each document with typed placeholders."""
-    sent = spark.sparkContext.broadcast(protected_terms(documents))
 
     def replace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        terms = sent.value
         for batch in batches:
-            texts, n = [], []
-            for text in batch.column(1).to_pylist():
-                spans = mentions(text, terms)
-                texts.append(redact(text, spans) if text else text)
-                n.append(len(spans))
+            texts = [redact(text, [(TYPES[m["kind"]], m["a"], m["b"]) for m in found]) if text and found else text for text, found in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+            n = [len(found or ()) for found in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), pa.array(n, pa.int32())], names=["doc_id", "text", "n_mentions"])
 
-    return documents.select("doc_id", "text").mapInArrow(replace, "doc_id bigint, text string, n_mentions int")
+    return documents.select(F.col("doc_id").cast("bigint"), "text").join(mentions(spark, documents), "doc_id", "left").select("doc_id", "text", "found").mapInArrow(replace, "doc_id bigint, text string, n_mentions int")

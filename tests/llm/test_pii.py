@@ -1,5 +1,7 @@
 """Personal information: every form found with its exact place, decoys kept, readable placeholders."""
 
+from pyspark.sql import functions as F
+
 from docassay.llm import pii
 
 DOC = "doc_id long, text string, pii_type string"
@@ -10,8 +12,8 @@ def corpus():
     rows = []
     for i, (g, s) in enumerate(NAMES * 4):
         local = f"{pii.fold(g)}.{pii.fold(s)}" if i % 2 else f"{pii.fold(s)}_{pii.fold(g)[0]}" if i % 4 else f"{pii.fold(g)}+qa"
-        rows.append(f"Prepared by {g} {s}, reachable at {local}@mail.sempala.example. The Vickers and Charpy results are attached. The team visited Eastmere and Coldwater Ness.")
-        rows.append("Bernoulli's equation gives 38.9 bar. The pump was opened in Eastmere. Prepared with care.")
+        rows.append(f"Prepared by {g} {s}, reachable at {local}@mail.sempala.example. The Vickers and Charpy results are attached. The team visited Eastmere and Coldwater Ness in week {i}.")
+        rows.append(f"Bernoulli's equation gives 38.{i} bar. The pump was opened in Eastmere. Prepared with care.")
     return rows
 
 
@@ -52,12 +54,49 @@ def test_redaction(spark):
 
 def test_disclosure_counts(spark):
     docs = spark.createDataFrame([(i, t, "") for i, t in enumerate(corpus())], DOC)
-    got = {r.term: r for r in pii.disclosure(docs).collect()}
+    got = {r.term: r for r in pii.disclosure(pii.first_pass(docs)).collect()}
     assert got["jasperon"].linked >= 2 and got["jasperon"].bits > 2 and "eastmere" not in got and "vickers" not in got and "prepared" not in got
     assert pii.found(spark, docs.limit(0)).count() == 0
 
 
-def test_long_text(spark):
+def test_copies_count_once(spark):
+    """A text with very many copies neither hides the names in it nor makes its values public."""
+    copied = "The walkdown with Jasperon ended. Jasperon, Jasperon and Kestrand signed. Tel. 01632 960057."
+    docs = spark.createDataFrame([(i, t, "") for i, t in enumerate([*corpus(), *[copied] * 400])], DOC)
+    got = [(r.doc_id, r.pii_type) for r in pii.found(spark, docs).where(f"doc_id >= {len(corpus())}").collect()]
+    assert len(got) == 400 * 4 and sum(k == "NAME" for _, k in got) == 400 * 3  # one of them "Surname, Given"
+    counts = {r.term: r.n for r in pii.disclosure(pii.first_pass(docs)).collect()}
+    alone = {r.term: r.n for r in pii.disclosure(pii.first_pass(spark.createDataFrame([(i, t, "") for i, t in enumerate([*corpus(), copied])], DOC))).collect()}
+    assert counts == alone
+
+
+def test_public_values_are_kept(spark):
+    """An address that stands in very many different texts reveals nobody."""
+    docs = [f"Letter {i} of 12 Quarrel Lane, Eastmere 00188 on pump {i}. Call 01632 9{i:05d}." for i in range(120)]
+    got = {(r.pii_type, r.n) for r in pii.found(spark, spark.createDataFrame([(i, t, "") for i, t in enumerate(docs)], DOC)).groupBy("pii_type").agg(F.count("*").alias("n")).collect()}
+    assert got == {("PHONE", 120)}
+
+
+def test_names_by_join_equal_names_by_set(spark):
+    docs = spark.createDataFrame([(i, t, "clash") for i, t in enumerate([*corpus(), *(t for t, _ in CASES), "Mr. Unheard came."])], DOC)
+    terms = pii.protected_terms(pii.first_pass(docs))
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    one, other = rows(pii.names_by_set(spark, docs.select("doc_id", "text"), terms)), rows(pii.names_by_join(docs.select("doc_id", "text"), terms))
+    assert one == other and len(one) > 20
+
+
+def test_street_words_in_any_spelling(spark):
+    texts = {"Sent to 12 Rue de la Paix, 75002 Paris by post.": "12 Rue de la Paix, 75002 Paris", "Al 5 Avenue Victor Hugo.": "5 Avenue Victor Hugo", "En calle Mayor 5, 28013 Madrid.": "calle Mayor 5, 28013 Madrid", "Di jalan Merdeka 5, Sempala 99264.": "jalan Merdeka 5, Sempala 99264", "At 12 Oak street, Eastmere.": "12 Oak street, Eastmere"}
+    rows = pii.found(spark, spark.createDataFrame([(i, t, "") for i, t in enumerate(texts)], DOC)).collect()
+    assert {r.doc_id: list(texts)[r.doc_id][r.start_pos : r.end_pos] for r in rows if r.pii_type == "ADDRESS"} == dict(enumerate(texts.values()))
+    # the other words of streets are words of other kinds too
+    assert not [x for x in pii.proposals("Check 5 Pump drive shafts and 3 Main way valves.", []) if x[0] == 2]
+
+
+def test_long_empty_and_missing(spark):
     text = "The pump was opened and closed again. " * 30_000 + "Mail naomi.jasperon@example.com."
-    terms = pii.protected_terms(spark.createDataFrame([(i, t, "") for i, t in enumerate(corpus())], DOC))
-    assert [k for k, _, _ in pii.mentions(text, terms)] == ["EMAIL"] and pii.mentions("", terms) == [] and pii.mentions(None, terms) == []
+    rows = [(1, text, ""), (2, "", ""), (3, None, ""), (None, "Mail a.b@example.com", "")]
+    got = pii.found(spark, spark.createDataFrame(rows, DOC)).collect()
+    assert [(r.doc_id, r.pii_type, r.end_pos) for r in got] == [(1, "EMAIL", len(text) - 1)]
+    kept = {r.doc_id: r.text for r in pii.redacted(spark, spark.createDataFrame(rows, DOC)).collect()}
+    assert len(kept) == 4 and kept[1].endswith("Mail [EMAIL].") and kept[3] is None
