@@ -54,8 +54,10 @@ ID_LABELS = (
     "n° de sécurité sociale|numéro de sécurité sociale|passeport|carte d'identité|numéro fiscal|NIF|NIE|DNI|pasaporte|número de la seguridad social|passaporte|CPF|RG|cartão de cidadão|"
     "ИНН|СНИЛС|паспорт|身份证号|身份证|护照|マイナンバー|旅券番号|パスポート|เลขประจำตัวประชาชน|หนังสือเดินทาง"
 )
-# Titles before a name.
-NAME_TITLES = r"(?:Mr|Mrs|Ms|Miss|Dr|Prof|Ir|Ing|Eng|Dipl\.-Ing|Sr|Sra|Srta|Mme|Mlle)\.?|Herrn?|Frau|Bapak|Ibu|Pak|Bu|Señora?|Senhora?|Monsieur|Madame|господин|госпожа|г-н|г-жа"
+# Titles before a name, with and without a full stop.
+DOTTED_TITLES = "Mr Mrs Ms Miss Dr Prof Ir Ing Eng Dipl.-Ing Sr Sra Srta Mme Mlle".split()
+WHOLE_TITLES = "Herr Herrn Frau Bapak Ibu Pak Bu Señor Señora Senhor Senhora Monsieur Madame господин госпожа г-н г-жа".split()
+_TITLE_ENDS = tuple(w + dot for w in DOTTED_TITLES for dot in ("", ".")) + tuple(WHOLE_TITLES)
 # Words of streets by language; they stand before or behind the street's own name.
 STREET_BEHIND = "Road|Lane|Street|Drive|Avenue|Court|Close|Way|Place|Square|Terrace|Crescent|Boulevard|Rd|St|Ave|Dr|Ln|Blvd"
 STREET_BEFORE = "Avda|Avenida|Av|Calle|C/|Plaza|Paseo|Camino|Carretera|Rua|Travessa|Praça|Largo|Estrada|Jalan|Jln|Jl|Gang|Gg|Dermaga"
@@ -76,6 +78,14 @@ def spellings(words: str) -> str:
 
 
 _BEHIND, _BEFORE, _FRENCH = spellings(STREET_BEHIND), spellings(STREET_BEFORE), spellings(STREET_FRENCH)
+_SPELLED = {"behind": set(_BEHIND.split("|")), "before": set(_BEFORE.split("|")), "french": set(_FRENCH.split("|"))}
+_NUMBERED = re.compile(r"(?:[0-9]|bis|ter),? $")
+# what must surround the word of a street, by kind
+_STANDS = {
+    "behind": lambda text, a, b: text[a - 1 : a] == " " and not (text[b : b + 1].isalnum() or text[b : b + 1] == "_"),
+    "before": lambda text, a, b: not (a and (text[a - 1].isalnum() or text[a - 1] == "_")) and text[b : b + 1] in (" ", "."),
+    "french": lambda text, a, b: text[b : b + 1] == " " and bool(_NUMBERED.search(text, max(0, a - 6), a)),
+}
 _CAP = r"[A-ZÀ-ÖØ-Þ][\w’'-]*"
 _PLACE = r"[A-ZÀ-ÖØ-Þ](?:[^\W\d_]|['’-])*(?!\w)"
 _TOWN = rf"{_PLACE}(?: {_PLACE}){{0,2}}"
@@ -112,9 +122,11 @@ _ADDRESSES = [
 _ADDRESS_FORMS = [(re.compile(a), kind) for a, kind in zip(_ADDRESSES, ("behind", "french", "before", None), strict=True)]
 _GERMAN_TOWN = re.compile(r", [0-9]{5} ").search
 _ADDRESS_ID = re.compile(rf"(?<!\w)(?:Jalan|Jln\.?|Jl\.?|Gg\.?|Gang) {_CAP}(?: {_CAP}){{0,3}} [IVXL0-9]+/[0-9]+(?:, RT [0-9]+/RW [0-9]+)?(?:, {_TOWN}(?: [0-9]{{5}})?)?")
-# a name's word: capitalised or in capitals, perhaps hyphenated or with d'
-_NAME_WORD = re.compile(r"(?<![\w@.+%-])(?:[dD]['’])?[A-ZÀ-ÖØ-ÞА-ЯЁ][\wÀ-ž’'-]*[\wÀ-ž]|(?<![\w@.+%-])[A-ZÀ-ÖØ-ÞА-ЯЁ]\.")
-_TITLE = re.compile(rf"(?<!\w)(?:{NAME_TITLES})\s+$")
+# a name's word: capitalised or in capitals, perhaps hyphenated, or an initial; d' before it is looked at apart. The letter
+# comes first in the pattern, as the engine looks for one much faster than it looks behind every place.
+_LETTER = "A-ZÀ-ÖØ-ÞА-ЯЁ"
+_NAME_WORD = re.compile(rf"[{_LETTER}](?<![\w@.+%-].)(?:[\wÀ-ž’'-]*[\wÀ-ž]|\.)")
+_PARTICLE = re.compile(rf"[dD]['’](?=[{_LETTER}])(?<![\w@.+%-]..)")
 _EPONYM = re.compile(r"['’]s? (?:equation|law|test|method|modulus|ratio|number|formula|rule|theorem|criterion|principle|scale)\b|['’]?s? (?:equation|law|test|method|modulus|ratio|number|formula|hardness|results?|impact|criterion|scale)\b|-(?:Gesetz|Versuch|Zahl|Test|Härte)", re.I)
 
 
@@ -190,12 +202,13 @@ def _marks(text: str) -> tuple[list[int], list[int], set[str]]:
         return [m.start() for m in _ID.finditer(text)], [m.start() for m in _CUE_PHONE.finditer(text)], {"behind", "before", "french"}
     labels, cues, kinds = [], [], set()
     for end, (n, *found) in _AUTOMATON[0].iter(low):
+        start = end - n + 1
         for kind in found:
             if kind == "label":
-                labels.append(end - n + 1)
+                labels.append(start)
             elif kind == "cue":
-                cues.append(end - n + 1)
-            else:
+                cues.append(start)
+            elif kind not in kinds and text[start : end + 1] in _SPELLED[kind] and _STANDS[kind](text, start, end + 1):
                 kinds.add(kind)
     return sorted(set(labels)), sorted(set(cues)), kinds
 
@@ -235,8 +248,27 @@ def value_of(kind: int, text: str) -> str:
 # ---- disclosure of terms ----------------------------------------------------------------------
 
 
-def linked_terms(text: str, mails: list[tuple[int, int]], spots: list[tuple[int, int, str]]) -> Counter:
-    """Places of each capitalised term that a mail address nearby repeats; spots: start, end and word of the capitalised words."""
+def name_words(text: str) -> list[tuple[int, int, str, bool]]:
+    """(start, end, word, whether it is an initial) of each capitalised word; an end 's is no part of a place, d' before a word is."""
+    out = []
+    for m in _NAME_WORD.finditer(text):
+        w, (start, end) = m[0], m.span()
+        if start > 1 and text[start - 1] in "'’" and text[start - 2] in "dD" and _PARTICLE.match(text, start - 2) and not (len(w) == 2 and w[1] == "."):
+            start, w = start - 2, text[start - 2 : end]
+        if w[-2:] in ("'s", "’s"):
+            end -= 2
+        out.append((start, end, w, len(w) == 2 and w[1] == "."))
+    return out
+
+
+def counted_words(text: str) -> list[str]:
+    """The words of ``name_words``, without their places."""
+    words = _NAME_WORD.findall(text)
+    return [w for _, _, w, _ in name_words(text)] if _PARTICLE.search(text) else words
+
+
+def linked_terms(text: str, mails: list[tuple[int, int]], spots: list[tuple[int, int, str, bool]]) -> Counter:
+    """Places of each capitalised term that a mail address nearby repeats; spots: the capitalised words."""
     linked: Counter = Counter()
     j = 0
     for a, b in mails:
@@ -245,7 +277,7 @@ def linked_terms(text: str, mails: list[tuple[int, int]], spots: list[tuple[int,
             j += 1
         i = j
         while i < len(spots) and spots[i][0] < b + WINDOW:
-            start, end, word = spots[i]
+            start, end, word, _ = spots[i]
             i += 1
             if end <= a or start >= b:
                 term = _fold(word)
@@ -276,11 +308,11 @@ def first_pass(documents: DataFrame) -> DataFrame:
                 if copy:
                     pass
                 elif mails:
-                    spots = [(*m.span(), m[0]) for m in _NAME_WORD.finditer(text)]
-                    words.update([w for _, _, w in spots])
+                    spots = name_words(text)
+                    words.update([w for _, _, w, _ in spots])
                     linked.update(linked_terms(text, mails, spots))
                 else:
-                    words.update(_NAME_WORD.findall(text))
+                    words.update(counted_words(text))
                 rows += [(kind, key, a, b, value_of(kind, text[a:b]), int(not copy), None) for kind, a, b in proposals(text, mails)]
             every: Counter = Counter()
             for word, n in words.items():
@@ -325,19 +357,14 @@ def protected_values(looked: DataFrame) -> DataFrame:
 # ---- names ------------------------------------------------------------------------------------
 
 
-def name_words(text: str) -> list[tuple[int, int, str, bool]]:
-    """(start, end, word, whether it is an initial) of each capitalised word."""
-    out = []
-    for m in _NAME_WORD.finditer(text):
-        w, (start, end) = m[0], m.span()
-        if w[-2:] in ("'s", "’s"):
-            end -= 2
-        out.append((start, end, w, len(w) == 2 and w[1] == "."))
-    return out
-
-
 def titled(text: str, start: int) -> bool:
-    return start > 0 and text[start - 1] == " " and bool(_TITLE.search(text, max(0, start - 14), start))
+    """Whether a title stands before a place."""
+    if not start or text[start - 1] != " ":
+        return False
+    before = text[max(0, start - 14) : start].rstrip()
+    if not before.endswith(_TITLE_ENDS):
+        return False
+    return any(before.endswith(t) and not (before[: -len(t)][-1:].isalnum() or before[: -len(t)][-1:] == "_") for t in _TITLE_ENDS)
 
 
 def runs(text: str, words: list[tuple[int, int, str, bool]], strong: list[bool]) -> list[tuple[int, int]]:
