@@ -3,8 +3,9 @@
 Documents are counted by exact token length (source, length, count): this histogram, whose size is
 bounded by the longest text, is all that reaches the driver. The largest mixture that no source
 limits sets the budgets. Whole passes over a source come first; of the last pass each length gives
-its proportional count, and a bounded-knapsack program fills the budget that remains as closely as
-lengths allow. Documents are then chosen by a seeded hash, so many for each length.
+its proportional count. What remains is less than one document of each length; single documents at
+random bring it below the width of the program's table, and the bounded-knapsack program fills the rest
+as closely as lengths allow. Documents are then chosen by a seeded hash, so many for each length.
 
 Defined results: null and empty texts take no part; a source without documents cannot contribute, its
 share is spread over the others in proportion and it is reported with 0; sources that are no target
@@ -22,8 +23,8 @@ from pyspark.sql import functions as F
 from ..session import cut
 from .tokens import FOLDER, VOCABULARY, sized
 
-#: Tokens of a budget that the knapsack program fills exactly, and parts that a length's documents are ranked in.
-KNAPSACK_TOKENS, SALTS = 1 << 16, 64
+#: Width of the knapsack program's table in tokens, and bits of the hash that part a length's documents for ranking.
+KNAPSACK_TOKENS, PART_BITS = 1 << 16, 6
 
 
 def bounded_knapsack(lengths: list[int], counts: list[int], budget: int) -> dict[int, int]:
@@ -130,10 +131,10 @@ def _pick(items: DataFrame, plan: DataFrame, seed: int) -> DataFrame:
     The hash range is cut into parts; counts of the parts give where each begins, so no task ranks
     all documents of a length.
     """
-    ranked = items.withColumn("h", F.xxhash64("doc_id", F.lit(seed))).withColumn("part", F.shiftrightunsigned("h", 58).cast("int"))
+    ranked = items.withColumn("h", F.xxhash64("doc_id", F.lit(seed))).withColumn("part", F.shiftrightunsigned("h", 64 - PART_BITS).cast("int"))
     sizes = ranked.groupBy("source", "n_tokens", "part").agg(F.count("*").alias("n"))
     before = Window.partitionBy("source", "n_tokens").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = sizes.withColumn("begun", F.coalesce(F.sum("n").over(before), F.lit(0))).join(F.broadcast(plan), ["source", "n_tokens"]).select("source", "n_tokens", "part", "begun", "passes", "extra")
+    sizes = sizes.withColumn("begun", F.coalesce(F.sum("n").over(before), F.lit(0))).join(plan, ["source", "n_tokens"]).select("source", "n_tokens", "part", "begun", "passes", "extra")
     inside = Window.partitionBy("source", "n_tokens", "part").orderBy("h", "doc_id")
     placed = ranked.withColumn("rank", F.row_number().over(inside)).join(sizes, ["source", "n_tokens", "part"])
     uses = F.col("passes") + F.when(F.col("begun") + F.col("rank") <= F.col("extra"), 1).otherwise(0)

@@ -333,8 +333,6 @@ def sentence_spans(text: str | None) -> list[tuple[int, int]]:
                 while text[y - 1].isspace():
                     y -= 1
                 out.append((x, y))
-            elif b - a > 4_000_000:
-                out += _prose(text, a, b)
             else:
                 part = text[a:b]
                 out += [(a + x, a + y) for x, y in _prose(part, 0, len(part))]

@@ -31,22 +31,24 @@ def encoding(folder: str = FOLDER, vocabulary: str = VOCABULARY):
     return _LOADED[path]
 
 
-#: Characters tokenized at once; a longer text is cut before white space, where no token crosses.
-PIECE_CHARS = 100_000
+# Fixed value: what the tokenizer takes for white space.
+_WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
+#: Runs of white space from this length on are taken out before splitting, as the splitter can't hold very long ones.
+_RUN = re.compile(f"[{_WHITE}]{{1000,}}")
 
 
 def count_tokens(text: str, own) -> int:
-    if len(text) <= PIECE_CHARS:
-        return len(own.encode_ordinary(text))
+    """Tokens of a whole text, whatever its length.
+
+    A run of white space is one piece up to its last character, which belongs to the word behind it, so
+    a text may be cut there without changing any piece.
+    """
     total, at = 0, 0
-    while at < len(text):
-        end = min(len(text), at + PIECE_CHARS)
-        if end < len(text):
-            cut = max((m.start() for m in re.finditer(r"\S(?= \S)", text[end - 2000 : end])), default=-1)
-            end = end - 2000 + cut + 1 if cut >= 0 else end
-        total += len(own.encode_ordinary(text[at:end]))
+    for m in _RUN.finditer(text):
+        end = m.end() if m.end() == len(text) else m.end() - 1
+        total += len(own.encode_ordinary(text[at : m.start()])) + len(own._encode_single_piece(text[m.start() : end]))
         at = end
-    return total
+    return total + len(own.encode_ordinary(text[at:] if at else text))
 
 
 def sized(documents: DataFrame, folder: str = FOLDER, vocabulary: str = VOCABULARY) -> DataFrame:

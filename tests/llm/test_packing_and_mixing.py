@@ -89,3 +89,15 @@ def test_long_texts_are_counted_whole():
     own = tokens.encoding()
     text = "The pump was opened. " * 20_000
     assert tokens.count_tokens(text, own) == len(own.encode_ordinary(text))
+
+
+def test_token_counts_of_long_texts_are_whole():
+    """Long texts without spaces, with long runs of them, and in pieces: the count of the whole text."""
+    import random
+
+    own, rng = tokens.encoding(), random.Random(4)
+    signs = "".join(chr(rng.choice([rng.randrange(0x3042, 0x3094), rng.randrange(0x4E00, 0x8000)])) for _ in range(249_986))
+    assert tokens.count_tokens(signs, own) == len(own.encode_ordinary(signs))
+    for text in ("pump" + " " * 3000 + "valve", " " * 2500, "\n\t" * 900 + "x", "a　" + " " * 1500 + "\tb c", "x " * 1200, "word" + " " * 1001, "", "\x1c" * 1500 + "y"):
+        assert tokens.count_tokens(text, own) == len(own.encode_ordinary(text)), repr(text[:20])
+    assert tokens.count_tokens(" " * 3_000_000 + "end", own) > 1
