@@ -3,9 +3,10 @@
 A text falls into blocks at blank lines; headings and list items are one unit each. In the other
 blocks every terminator and, in Thai, every gap is a node of a lattice: ending a sentence there has a
 cost, reading on has a cost, and so has a sentence that opens a quotation without closing it. The
-cheapest path through the lattice gives the sentences. Runs of scripts without spaces are segmented by
-a word lattice over a small dictionary; the words beside a gap (final particles, continuing words,
-opening words) give its cost.
+cheapest path through the lattice gives the sentences. Runs of scripts without spaces (Thai, Chinese,
+Japanese) are segmented by a word lattice; the words beside a gap (final particles, continuing words,
+opening words) give its cost. The dictionary of the lattice is built from counts over the whole corpus:
+what begins or ends runs often and goes on in different ways is a word; the listed particles cost less.
 
 Defined results: null, empty and blank texts give no unit; a text without terminators is one unit;
 positions count code points and exclude surrounding white space; a redelivered page counts once.
@@ -14,6 +15,7 @@ positions count code points and exclude surrounding white space; a redelivered p
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -30,15 +32,10 @@ NEVER_LAST = set(
 MAYBE_LAST = set("etc dll dst dsb usw co inc ltd corp p.m a.m pm am jr sr al д др т.д т.п т.е u.s.w n.m mm cm kg m bar".split())
 LABEL_WORDS = set("rev rev. type class grade zone unit appendix annex anlage anhang ausgabe teil part option case table level".split())
 GERMAN_MONTHS = set("januar februar märz april mai juni juli august september oktober november dezember".split())
-# Thai words by their part in a sentence, and common words of the corpus.
+# Thai words by their part in a sentence.
 THAI_FINAL = "ครับ ค่ะ คะ นะ จ้ะ แล้ว เลย ด้วย ฯลฯ".split()
 THAI_GOES_ON = "และ หรือ ที่ ของ ใน โดย กับ จาก ต่อ เพื่อ ว่า คือ ให้ ถึง ตั้งแต่ ระหว่าง ภายใน ซึ่ง แต่ เพราะ จึง เป็น แก่ แด่ ด้าน เช่น อัน พร้อม รวมทั้ง ตาม เนื่องจาก".split()
 THAI_OPENS = "การ ความ ผู้ ต้อง ควร ห้าม บันทึก ตาราง ตัวอย่าง เครื่อง ถัง วาล์ว ท่อ ปั๊ม หาก เมื่อ ถ้า โปรด กรุณา ก่อน หลัง ไม่ มี พบ เรา เขา ระบบ หัวข้อ ส่วน บริษัท โครงการ รายงาน เอกสาร".split()
-THAI_WORDS = (
-    "ดัน ทดสอบ คงที่ บาร์ เวลา นาที มี การรั่วไหล รั่วไหล หน้า ระบุ หยุด ลายเซ็น คำนวณ นี้ ถือ อุณหภูมิ สม่ำเสมอ ตลอด ความยาว ส่ง ผ่าน วัด ซ้ำ หลัง ทำความสะอาด หนา ผนัง อยู่ มิลลิเมตร ได้รับ "
-    "อนุญาต เจ้าของ พื้นที่ เปิด อุปกรณ์ สัปดาห์ ตรวจสอบ ลาน พบ รอยร้าว แนวเชื่อม ขอบเขต แลกเปลี่ยน ร้อน ท่าเรือ เหนือ ฉนวน ชำรุด เก็บ ถูก ไป วิเคราะห์ ห้องปฏิบัติการ ปิด เข้า ทำงาน แสดง ค่า ได้ ขีดจำกัด "
-    "ยอมรับ นิรภัย ป้อน ห้อง กัดกร่อน เล็กน้อย น็อต หลวม สรุป ผล ติดต่อ ไม่ มาก น้อย คน งาน วัน ปี เดือน".split()
-)
 # What goes on after a closed quotation in Japanese and Chinese, and words opening with the same sign.
 CJK_GOES_ON = "と との という として が を に は も の で へ から まで や など 的 和 与 及 或 等".split()
 CJK_OPENS = "とき ところ とくに ともに とりわけ では でも もし もっとも はじめ にも のち からだ 等待 和平".split()
@@ -54,53 +51,95 @@ _AFTER = re.compile(r"[)\]）】’']*")
 _BEFORE = re.compile(r"(\S*)$")
 _WORD = re.compile(r"[^\W\d_]+")
 
+# What ends and what opens a sentence in Japanese and Chinese.
+CJK_FINAL = "です ます でした ました ません である だ だった た る か ね よ ない ください 了 吗 呢 吧 啊 的 过 完".split()
+CJK_OPENING = "この その また ただし なお しかし そして 次に 本 当 各 請 请 若 如 该 此 本 由于 因此 但 另外 同时 在 对".split()
+
+#: Characters of the words that are counted at the ends of runs, places of a word of the dictionary, the share of its
+#: places at which a word may go on in one and the same way, and the words that are sent to the workers.
+EDGE, LEAST_PLACES, ONE_WAY, MOST_WORDS = 8, 5, 0.6, 20_000
+#: Cost of a listed particle, of a word of the corpus and of an unknown character in the word lattice.
+LISTED, COUNTED, UNKNOWN = 0.5, 1.1, 2.0
 #: Cost of a sentence that leaves a quotation open, of the final particle, and of a gap beside a number.
 UNBALANCED, NUMBER_GAP = 8.0, -10.0
 
 
-def _lattice(words: dict[str, float]) -> tuple[dict[str, float], int]:
-    return words, max(map(len, words))
+class Lexicon:
+    """The dictionary of the word lattice: cost by word."""
+
+    def __init__(self, counted: tuple[str, ...] = ()):
+        self.cost = dict.fromkeys(counted, COUNTED)
+        self.cost.update({w: LISTED for group in (THAI_FINAL, THAI_GOES_ON, THAI_OPENS, CJK_GOES_ON, CJK_OPENS, CJK_FINAL, CJK_OPENING) for w in group})
+        self.longest = max(map(len, self.cost))
+        self.edges: dict[str, tuple[str, str]] = {}
+
+    def words(self, run: str) -> list[str]:
+        """The cheapest path through the word lattice of a run."""
+        n = len(run)
+        cost, back = [0.0] + [1e18] * n, [0] * (n + 1)
+        for i in range(n):
+            here = cost[i]
+            if here + UNKNOWN < cost[i + 1]:
+                cost[i + 1], back[i + 1] = here + UNKNOWN, i
+            for j in range(i + 1, min(n, i + self.longest) + 1):
+                c = self.cost.get(run[i:j])
+                if c is not None and here + c < cost[j]:
+                    cost[j], back[j] = here + c, i
+        out = []
+        while n:
+            out.append(run[back[n] : n])
+            n = back[n]
+        return out[::-1]
+
+    def ends(self, run: str) -> tuple[str, str]:
+        """First and last word of a run without spaces."""
+        if (got := self.edges.get(run)) is None:
+            found = self.words(run) or [""]
+            if len(self.edges) > 20_000:
+                self.edges.clear()
+            got = self.edges[run] = (found[0], found[-1])
+        return got
+
+
+_LISTED_ONLY = Lexicon()
+_IN_USE = [_LISTED_ONLY]
+_FINAL, _GOES_ON, _OPENS = set(THAI_FINAL), set(THAI_GOES_ON), set(THAI_OPENS)
+_CJK_FINAL, _CJK_GOES_ON, _CJK_OPENING = set(CJK_FINAL), set(CJK_GOES_ON), set(CJK_OPENING)
 
 
-_DICTIONARY, _LONGEST = _lattice({w: 1.0 for group in (THAI_FINAL, THAI_GOES_ON, THAI_OPENS, THAI_WORDS) for w in group})
-_CJK, _CJK_LONGEST = _lattice({w: 1.0 for group in (CJK_GOES_ON, CJK_OPENS) for w in group})
-_FINAL, _GOES_ON, _OPENS = set(THAI_FINAL), set(THAI_GOES_ON), set(THAI_OPENS)
+def words_of(run: str) -> list[str]:
+    return _IN_USE[0].words(run)
 
 
-def words_of(run: str, dictionary: dict[str, float] = _DICTIONARY, longest: int = _LONGEST) -> list[str]:
-    """The cheapest path through the word lattice of a run: a known word costs 1, an unknown sign 2."""
-    n = len(run)
-    cost, back = [0.0] + [1e18] * n, [0] * (n + 1)
-    for i in range(n):
-        here = cost[i]
-        if here + 2.0 < cost[i + 1]:
-            cost[i + 1], back[i + 1] = here + 2.0, i
-        for j in range(i + 1, min(n, i + longest) + 1):
-            c = dictionary.get(run[i:j])
-            if c is not None and here + c < cost[j]:
-                cost[j], back[j] = here + c, i
-    out = []
-    while n:
-        out.append(run[back[n] : n])
-        n = back[n]
-    return out[::-1]
+def _edges(run: str) -> tuple[str, str]:
+    return _IN_USE[0].ends(run)
 
 
-_CACHE: dict[str, tuple[str, str]] = {}
+_THAI_RUN = re.compile("[ก-๛]+")
+_CJK_RUN = re.compile("[ぁ-ヿ㐀-鿿々]+")
+_CJK_GAP = re.compile("(?<=[ぁ-ヿ㐀-鿿])[ \t\u3000\n]+(?=[ぁ-ヿ㐀-鿿「『“])")
+_SPACELESS_RUN = re.compile("[ก-๛]+|[ぁ-ヿ㐀-鿿々]+")
 
 
-def _edges(run: str) -> tuple[str, str]:
-    """First and last word of a run without spaces."""
-    if (got := _CACHE.get(run)) is None:
-        found = words_of(run) or [""]
-        if len(_CACHE) > 20_000:
-            _CACHE.clear()
-        got = _CACHE[run] = (found[0], found[-1])
-    return got
+def _cjk_before(text: str, at: int) -> str:
+    """The last word of the run that ends at a position; a lattice over as much of it as words have characters."""
+    start = at
+    while start and at - start < 2 * EDGE and _CJK_RUN.match(text[start - 1]):
+        start -= 1
+    return _edges(text[start:at])[1] if start < at else ""
 
 
-_THAI_RUN = re.compile("[ก-๛]+")
-_THAI_TAIL = re.compile("[ก-๛]+$")
+def _cjk_after(text: str, at: int) -> str:
+    run = _CJK_RUN.match(text, at, at + 2 * EDGE)
+    return _edges(run[0])[0] if run else ""
+
+
+def _cjk_weight(text: str, at: int, after: int, opened: str, gap: bool) -> float:
+    """Chinese and Japanese: how strongly a terminator or, without one, a gap ends a sentence, by the words beside it."""
+    w = -3.0 if gap else 4.0
+    w += 2.0 if _cjk_before(text, at) in _CJK_FINAL else 0.0
+    w += 2.0 if opened in _CJK_OPENING else -2.0 if gap and opened in _CJK_GOES_ON else 0.0
+    return w
 
 
 def _gap_weight(text: str, at: int, after: int) -> float:
@@ -134,9 +173,8 @@ def _weight(text: str, start: int, at: int, mark: str, after: int, closed: bool)
         if closed:  # after a quotation: particles and commas go on
             if nxt in "，、,；;：:」』”)）":
                 return -20.0
-            found = words_of(text[after : after + _CJK_LONGEST], _CJK, _CJK_LONGEST)
-            return -8.0 if found and found[0] in CJK_GOES_ON else 3.0
-        return -20.0 if nxt in "」』”)），、" else 5.0
+            return -8.0 if _cjk_after(text, after) in _CJK_GOES_ON else 3.0
+        return -20.0 if nxt in "」』”)），、" else _cjk_weight(text, at, after, _cjk_after(text, after), False)
     space = nxt.isspace()
     i = after
     while i < end and text[i].isspace():
@@ -227,12 +265,17 @@ def _prose(text: str, start: int, end: int) -> list[tuple[int, int]]:
     if _THAI.search(piece, start):
         spots += [(m.start(), m[0], True) for m in _GAP.finditer(piece, start)]
         spots.sort()
+    if _CJK_RUN.search(piece, start):
+        spots += [(m.start(), m[0], True) for m in _CJK_GAP.finditer(piece, start)]
+        spots.sort()
     for at, mark, gap in spots:
         while k < len(marks) and marks[k][0] < at:
             inside = marks[k][1]
             k += 1
         if gap:
-            nodes.append((at, _gap_weight(piece, at, at + len(mark)), inside))
+            behind = at + len(mark)
+            weight = _gap_weight(piece, at, behind) if _THAI.match(piece[at - 1]) or not _CJK_RUN.match(piece[at - 1]) else _cjk_weight(piece, at, behind, _cjk_after(piece, behind), True)
+            nodes.append((at, weight, inside))
             continue
         after, closed, level, j = at + len(mark), False, inside, k
         while True:
@@ -339,10 +382,37 @@ def sentence_spans(text: str | None) -> list[tuple[int, int]]:
     return out
 
 
-def units(df: DataFrame, kind: str, key: str, column: str) -> DataFrame:
-    """(kind, rec_id, start_pos, end_pos) of the sentence units of a text column."""
+def corpus_words(texts: DataFrame) -> tuple[str, ...]:
+    """Words of scripts without spaces by counts over all texts: the most frequent MOST_WORDS.
+
+    texts: one text column. Beginnings and ends of runs are counted in each batch and added up; a beginning
+    is a word if it goes on in different ways, an end if different things stand before it.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            heads, tails = Counter(), Counter()
+            for run, n in Counter(r for t in batch.column(0).to_pylist() for r in _SPACELESS_RUN.findall(t)).items():
+                for k in range(1, min(EDGE, len(run)) + 1):
+                    heads[run[:k]] += n
+                    tails[run[-k:]] += n
+            rows = [(side, g, n) for side, grams in ((0, heads), (1, tails)) for g, n in grams.items()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.int64())], names=["side", "gram", "n"])
+
+    some = texts.toDF("text").where(F.col("text").rlike("[ก-๛ぁ-ヿ㐀-鿿]"))
+    counts = some.mapInArrow(count, "side int, gram string, n bigint").groupBy("side", "gram").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST_PLACES)
+    longer = counts.where("length(gram) > 1").select("side", F.expr("CASE side WHEN 0 THEN left(gram, length(gram) - 1) ELSE substr(gram, 2) END").alias("gram"), "n").groupBy("side", "gram").agg(F.max("n").alias("one"))
+    free = counts.join(longer, ["side", "gram"], "left").where((F.length("gram") > 1) & (F.length("gram") < EDGE) & (F.coalesce("one", F.lit(0)) <= ONE_WAY * F.col("n")))
+    top = free.groupBy("gram").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "gram").limit(MOST_WORDS)
+    return tuple(r.gram for r in top.collect())
+
+
+def units(df: DataFrame, kind: str, key: str, column: str, counted: tuple[str, ...] = ()) -> DataFrame:
+    """(kind, rec_id, start_pos, end_pos) of the sentence units of a text column, with the words counted in the corpus."""
+    sent = df.sparkSession.sparkContext.broadcast(counted)
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _IN_USE[0] = Lexicon(sent.value)
         for batch in batches:
             keys, starts, ends = [], [], []
             for k, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -358,5 +428,8 @@ def units(df: DataFrame, kind: str, key: str, column: str) -> DataFrame:
 
 def corpus_units(pdf_pages: DataFrame, benchmarks: DataFrame) -> DataFrame:
     """Units of all text-layer pages and of all benchmark texts; redelivered pages fall together."""
-    pages = units(pdf_pages.where("text_source = 'TEXT_LAYER'"), "page", "page_id", "raw_text").dropDuplicates(["rec_id", "start_pos"])
-    return pages.unionByName(units(benchmarks.dropDuplicates(["case_no"]), "benchmark", "case_no", "document_text"))
+    layer = pdf_pages.where("text_source = 'TEXT_LAYER'")
+    cases = benchmarks.dropDuplicates(["case_no"])
+    counted = corpus_words(layer.select("raw_text").unionByName(cases.select(F.col("document_text").alias("raw_text"))))
+    pages = units(layer, "page", "page_id", "raw_text", counted).dropDuplicates(["rec_id", "start_pos"])
+    return pages.unionByName(units(cases, "benchmark", "case_no", "document_text", counted))

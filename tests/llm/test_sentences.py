@@ -39,8 +39,34 @@ def test_spaceless_scripts():
 
 
 def test_word_lattice():
-    assert sentences.words_of("ผู้ตรวจสอบ") == ["ผู้", "ตรวจสอบ"]
-    assert "".join(sentences.words_of("กขคถังเก็บ")) == "กขคถังเก็บ"
+    own = sentences.Lexicon(("ตรวจสอบ", "ถังเก็บ", "ต้องมี"))
+    assert own.words("ผู้ตรวจสอบ") == ["ผู้", "ตรวจสอบ"] and own.words("") == []
+    assert "".join(own.words("กขคถังเก็บ")) == "กขคถังเก็บ" and own.words("กขคถังเก็บ")[-1] == "ถังเก็บ"
+    # brute force: no segmentation of a short run is cheaper
+    def cost(words):
+        return sum(own.cost.get(w, sentences.UNKNOWN if len(w) == 1 else 1e9) for w in words)
+
+    def every(run):
+        return [[run[:k], *rest] for k in range(1, len(run) + 1) for rest in every(run[k:])] if run else [[]]
+
+    for run in ("ต้องมีผู้", "について本", "したが弁は", "记录了泵"):
+        assert abs(cost(own.words(run)) - min(map(cost, every(run)))) < 1e-9
+
+
+def test_gaps_without_terminators_in_japanese_and_chinese():
+    assert units("弁を閉じました ただし記録はない") == ["弁を閉じました", "ただし記録はない"]
+    assert units("检查已经完了\n请勿打开旁路") == ["检查已经完了", "请勿打开旁路"]
+    assert units("弁を 閉じる前に確認する。") == ["弁を 閉じる前に確認する。"]
+
+
+def test_words_of_the_corpus(spark):
+    import itertools
+
+    heads, tails = ["検査員が", "配管を", "圧力計は"], ["開放した", "確認した", "交換する", "測定した"]
+    texts = ["。".join(a + b for a, b in itertools.product(heads, tails))] * 3 + ["plain text", None, ""]
+    got = set(sentences.corpus_words(spark.createDataFrame([(t,) for t in texts], "text string")))
+    assert {"検査員が", "配管を", "圧力計は"} <= got and "検査" not in got and "員が" not in got
+    assert sentences.corpus_words(spark.createDataFrame([], "text string")) == ()
 
 
 def test_headings_and_items():
