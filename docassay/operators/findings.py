@@ -15,6 +15,7 @@ GRADES = {
     "PAGE_DRIFT": ("MEDIUM", 1.0), "TARGET_NOT_FOUND": ("LOW", 0.9), "DUPLICATE_TARGET": ("LOW", 0.8),
     "STANDARD_NOT_IN_BIBLIOGRAPHY": ("MEDIUM", 0.9), "EDITION_YEAR_MISMATCH": ("HIGH", 0.95), "AMBIGUOUS_CITATION": ("LOW", 0.7),
     "CROSS_PAGE_BREAK": ("BLOCKER", 0.95), "UNCONTROLLED_PAGE": ("MAJOR", 0.95), "REVISION_MISMATCH": ("CRITICAL", 1.0),
+    "REWORK_ITEM": ("MAJOR", 1.0), "CATEGORY_BAND_CONTRADICTION": ("BLOCKER", 1.0), "DUPLICATE_BAND": ("BLOCKER", 1.0), "STAGE_FAILURE": ("HIGH", 1.0),
 }
 #: Members of an evidence record that hold one box, and those that hold a list of boxes.
 SINGLE_BOXES = ["location", "bounding_box", "total_location", "entry_location", "target_location", "body_location", "bibliography_location", "original_location"]

@@ -109,11 +109,19 @@ def _precision(df: DataFrame) -> DataFrame:
     return pairs.where(wrong).select("doc_id", "page_index", "y0", F.lit("RULE_SIGFIG_INCONSISTENCY").alias("rule_id"), F.lit("sigfig_inconsistency").alias("type"), F.col("m.hit").alias("original"), F.lit(None).cast("string").alias("suggestion"))
 
 
-def unclosed(items: DataFrame, sections: str = r"(?i)\b(?:summary|conclusions?|recommendations?|recommended|findings)\b") -> DataFrame:
-    """(doc_id, section_item, item_id, text): the last text of a key section, where it ends without a closing mark."""
-    placed = with_heading(items.where("text IS NOT NULL")).where("NOT is_heading AND head IS NOT NULL").where(F.col("head.text").rlike(sections))
+# Key sections, what a sentence can't end with, and recommendations without their subject.
+KEY_SECTIONS = r"(?i)\b(?:executive\s+summary|abstract|conclusions?|recommendations?)\b"
+GOES_ON = r"(?i)\b(?:and|or|because|which|that|to|of|with|by|for|in)$"
+FRAGMENT = r"(?i)^(?:classified|completed|implemented|reinspected|reassessed|reviewed|inspected|replaced|repaired|maintained)\b.*\bby\s+(?:the\s+)?(?:end[- ]?)?20[0-9]{2}\b[.!?]?$"
+
+
+def unclosed(items: DataFrame, sections: str = KEY_SECTIONS) -> DataFrame:
+    """(doc_id, section_item, item_id, text): the last text of a key section, where it has three words or more, no closing
+    mark, and ends in a word that goes on or is a recommendation without its subject."""
+    placed = with_heading(items.where("trim(text) <> ''")).where("NOT is_heading AND head IS NOT NULL").where(F.col("head.text").rlike(sections))
     last = placed.groupBy("doc_id", F.col("head.item_id").alias("section_item")).agg(F.max_by(F.struct("item_id", "text"), F.struct("page_index", "y0", "seq", "item_id")).alias("l"))
-    return last.select("doc_id", "section_item", "l.*").where(~F.trim("text").rlike(r"[.!?。！？:;\"”»)]$") & (F.size(F.split(F.trim("text"), r"\s+")) >= 4))
+    t = F.trim("text")
+    return last.select("doc_id", "section_item", "l.*").where(~t.rlike(r"[.!?:;][\"')\]]?$") & (F.size(F.split(t, r"\s+")) >= 3) & (t.rlike(GOES_ON) | t.rlike(FRAGMENT)))
 
 
 def ambiguity(spans: DataFrame) -> DataFrame:

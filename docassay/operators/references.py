@@ -77,28 +77,61 @@ def normalized_title(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(F.trim(text)), r"[.\s_–—]+$", ""), r"\s+", " ")
 
 
+# Headings of lists of contents, figures and tables, captions, and what may stand before a section number.
+LISTS = {
+    "TOC": r"(?i)^\s*(?:[0-9]+(?:\.[0-9]+)*\s+)?(?:TABLE\s+OF\s+CONTENTS|CONTENTS|TOC)\b",
+    "LOF": r"(?i)^\s*(?:[0-9]+(?:\.[0-9]+)*\s+)?(?:LIST\s+OF\s+FIGURES|FIGURES|LOF)\b",
+    "LOT": r"(?i)^\s*(?:[0-9]+(?:\.[0-9]+)*\s+)?(?:LIST\s+OF\s+TABLES|TABLES|LOT)\b",
+}
+CAPTION = r"(?i)^\s*(?:FIGURE|FIG\.?|TABLE)\s+[0-9]+(?:[.\-:\s].*)?$"
+SECTION = r"^(?:(?:figure|fig\.?|table|section)\s+)?([0-9]+(?:\.[0-9]+)*\b)"
+
+
 def toc_entries(items: DataFrame) -> DataFrame:
     """(doc_id, item_id, title, label): lines that end with leader dots or wide space and a page label."""
     t = F.col("text")
     return items.where(t.rlike(ENTRY)).select("doc_id", "item_id", normalized_title(F.regexp_extract(t, ENTRY, 1)).alias("title"), F.regexp_extract(t, ENTRY, 2).alias("label"))
 
 
+def contents(items: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(entries, targets) of the lists of contents, figures and tables of each document, as ``drift`` takes them.
+
+    labels: doc_id, page_index, label, the printed labels. A page with the heading of a list holds entries (of its texts);
+    a list is headed by a text only in a document without such a heading. Targets are the headings and the captions of
+    all other pages, headings first, each with the label of its page, null where none is printed.
+    """
+    kind = F.coalesce(*[F.when(F.col("text").rlike(p), k) for k, p in LISTS.items()])
+    named = items.where("text IS NOT NULL").withColumn("list", kind)
+    starts = named.where("list IS NOT NULL").groupBy("doc_id", "page_index").agg(F.max("is_heading").alias("by_heading"))
+    documents = starts.groupBy("doc_id").agg(F.max("by_heading").alias("any_heading"))
+    pages = starts.join(documents, "doc_id").where("by_heading = any_heading").select("doc_id", "page_index")
+    lines = named.where("NOT is_heading AND list IS NULL").join(pages, ["doc_id", "page_index"], "left_semi")
+    targets = named.where(F.col("is_heading") & (F.trim("text") != "") | F.col("text").rlike(CAPTION)).join(pages, ["doc_id", "page_index"], "left_anti")
+    placed = targets.join(labels.select("doc_id", "page_index", F.col("label").alias("page_label")), ["doc_id", "page_index"], "left")
+    order = F.struct(F.expr("NOT is_heading AS caption"), "page_index", "y0", "x0", "item_id")
+    return toc_entries(lines), placed.select("doc_id", order.alias("seq"), normalized_title(F.col("text")).alias("title"), "page_index", "page_label")
+
+
 def drift(entries: DataFrame, targets: DataFrame) -> DataFrame:
     """(doc_id, item_id, title, label, target_label, tier, matches, delta, kind).
 
     entries: doc_id, item_id, title, label; targets: doc_id, seq, title, page_index, page_label. An exact
     title outranks one that begins with the other, which outranks an equal section number; of the best
-    tier the first target counts. Each tier is an equi-join: whole title, first word, section number.
+    tier the first target counts. Each tier is an equi-join: whole title, section number, and for the
+    beginnings the part of the longer title that has the length of one of the other side's titles.
     """
-    section = lambda c: F.regexp_extract(c, r"^([0-9]+(?:\.[0-9]+)*)\s", 1)
-    word = lambda c: F.regexp_extract(c, r"^(\S+)", 1)
-    e = entries.select("doc_id", "item_id", "title", "label", word(F.col("title")).alias("word"), section(F.col("title")).alias("section"))
-    t = targets.select("doc_id", "seq", "page_index", "page_label", F.col("title").alias("target"), word(F.col("title")).alias("t_word"), section(F.col("title")).alias("t_section"))
-    on = [e.doc_id == t.doc_id]
-    exact = e.join(t.drop("t_word", "t_section"), on + [e.title == t.target]).drop(t.doc_id).withColumn("tier", F.lit(1))
-    begun = e.join(t.drop("t_section"), on + [e.word == t.t_word]).drop(t.doc_id).where("target <> title AND (startswith(title, target) OR startswith(target, title))").drop("t_word").withColumn("tier", F.lit(2))
-    numbered = e.where("section <> ''").join(t.drop("t_word"), on + [e.section == t.t_section]).drop(t.doc_id).where("target <> title AND NOT (startswith(title, target) OR startswith(target, title))").drop("t_section").withColumn("tier", F.lit(3))
-    candidates = exact.unionByName(begun).unionByName(numbered).select("doc_id", "item_id", "tier", "seq", "page_index", "page_label")
+    section = lambda c: F.regexp_extract(c, SECTION, 1)
+    lengths = lambda df: df.groupBy("doc_id").agg(F.collect_set(F.length("title")).alias("lengths"))  # noqa: E731  as many as titles have lengths
+    e = entries.select("doc_id", "item_id", "title", section(F.col("title")).alias("section"))
+    t = targets.select("doc_id", "seq", "page_index", "page_label", "title", section(F.col("title")).alias("section"))
+    found = ["doc_id", "item_id", "tier", "seq", "page_index", "page_label"]
+    exact = e.join(t.drop("section"), ["doc_id", "title"]).withColumn("tier", F.lit(1)).select(*found)
+    parts = lambda df, other: df.join(lengths(other), "doc_id").withColumn("n", F.explode("lengths")).where("n < length(title)").withColumn("title", F.expr("left(title, n)"))
+    longer_entry = parts(e, t).join(t.drop("section"), ["doc_id", "title"])
+    longer_target = parts(t, e).join(e.drop("section"), ["doc_id", "title"])
+    begun = longer_entry.withColumn("tier", F.lit(2)).select(*found).unionByName(longer_target.withColumn("tier", F.lit(2)).select(*found))
+    numbered = e.where("section <> ''").drop("title").join(t.drop("title"), ["doc_id", "section"]).withColumn("tier", F.lit(3)).select(*found)
+    candidates = exact.unionByName(begun).unionByName(numbered)
     best = candidates.groupBy("doc_id", "item_id", "tier").agg(F.min_by(F.struct("page_index", "page_label"), "seq").alias("t"), F.count_distinct("page_index").alias("matches")).groupBy("doc_id", "item_id").agg(F.min_by(F.struct("tier", "t", "matches"), "tier").alias("b"))
     out = entries.select("doc_id", "item_id", "title", "label").join(best, ["doc_id", "item_id"], "left").select("doc_id", "item_id", "title", "label", F.col("b.t.page_label").alias("target_label"), F.col("b.tier").alias("tier"), F.coalesce(F.col("b.matches"), F.lit(0)).alias("matches"))
     a, b = page_value(F.col("target_label")), page_value(F.col("label"))

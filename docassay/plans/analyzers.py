@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import numbers
 from ..operators import consistency, duplicates, findings, geometry, language, layout, references, rules, scorecard, table_math
+from ..session import cut
 from ..sources.tables import table
 from .portable import plan, split
 
@@ -46,15 +47,40 @@ def _signals(s: SparkSession, d: str) -> DataFrame:
     return scorecard.signals(items, cells, references.citations(items), repeats, layout.uncontrolled(table(s, d, "pdf_pages")), layout.voids(layout.metrics(_placed(s, d))), _drift(s, d).where("kind = 'PAGE_DRIFT'"), consistency.contradictions(cells, items), faults, metadata)
 
 
+def _labels(s: SparkSession, d: str) -> DataFrame:
+    """Printed labels of pages: what a footer line says, else the number that the page carries."""
+    printed = layout.printed_label(_placed(s, d))
+    carried = table(s, d, "pdf_pages").dropDuplicates(["page_id"]).groupBy("doc_id", "page_index").agg(F.min(F.regexp_extract("page_number", r"([0-9]+|[ivxlcdm]+)\s*$", 1)).alias("carried")).where("carried <> ''")
+    return printed.join(carried, ["doc_id", "page_index"], "full").select("doc_id", "page_index", F.coalesce("label", "carried").alias("label"))
+
+
+def _contents_drift(s: SparkSession, d: str) -> DataFrame:
+    return references.drift(*references.contents(_items(s, d), _labels(s, d)))
+
+
 def _merged(s: SparkSession, d: str) -> DataFrame:
-    items, pages = _items(s, d), table(s, d, "pdf_pages")
+    # each stream reads the items; they are put together and deduplicated once and written
+    items, pages, spans = cut(_items(s, d)), table(s, d, "pdf_pages"), table(s, d, "spans")
+    cells, none = table(s, d, "cells"), F.lit(None).cast("int")
     breaks = findings.as_issues(layout.page_breaks(items), 1, "LAYOUT", F.lit("CROSS_PAGE_BREAK"), F.col("page_index"), F.col("reason"))
     open_pages = findings.as_issues(layout.uncontrolled(pages), 2, "LAYOUT", F.lit("UNCONTROLLED_PAGE"), F.col("page_index"), F.col("missing"))
     trace = references.traceability(items)
-    cited = findings.as_issues(trace, 3, "STANDARD_TRACEABILITY", F.col("kind"), F.lit(None).cast("int"), F.col("code"))
-    said = language.grammar(table(s, d, "spans"))
-    grammar = findings.as_issues(said, 4, "GRAMMAR", F.upper("type"), F.col("page_index"), F.col("original"))
-    return findings.merged(breaks, open_pages, cited, grammar)
+    cited = findings.as_issues(trace, 3, "STANDARD_TRACEABILITY", F.col("kind"), none, F.col("code"))
+    grammar = findings.as_issues(language.grammar(spans), 4, "GRAMMAR", F.upper("type"), F.col("page_index"), F.col("original"))
+    sources = references.revision_sources(table(s, d, "doc_metadata"), spans, table(s, d, "headings"), cells)
+    revisions = findings.as_issues(references.disagreeing(sources), 5, "TRACEABILITY", F.lit("REVISION_MISMATCH"), F.lit(0), F.concat_ws(" ", "source", "value"))
+    status = F.when(F.col("status") == "MISMATCH", "TABLE_MATH_MISMATCH").otherwise(F.col("status"))
+    sums = table_math.column_totals(cells).select("doc_id", "table_index", "r", "status").unionByName(table_math.row_totals(cells).select("doc_id", "table_index", "r", "status"))
+    math = findings.as_issues(sums.where("status NOT IN ('CORRECT', 'ROUNDING_BOUNDARY')"), 6, "TABLE_MATH", status, none, F.concat_ws(" ", F.lit("table"), "table_index", F.lit("row"), "r"))
+    drifts = findings.as_issues(_contents_drift(s, d).where("kind <> 'OK'"), 7, "TRACEABILITY", F.col("kind"), none, F.col("title"))
+    words = findings.as_issues(language.spelling(spans), 8, "GRAMMAR", F.lit("SPELLING"), F.col("page_index"), F.lower("word"))
+    copies = findings.as_issues(duplicates.near_duplicates(spans), 9, "GRAMMAR", F.lit("DUPLICATE_BLOCK"), F.col("page_index"), F.concat_ws(" ", F.lit("block"), "item_id", F.lit("repeats"), "first_item"))
+    vague = findings.as_issues(language.ambiguity(spans), 10, "GRAMMAR", F.upper("type"), F.col("page_index"), F.col("original"))
+    broken = rules.all_findings(_texts(s, d), _rules(s, d))
+    ruled = findings.as_issues(broken.withColumn("doc_id", F.col("text_key")), 11, "REFERENCE_PACK", F.col("rule_id"), none, F.concat_ws(" ", "rule_id", "detail", "status"))
+    bands = findings.as_issues(consistency.contradictions(cells, items), 12, "TRACEABILITY", F.col("kind"), F.col("page_index"), F.col("quote"))
+    rework = findings.as_issues(scorecard.scores(_signals(s, d)).where("score <= 2"), 13, "SCORECARD", F.lit("REWORK_ITEM"), none, F.concat_ws(" ", "grp", "item", "score"))
+    return findings.merged(breaks, open_pages, cited, grammar, revisions, math, drifts, words, copies, vague, ruled, bands, rework)
 
 
 def _judged(s: SparkSession, d: str) -> DataFrame:
@@ -79,6 +105,7 @@ Q = {
     "txt1_column_totals": lambda s, d: table_math.column_totals(table(s, d, "cells")),
     "txt2_row_totals": lambda s, d: table_math.row_totals(table(s, d, "cells")),
     "txt4_reference_drift": _drift,
+    "txt4_contents_drift": _contents_drift,
     "txt5_revision_sources": lambda s, d: references.revision_sources(table(s, d, "doc_metadata"), table(s, d, "spans"), table(s, d, "headings"), table(s, d, "cells")),
     "txt5_revision_mismatch": lambda s, d: references.disagreeing(references.revision_sources(table(s, d, "doc_metadata"), table(s, d, "spans"), table(s, d, "headings"), table(s, d, "cells"))),
     "txt6_citations": lambda s, d: references.citations(_items(s, d)),
