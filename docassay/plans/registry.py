@@ -1,5 +1,5 @@
 """The query modules of the library."""
 
-from . import analyzers, core_training, progress_plans, relational
+from . import analyzers, core_training, planted, progress_plans, relational
 
-MODULES = [core_training, relational, analyzers, progress_plans]
+MODULES = [core_training, relational, analyzers, planted, progress_plans]
