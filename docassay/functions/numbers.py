@@ -24,7 +24,7 @@ def _form(unit: Column) -> Column:
 
 def _plain(text: Column) -> Column:
     """Compatibility digits, signs and spaces in their ordinary form."""
-    return F.trim(F.translate(text, "０１２３４５６７８９．，－＋％（） 　   ", "0123456789.,-+%()      "))
+    return F.trim(F.translate(text, "０１２３４５６７８９．，－＋％（）\u00a0\u3000\u202f\u2009\u2007", "0123456789.,-+%()     "))
 
 
 def header_unit(text: Column) -> Column:

@@ -37,7 +37,7 @@ def loaded(rules: DataFrame) -> DataFrame:
     """A pack after validation: one row of each rule, parameters that match its kind, patterns that are safe."""
     if rules.count() > MAX_RULES:
         raise ValueError(f"a run accepts {MAX_RULES} rules at most")
-    safe = F.udf(lambda p: not unsafe_pattern(p), "boolean")
+    safe = F.pandas_udf(lambda p: p.map(lambda x: not unsafe_pattern(x)).astype(bool), "boolean")
     match = F.expr(
         "CASE kind WHEN 'numeric_limit' THEN numeric_limit_params IS NOT NULL WHEN 'terminology' THEN terminology_params IS NOT NULL WHEN 'required_reference' THEN required_reference_params IS NOT NULL ELSE false END"
     )
@@ -152,8 +152,9 @@ FACTS = "fact_id string, text string, page int, table_value string, prose_value
 def judge(spark: SparkSession, rules: DataFrame, facts: DataFrame) -> DataFrame:
     """(fact_id, rule_id, rule_type, status, detected, confidence): each generic rule on each bundle of facts.
 
-    Only the first match of a pattern is judged. The rules are one bundle of MAX_RULES at most, carried
-    as an array that each fact is exploded by.
+    Only the first match of a pattern is judged. A status for each rule on each fact is the result asked
+    for, so there are as many rows; the rules are one bundle of MAX_RULES at most, carried as an array that
+    each fact is exploded by.
     """
     bundle = rules.select("rule_id", "rule_type", "parameters").dropDuplicates(["rule_id"]).orderBy("rule_id").collect()
     if len(bundle) > MAX_RULES:
@@ -165,15 +166,15 @@ def judge(spark: SparkSession, rules: DataFrame, facts: DataFrame) -> DataFrame:
         F.struct(F.lit(r.rule_id).alias("rule_id"), F.lit(r.rule_type).alias("rule_type"), F.create_map(*[F.lit(x) for kv in sorted((r.parameters or {"": ""}).items()) for x in kv]).alias("p"), F.lit(r.rule_id in unsafe).alias("unsafe"))
         for r in bundle
     ])
-    facts.select("*", F.explode(array).alias("r")).select("fact_id", "text", "table_value", "prose_value", "sections", "fields", "r.*").createOrReplaceTempView("judged_pairs")
-    return spark.sql(JUDGE_SQL)
+    pairs = facts.select("*", F.explode(array).alias("r")).select("fact_id", "text", "table_value", "prose_value", "sections", "fields", "r.*")
+    return spark.sql(JUDGE_SQL, judged_pairs=pairs)
 
 
 JUDGE_SQL = r"""
 WITH m AS (
   SELECT *,
     CASE WHEN rule_type IN ('numeric_range', 'unit_compatibility') THEN p['pattern'] WHEN rule_type = 'citation_edition_match' THEN p['citation_pattern'] WHEN rule_type = 'required_citation' THEN p['trigger_keywords'] WHEN rule_type = 'applicability_condition' THEN p['condition_pattern'] END AS pattern
-  FROM judged_pairs
+  FROM {judged_pairs}
 ),
 h AS (
   SELECT *, CASE WHEN pattern IS NULL OR pattern = '' OR unsafe THEN NULL ELSE regexp_substr(text, concat('(?i)', pattern)) END AS hit,

@@ -61,9 +61,99 @@ t9 AS (SELECT doc_id, field,
     CASE WHEN epoch IS NOT NULL THEN 'EPOCH' WHEN NOT timed THEN 'DAY' WHEN stated IS NOT NULL THEN 'ZONED' WHEN len(hits) = 0 THEN 'NONEXISTENT' WHEN len(hits) = 1 THEN 'UNIQUE' ELSE 'AMBIGUOUS' END AS status FROM t8)
 """
 
+_ITEMS = "(SELECT item_id, doc_id, seq, text, page_index, x0, y0, true AS heading FROM {HEADINGS} h UNION ALL SELECT item_id, doc_id, seq, text, page_index, x0, y0, false FROM {SPANS} s)"
+
+# Roman numerals from left to right: a sign before a larger one counts negative.
+ROMAN = r"""
+WITH p AS (SELECT page_id, trim(page_number) AS t FROM {PAGES} x WHERE page_number IS NOT NULL),
+v AS (SELECT page_id, t, regexp_matches(t, '^m{0,4}(cm|cd|d?c{0,3})(xc|xl|l?x{0,3})(ix|iv|v?i{0,3})$', 'i') AND t <> '' AS strict, list_transform(string_split(lower(t), ''), lambda c: CASE c WHEN 'i' THEN 1 WHEN 'v' THEN 5 WHEN 'x' THEN 10 WHEN 'l' THEN 50 WHEN 'c' THEN 100 WHEN 'd' THEN 500 WHEN 'm' THEN 1000 ELSE 0 END) AS n FROM p)
+SELECT page_id, CASE WHEN regexp_matches(t, '^[0-9]+$') THEN TRY_CAST(t AS INT) WHEN strict THEN CAST(list_sum(list_transform(n, lambda x, i: CASE WHEN x < coalesce(n[i + 1], 0) THEN -x ELSE x END)) AS INT) END AS value FROM v"""
+
+# Numbers of cells: sign, currency and unit are cut off one after the other, then the marks are read.
+_UNIT = r"(?:%|°[CF]|K|MPa|kPa|GPa|psi|ksi|bar|mbar|kN|N|lbf|kgf|mm|cm|m|in|ft|kg|g|mg|t|tonne|ton|lbs?|oz|kJ|J|ft-lbs?|sec|s|min|hrs?|h|pcs|ea|qty|nos|items?)"
+DECIMALS = rf"""
+WITH a AS (SELECT cell_id, trim(translate(text, '０１２３４５６７８９．，－＋％（）' || chr(160) || chr(12288) || chr(8239) || chr(8201) || chr(8199), '0123456789.,-+%()     ')) AS t FROM {{CELLS}} c WHERE text IS NOT NULL),
+b AS (SELECT *, regexp_matches(t, '^\(.*\)$') AS br, CASE WHEN regexp_matches(t, '^\(.*\)$') THEN trim(t[2:-2]) ELSE trim(regexp_replace(t, '^[-+]', '')) END AS u FROM a),
+c AS (SELECT *, br OR t LIKE '-%' AS neg, regexp_extract(u, '^([$€£¥]|(?i:Rp\.?|IDR|USD|EUR))\s*', 1) AS cur, trim(regexp_replace(u, '^([$€£¥]|(?i:Rp\.?|IDR|USD|EUR))\s*', '')) AS w FROM b),
+d AS (SELECT *, regexp_extract(w, '(?i)\s*({_UNIT})$', 1) AS suf, regexp_replace(trim(regexp_replace(w, '(?i)\s*({_UNIT})$', '')), '([0-9])\s+([0-9])', '\1\2', 'g') AS n0 FROM c),
+e AS (SELECT *, regexp_replace(n0, '([0-9])\s+([0-9])', '\1\2', 'g') AS n FROM d),
+f AS (SELECT *, CASE WHEN NOT regexp_matches(n, '^[0-9][0-9,.]*$') THEN NULL
+    WHEN n LIKE '%,%' AND n LIKE '%.%' THEN CASE WHEN strpos(reverse(n), ',') > strpos(reverse(n), '.') THEN replace(n, ',', '') ELSE replace(replace(n, '.', ''), ',', '.') END
+    WHEN n LIKE '%,%' AND (len(string_split(n, ',')) > 2 OR regexp_matches(n, ',[0-9]{{3}}$')) THEN replace(n, ',', '') WHEN n LIKE '%,%' THEN replace(n, ',', '.')
+    WHEN len(string_split(n, '.')) > 2 THEN replace(n, '.', '') ELSE n END AS plain FROM e),
+g AS (SELECT cell_id, CASE WHEN neg THEN -1 ELSE 1 END * TRY_CAST(plain AS DECIMAL(28, 10)) AS value, lower(trim(CASE WHEN trim(cur) <> '' THEN cur ELSE suf END)) AS ul, trim(CASE WHEN trim(cur) <> '' THEN cur ELSE suf END) AS uo FROM f)
+SELECT cell_id, CAST(value AS DOUBLE) AS value, CASE WHEN uo = '' THEN NULL WHEN ul IN ('lbs', 'lb') THEN 'lb' WHEN ul IN ('ft-lbs', 'ft-lb') THEN 'ft-lb' WHEN ul IN ('hrs', 'hr', 'h') THEN 'hr' WHEN ul IN ('sec', 's') THEN 's' WHEN ul IN ('mins', 'min') THEN 'min' WHEN ul IN ('pcs', 'items', 'ea', 'nos', 'qty') THEN ul
+    WHEN ul IN ('usd', '$') THEN '$' WHEN ul IN ('eur', '€') THEN '€' WHEN ul IN ('gbp', '£') THEN '£' ELSE uo END AS unit FROM g WHERE value IS NOT NULL"""
+
+ENTITIES = r"""
+WITH p AS (SELECT page_id, doc_id, page_index, [coalesce(header_text, ''), coalesce(footer_text, ''), coalesce(raw_text, '')] AS parts FROM {PAGES} x),
+n AS (SELECT *, list_filter(list_transform(parts, lambda t: regexp_extract(t, '(?:^|[^\p{L}\p{M}\p{N}_])(page\s+[0-9]+(?:\s+of\s+[0-9]+)?|[0-9]+\s*/\s*[0-9]+|[ivxlcdm]+)(?:$|[^\p{L}\p{M}\p{N}_])', 1, 'i')), lambda t: t <> '') AS l,
+  list_filter(list_transform(parts, lambda t: regexp_extract(t, '(?:^|[^\p{L}\p{M}\p{N}_])([A-Z0-9]{2,}-[A-Z0-9\-_/]{4,}|DOC(?:NO)?[:\s#]+[A-Z0-9\-_/]+)(?:$|[^\p{L}\p{M}\p{N}_])', 1, 'i')), lambda t: t <> '') AS d FROM p)
+SELECT page_id, doc_id, page_index, l[1] AS page_label, d[1] AS doc_number FROM n"""
+
+_SINGLE = ["location", "bounding_box", "total_location", "entry_location", "target_location", "body_location", "bibliography_location", "original_location"]
+_BOXES = " UNION ALL ".join([f"SELECT issue_id, {i} AS o, 0 AS i, '{k}' AS source, json_extract(j, '$.{k}') AS b FROM e" for i, k in enumerate(_SINGLE)] + [f"SELECT issue_id, {10 + i}, i, '{k}', CASE WHEN json_type(j, '$.{k}') = 'OBJECT' THEN json_extract(j, '$.{k}') ELSE json_extract(j, '$.{k}[' || i || ']') END FROM (SELECT *, unnest(range(CAST(CASE WHEN json_type(j, '$.{k}') = 'OBJECT' THEN 1 ELSE coalesce(json_array_length(j, '$.{k}'), 0) END AS BIGINT))) AS i FROM e) u" for i, k in enumerate(("locations", "operand_locations"))])
+EVIDENCE = f"""
+WITH e AS (SELECT issue_id, CASE WHEN json_valid(evidence) THEN evidence::JSON END AS j FROM {{ISSUES}} i),
+b AS ({_BOXES}),
+n AS (SELECT issue_id, o, i, source, TRY_CAST(b->>'page_index' AS INT) AS page_index, {', '.join(f"TRY_CAST(b->>'{c}' AS DOUBLE) AS {c}" for c in ('x0', 'y0', 'x1', 'y1', 'page_width', 'page_height'))} FROM b WHERE json_type(b) = 'OBJECT')
+SELECT issue_id, row_number() OVER (PARTITION BY issue_id ORDER BY o, i) - 1 AS pos, source, page_index, x0, y0, x1, y1, page_width, page_height FROM n WHERE x0 IS NOT NULL AND y0 IS NOT NULL AND x1 IS NOT NULL AND y1 IS NOT NULL"""
+
+BREAKS = rf"""
+WITH b AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page_index ORDER BY y0, x0, seq, item_id) AS up, row_number() OVER (PARTITION BY doc_id, page_index ORDER BY y0 DESC, x0 DESC, seq DESC, item_id DESC) AS down FROM {_ITEMS} i
+  WHERE trim(text) <> '' AND NOT regexp_matches(text, '^\s*(?:page\s+[0-9]+(?:\s+of\s+[0-9]+)?|[0-9]+|[ivxlcdm]+|[A-Z0-9\-_/]{{6,}})\s*$', 'i')),
+l AS (SELECT doc_id, page_index, item_id, trim(text) AS t FROM b WHERE down = 1), f AS (SELECT doc_id, page_index, item_id, trim(text) AS t FROM b WHERE up = 1),
+p AS (SELECT l.doc_id, l.page_index, l.item_id AS last_item, l.t AS a, (SELECT min(f.page_index) FROM f WHERE f.doc_id = l.doc_id AND f.page_index > l.page_index) AS next_page FROM l),
+q AS (SELECT p.*, f.item_id AS first_item, f.t AS b, CASE WHEN regexp_matches(a, '\b(and|or|but|nor|so|yet|with|as|to|for|of|in|on|at|by|from|the|a|an)\s*$', 'i') THEN 'conjunction' WHEN regexp_matches(a, '[,;–—-]\s*$') THEN 'punctuation'
+    WHEN NOT regexp_matches(a, '[.!?:]\s*[''")\]]*$') AND (regexp_matches(f.t, '^\p{{Ll}}') OR regexp_matches(f.t, '^(and|or|but|which|that|with|as|to|for)\b', 'i')) THEN 'continues' END AS reason FROM p JOIN f ON f.doc_id = p.doc_id AND f.page_index = p.next_page)
+SELECT doc_id, page_index, next_page, last_item, first_item, reason FROM q WHERE reason IS NOT NULL"""
+
+# Every entry against every target of its document.
+_TITLE = r"regexp_replace(regexp_replace(lower(trim(regexp_replace(text, '^[0-9.]+\s+', ''))), '[.\s_–—]+$', ''), '\s+', ' ', 'g')"
+_NUMBER = r"^(?:(?:figure|fig\.?|table|section)\s+)?([0-9]+(?:\.[0-9]+)*\b)"
+DRIFT = rf"""
+WITH e AS (SELECT doc_id, item_id, {_TITLE} AS title, page_index + 1 AS label FROM {{HEADINGS}} h WHERE level = 1 AND text IS NOT NULL),
+t AS (SELECT doc_id, seq, {_TITLE} AS title, page_index + 1 AS label FROM {{HEADINGS}} h WHERE level = 2 AND text IS NOT NULL),
+m AS (SELECT e.doc_id, e.item_id, t.seq, t.label, CASE WHEN e.title = t.title THEN 1 WHEN starts_with(e.title, t.title) OR starts_with(t.title, e.title) THEN 2 ELSE 3 END AS tier FROM e JOIN t ON t.doc_id = e.doc_id AND (starts_with(e.title, t.title) OR starts_with(t.title, e.title)
+    OR regexp_extract(e.title, '{_NUMBER}', 1) <> '' AND regexp_extract(e.title, '{_NUMBER}', 1) = regexp_extract(t.title, '{_NUMBER}', 1))),
+k AS (SELECT *, min(tier) OVER (PARTITION BY doc_id, item_id) AS best FROM m),
+g AS (SELECT doc_id, item_id, tier, arg_min(label, seq) AS target, count(DISTINCT label) AS matches FROM k WHERE tier = best GROUP BY ALL),
+r AS (SELECT e.doc_id, e.item_id, e.title, CAST(e.label AS VARCHAR) AS label, CAST(g.target AS VARCHAR) AS target_label, g.tier, coalesce(g.matches, 0) AS matches, coalesce(g.target - e.label, 0) AS delta FROM e LEFT JOIN g ON g.doc_id = e.doc_id AND g.item_id = e.item_id),
+z AS (SELECT *, CASE WHEN tier IS NULL THEN 'TARGET_NOT_FOUND' WHEN matches > 1 THEN 'DUPLICATE_TARGET' WHEN delta <> 0 THEN 'PAGE_DRIFT' ELSE 'OK' END AS kind FROM r)
+SELECT * FROM z"""
+
+# Citations: all families in one list of patterns that every text is tried with.
+_YEAR = r"(?:\s*[-:,(]\s*((?:19|20)[0-9]{2})\)?)?\b"
+_FAMILIES = {
+    "ASME": r"\b(ASME\s+(?:(?:SEC(?:TION)?\.?)\s*)?[IVXLCDM]+(?:\s+(?:DIV(?:ISION)?\.?)\s*[0-9]+)?)", "API": r"\b(API\s+(?:(?:STD|SPEC|RP)\s+)?[0-9]{1,4}[A-Z]?)",
+    "ASTM": r"\b(ASTM\s+[A-Z][0-9]{1,4}(?:/[A-Z][0-9]{1,4})?M?)", "ISO": r"\b((?:EN\s+)?ISO\s+[0-9]{3,6}(?:-[0-9]+)?)", "SITE": r"\b((?:QN|MPC|TRS)\s+[0-9]{1,4})",
+}
+_EACH = " UNION ALL ".join(f"SELECT i.*, '{k}' AS family, unnest(regexp_extract_all(text, '{p}{_YEAR}', 0, 'i')) AS hit, '{p}{_YEAR}' AS pattern FROM i" for k, p in _FAMILIES.items())
+CITED = rf"""
+WITH i AS (SELECT * FROM {_ITEMS} u WHERE text IS NOT NULL),
+s AS (SELECT doc_id, min(struct_pack(a := page_index, b := y0, c := x0, d := seq, e := item_id)) AS first FROM i WHERE regexp_matches(trim(text), '^(?:[0-9]+(?:\.[0-9]+)*\s+)?(?:NORMATIVE\s+)?(?:REFERENCES?|BIBLIOGRAPHY|CODES?\s+AND\s+STANDARDS?)$', 'i') AND (heading OR length(text) <= 80) GROUP BY doc_id),
+h AS ({_EACH}),
+n AS (SELECT h.doc_id, item_id, page_index, y0, x0, family, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(upper(trim(regexp_extract(hit, pattern, 1, 'i'))), '[.,]$', ''), '\s+', ' ', 'g'), '\bSEC(?:TION)?\.?\s*', 'SECTION ', 'g'), '\bDIV(?:ISION)?\.?\s*', 'DIVISION ', 'g'), '^EN ISO ', 'ISO ') AS code,
+    TRY_CAST(nullif(regexp_extract(hit, pattern, 2, 'i'), '') AS INT) AS year, CASE WHEN struct_pack(a := page_index, b := y0, c := x0, d := seq, e := item_id) >= s.first THEN 'REFERENCE' ELSE 'BODY' END AS section FROM h LEFT JOIN s ON s.doc_id = h.doc_id),
+c AS (SELECT *, family = 'API' AND regexp_matches(code, '^API [0-9]+[A-Z]?$') AND code[5:] NOT IN ('510', '570', '579', '650', '653', '1104', '5L', '6A') AS ambiguous FROM n)
+"""
+TRACED = CITED + """SELECT doc_id, kind, code, year, count(*) AS citations FROM (
+  SELECT b.doc_id, b.code, b.year, CASE WHEN b.ambiguous THEN 'AMBIGUOUS_CITATION' WHEN r.years IS NULL THEN 'STANDARD_NOT_IN_BIBLIOGRAPHY' WHEN b.year IS NOT NULL AND len(r.years) > 0 AND NOT list_contains(r.years, b.year) THEN 'EDITION_YEAR_MISMATCH' END AS kind
+  FROM c b LEFT JOIN (SELECT doc_id, code, list(DISTINCT year) FILTER (WHERE year IS NOT NULL) AS years0, coalesce(list(DISTINCT year) FILTER (WHERE year IS NOT NULL), []) AS years FROM c WHERE section = 'REFERENCE' GROUP BY doc_id, code) r ON r.doc_id = b.doc_id AND r.code = b.code
+  WHERE b.section = 'BODY') t WHERE kind IS NOT NULL GROUP BY ALL"""
+
 O: dict[str, str] = {
     "p4_found": P4,
     "p7_found": P7_ALL + "SELECT doc_id, field, iso FROM t9 WHERE iso IS NOT NULL",
+    "fun_roman": ROMAN,
+    "fun_decimals": DECIMALS,
+    "src8_page_entities": ENTITIES,
+    "prj14_evidence_boxes": EVIDENCE,
+    "txt13_page_breaks": BREAKS,
+    "txt4_reference_drift": DRIFT,
+    "txt17_navigation_drift": DRIFT + " WHERE kind <> 'OK'",
+    "txt6_citations": CITED + "SELECT * FROM c",
+    "txt6_traceability": TRACED,
     "p7_status": P7_ALL + "SELECT doc_id, field, iso, status FROM t9 WHERE iso IS NOT NULL",
 }
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..sources.tables import views
+from ..sources.tables import table
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings doc_metadata pdf_pages headings spans cells issues rules benchmarks sites unit_targets".split()
 
@@ -39,11 +39,13 @@ def _strings(sql: str) -> str:
 def plan(sql: str, spark_sql: str | None = None) -> tuple[Callable[[SparkSession, str], DataFrame], str]:
     """(query, comparison SQL) of one text; ``spark_sql`` where the engines' functions have different names."""
     text = filled(spark_sql) if spark_sql else _strings(filled(sql))
-    used = [t for t in TABLES if re.search(rf"\b{t}\b", text)]
+    reads = re.compile(r"\b(FROM|JOIN)\s+(" + "|".join(TABLES) + r")\b")
+    used = {m[1] for m in reads.findall(text)}
+    # tables are handed over by name, so no view of the session is touched
+    marked = reads.sub(r"\1 {\2}", text.replace("{", "{{").replace("}", "}}"))
 
     def run(spark: SparkSession, folder: str) -> DataFrame:
-        views(spark, folder, *used)
-        return spark.sql(text)
+        return spark.sql(marked, **{t: table(spark, folder, t) for t in used})
 
     return run, filled(sql)
 
