@@ -4,14 +4,15 @@ Every step is SQL: a regular expression takes number and unit out of the text, a
 normalises the unit, the unit of the cell outranks the unit around it (header, unit row, title),
 which outranks a source default, and factor and offset give the common unit.
 
-Defined results: null, empty, neutral ('-', 'TBD') and unreadable texts give no value; a unit that
-does not fit the quantity gives no value; a redelivered cell counts once; empty tables give no rows;
+Defined results: null, empty, neutral ('-', 'TBD') and unreadable texts give no value; a unit that is
+missing or does not fit the quantity gives a row with a null value; a redelivered cell counts once; empty tables give no rows;
 extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -96,7 +97,7 @@ target AS (SELECT t.*, u.dimension, u.factor AS to_factor, u.shift AS to_shift F
 plain AS (
   SELECT cell_id, doc_id, table_index, row_index, greatest(coalesce(row_span, 1), 1) AS row_span, col_index,
          trim(translate(text, '\u00a0\u202f\u2009\u2007', '    ')) AS text
-  FROM cells WHERE text IS NOT NULL
+  FROM {cells_view} WHERE text IS NOT NULL
 ),
 split AS (
   SELECT *,
@@ -152,12 +153,14 @@ read AS (
   FROM chosen
 )
 SELECT DISTINCT r.cell_id, r.doc_id, r.table_index, r.row_index, r.col_index, g.tag, a.quantity, r.text, r.number,
-       coalesce(r.own_unit, a.around_unit, CASE WHEN a.dimension = 'ratio' THEN '1' END) AS unit,
+       coalesce(r.own_unit, {around}, CASE WHEN a.dimension = 'ratio' THEN '1' END) AS unit,
+       CASE WHEN r.own_unit IS NOT NULL THEN 'CELL' WHEN a.around_unit IS NOT NULL THEN 'AROUND' WHEN {around} IS NOT NULL THEN 'SOURCE' WHEN a.dimension = 'ratio' THEN 'RATIO' END AS unit_from,
        ((CASE WHEN r.own_unit IS NULL THEN {scale_around} ELSE 1D END * r.number * f.factor + f.shift) - a.to_shift) / a.to_factor AS value,
        a.common_unit
 FROM read r
 JOIN columns a ON a.doc_id = r.doc_id AND a.table_index = r.table_index AND a.col_index = r.col_index
-JOIN alias f ON f.dimension = a.dimension AND f.alias = {alias_of_unit}
+{default_join}
+LEFT JOIN alias f ON f.dimension = a.dimension AND f.alias = {alias_of_unit}
 JOIN tags g ON g.doc_id = r.doc_id AND g.table_index = r.table_index AND g.row_at = r.row_index
 WHERE r.number IS NOT NULL
 """
@@ -173,7 +176,7 @@ stated AS (
       nullif(regexp_extract(message_template, '[{{]limit[}}]\\\\s*([^{{}}]*?)\\\\s*(?:\\\\bof\\\\b|\\\\bor\\\\b|[.,;]|$)', 1), ''),
       nullif(regexp_extract(recommendation_template, '[{{]limit[}}]\\\\s*([^{{}}]*?)\\\\s*(?:\\\\bof\\\\b|\\\\bor\\\\b|[.,;]|$)', 1), ''),
       nullif(replace(regexp_extract(numeric_limit_params.pattern, '[)]\\\\\\\\s[*]([^()\\\\[\\\\]]+)$', 1), '\\\\', ''), '')) AS unit
-  FROM rules WHERE kind = 'numeric_limit'
+  FROM {rules_view} WHERE kind = 'numeric_limit'
 )
 SELECT DISTINCT s.rule_no, s.parameter_name, t.quantity, s.number, coalesce(s.unit, CASE WHEN t.dimension = 'ratio' THEN '1' END) AS unit,
        (s.number * f.factor + f.shift - t.to_shift) / t.to_factor AS value, t.common_unit
@@ -189,7 +192,7 @@ PAIRS_SQL = """
 WITH banded AS (
   SELECT kind, owner, quantity, key, value, int(signum(value)) AS side,
          CASE WHEN value = 0D THEN 0L ELSE bigint(floor(ln(abs(value)) / {width})) END AS band
-  FROM normalised
+  FROM {normalised_view}
 ),
 reach AS (SELECT kind, owner, quantity, key, value, side, band, explode(array(band, band + 1)) AS at FROM banded)
 SELECT a.kind, least(a.key, b.key) AS key_a, greatest(a.key, b.key) AS key_b
@@ -227,13 +230,30 @@ def _targets(unit_targets: DataFrame) -> dict[str, str]:
     return {"target_rows": f"(VALUES {values}) AS t(quantity, q, common_unit)", "quantities": pattern, "alias_of_target": _alias("t.common_unit"), "alias_rows": alias_rows()}
 
 
-def cell_values(spark: SparkSession, cells: DataFrame, unit_targets: DataFrame) -> DataFrame:
+def _planned(spark: SparkSession, sql: str, **tables: DataFrame) -> DataFrame:
+    """The plan of a text in which {name_view} stands for a table; the views it takes are gone afterwards."""
+    names = {name: f"docassay_{uuid.uuid4().hex}" for name in tables}
+    for name, df in tables.items():
+        df.createTempView(names[name])
+        sql = sql.replace(f"@{name}@", names[name])
+    try:
+        return spark.sql(sql)
+    finally:
+        for view in names.values():
+            spark.catalog.dropTempView(view)
+
+
+def cell_values(spark: SparkSession, cells: DataFrame, unit_targets: DataFrame, defaults: DataFrame | None = None) -> DataFrame:
     """Each readable table cell of a known quantity with its value in the common unit.
 
+    unit_from tells whose unit counts: CELL, AROUND (header, unit row, title), SOURCE or RATIO. ``defaults``
+    (doc_id, quantity, unit) gives the units that a source writes no unit for; a number without any unit, or with
+    one that doesn't fit the quantity, has a row with a null value.
+
     The cells are read three times (values, tags, surroundings) and joined on their table; what stands
     around the values of a table is few cells, however many rows the table has.
     """
-    cells.createOrReplaceTempView("cells")
+    around = "a.around_unit" if defaults is None else "coalesce(a.around_unit, d.unit)"
     feet = r"^([0-9]+)\\s*(?:''|ft|feet)\\s*-?\\s*([0-9]+)?\\s*(?:([0-9]+)/([0-9]+))?\\s*(?:\"|in|inch)$"
     sql = VALUES_SQL.format(
         **_targets(unit_targets), feet=feet,
@@ -241,16 +261,17 @@ def cell_values(spark: SparkSession, cells: DataFrame, unit_targets: DataFrame)
         prefix=rf"^([^0-9\\s(+−-].*?)\\s+({MANTISSA})({EXPONENT})?$",
         plain_number=_plain_number(),
         alias_of_row=_alias(_scaled("text", 2)),
-        scale_around=_scale(_scaled("a.around_unit", 1)),
-        alias_of_unit=_alias(f"CASE WHEN r.own_unit IS NOT NULL THEN r.own_unit WHEN a.around_unit IS NOT NULL THEN {_scaled('a.around_unit', 2)} WHEN a.dimension = 'ratio' THEN '1' END"),
+        scale_around=_scale(_scaled(around, 1)), around=around, cells_view="@cells@",
+        default_join="" if defaults is None else "LEFT JOIN @defaults@ d ON d.doc_id = r.doc_id AND d.quantity = a.quantity",
+        alias_of_unit=_alias(f"CASE WHEN r.own_unit IS NOT NULL THEN r.own_unit WHEN {around} IS NOT NULL THEN {_scaled(around, 2)} WHEN a.dimension = 'ratio' THEN '1' END"),
     )
-    return spark.sql(sql)
+    given = {} if defaults is None else {"defaults": defaults.select("doc_id", "quantity", "unit").dropDuplicates(["doc_id", "quantity"])}
+    return _planned(spark, sql, cells=cells, **given)
 
 
 def rule_values(spark: SparkSession, rules: DataFrame, unit_targets: DataFrame) -> DataFrame:
     """Each numeric rule limit with its value in the common unit; the unit is read from the rule's texts."""
-    rules.createOrReplaceTempView("rules")
-    return spark.sql(RULES_SQL.format(**_targets(unit_targets), alias_of_unit=_alias("coalesce(s.unit, CASE WHEN t.dimension = 'ratio' THEN '1' END)")))
+    return _planned(spark, RULES_SQL.format(**_targets(unit_targets), rules_view="@rules@", alias_of_unit=_alias("coalesce(s.unit, CASE WHEN t.dimension = 'ratio' THEN '1' END)")), rules=rules)
 
 
 def equal_quantities(spark: SparkSession, cells: DataFrame, rules: DataFrame, unit_targets: DataFrame) -> DataFrame:
@@ -262,5 +283,5 @@ def equal_quantities(spark: SparkSession, cells: DataFrame, rules: DataFrame, un
     """
     by_cell = cell_values(spark, cells, unit_targets).selectExpr("'cell' AS kind", "tag AS owner", "quantity", "cell_id AS key", "value")
     by_rule = rule_values(spark, rules, unit_targets).selectExpr("'rule' AS kind", "parameter_name AS owner", "quantity", "rule_no AS key", "value")
-    cut(by_cell.unionByName(by_rule).where("value IS NOT NULL AND NOT isnan(value)")).createOrReplaceTempView("normalised")
-    return spark.sql(PAIRS_SQL.format(width=1.1 * TOLERANCE, tolerance=TOLERANCE))
+    values = cut(by_cell.unionByName(by_rule).where("value IS NOT NULL AND NOT isnan(value)"))
+    return _planned(spark, PAIRS_SQL.format(width=1.1 * TOLERANCE, tolerance=TOLERANCE, normalised_view="@normalised@"), normalised=values)

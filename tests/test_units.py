@@ -63,7 +63,7 @@ def test_temperature_offset(spark):
 
 def test_neutral_null_and_foreign_units(spark):
     got = values(spark, tables(spark, {"Design pressure (bar)": ["-", "TBD", "", None, "see note", "5 mm", "3"], "Remarks": ["2 off"] * 7}))
-    assert got == {("P-6", "Design pressure"): pytest.approx(300)}
+    assert got == {("P-5", "Design pressure"): None, ("P-6", "Design pressure"): pytest.approx(300)}
 
 
 def test_pairs_against_brute_force(spark):
@@ -102,3 +102,15 @@ def test_rule_units_from_text(spark):
 def test_empty_tables(spark):
     targets = spark.createDataFrame([], "quantity string, common_unit string")
     assert units.equal_quantities(spark, spark.createDataFrame([], CELLS), spark.createDataFrame([], RULES), targets).count() == 0
+
+
+def test_source_defaults(spark):
+    """A unit of the source counts where neither the cell nor what stands around it names one."""
+    grid = [["Tag", "Design pressure"], ["V-1", "12"], ["V-2", "1.2 MPa"], ["V-3", "soft"], ["V-4", "5 furlong"]]
+    rows = [(d * 100 + r * 10 + c, d, 0, t, r, c, 1, 1) for d in (1, 2) for r, line in enumerate(grid) for c, t in enumerate(line)]
+    cells = spark.createDataFrame(rows, "cell_id long, doc_id long, table_index int, text string, row_index int, col_index int, row_span int, col_span int")
+    targets = spark.createDataFrame([("Design pressure", "bar")], "quantity string, common_unit string")
+    defaults = spark.createDataFrame([(1, "Design pressure", "bar"), (1, "Design pressure", "bar")], "doc_id long, quantity string, unit string")
+    got = {(r.doc_id, r.tag): (r.value and round(r.value, 6), r.unit_from) for r in units.cell_values(spark, cells, targets, defaults).collect()}
+    assert got == {(1, "V-1"): (12.0, "SOURCE"), (2, "V-1"): (None, None), (1, "V-2"): (12.0, "CELL"), (2, "V-2"): (12.0, "CELL"), (1, "V-4"): (None, "CELL"), (2, "V-4"): (None, "CELL")}
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("docassay_")]
