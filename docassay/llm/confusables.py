@@ -10,6 +10,7 @@ a redelivered item counts once; empty tables give no rows; extra columns are ign
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -19,6 +20,8 @@ from pyspark.sql import functions as F
 # Letters of other scripts that have the shape of a Latin letter, with that letter.
 CYRILLIC = ("АВЕЅІЈКМНОРСТУХҮԌԚԜаеѕіјорсухһԁԛԝӏ", "ABESIJKMHOPCTYXYGQWaesijopcyxhdqwl")
 GREEK = ("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧϹονϲϳ", "ABEZHIKMNOPTYXCovcj")
+ARMENIAN = ("ՕՏՍհոսօց", "OSUhnuog")
+CHEROKEE = ("ᎪᎳᎬᎻᏚᏞᏢᎠᎢᏃᏦᎷᏤᏟ", "AWEHSLPDTZKMVC")
 # Composed letters of other scripts with the shape of a composed Latin letter.
 COMPOSED = ("ЁёЇїЀѐӒӓӐӑӦӧΆΈΊΌΎό", "ËëÏïÈèÄäĂăÖöÁÉÍÓÝó")
 # Signs with the shape of another sign (micro sign, hyphens, colon and slash forms).
@@ -27,6 +30,8 @@ SIGNS = ("µ‐‑﹣∶∕", "μ---:/")
 SPACES = "               　"
 # Ligatures and digraphs with their letters, and the Thai vowel am in two signs.
 LIGATURES = {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "ﬅ": "st", "ﬆ": "st", "Ĳ": "IJ", "ĳ": "ij", "Ǆ": "DŽ", "ǆ": "dž", "Ǉ": "LJ", "ǈ": "Lj", "ǉ": "lj", "Ǌ": "NJ", "ǋ": "Nj", "ǌ": "nj", "ํา": "ำ"}
+# Roman numerals that are one character, with their letters.
+LIGATURES.update({chr(c): unicodedata.normalize("NFKC", chr(c)) for c in [*range(0x2160, 0x2180)] if unicodedata.normalize("NFKC", chr(c)) != chr(c)})
 #: Characters that leave no mark: soft hyphen, joiners, zero-width spaces, direction marks, selectors.
 INVISIBLE = "[­͏؜ᅟᅠ឴឵᠋-᠎​-‏‪-‮⁠-⁤⁦-⁯︀-️﻿]"
 #: DuckDB's memory in one Python worker.
@@ -40,8 +45,11 @@ def _quoted(text: str) -> str:
 def _tables() -> tuple[str, str]:
     """The characters that map one to one, and what they map to."""
     pairs: dict[str, str] = {chr(c + 0xFEE0): chr(c) for c in range(0x21, 0x7F)}  # full-width forms
+    # half-width syllables and marks, and letters and digits of formulas: their compatibility forms are one character each
+    pairs.update({chr(c): unicodedata.normalize("NFKC", chr(c)) for c in range(0xFF61, 0xFFA0)})
+    pairs.update({chr(c): x for c in range(0x1D400, 0x1D800) if len(x := unicodedata.normalize("NFKC", chr(c))) == 1 and x != chr(c)})
     pairs.update({"￠": "¢", "￡": "£", "￢": "¬", "￥": "¥", "￦": "₩"})
-    for source, target in (CYRILLIC, GREEK, COMPOSED, SIGNS):
+    for source, target in (CYRILLIC, GREEK, ARMENIAN, CHEROKEE, COMPOSED, SIGNS):
         pairs.update(zip(source, target, strict=True))
     pairs.update(dict.fromkeys(SPACES, " "))
     return "".join(pairs), "".join(pairs.values())
@@ -52,7 +60,7 @@ def form_sql(column: str = "text") -> str:
     source, target = _tables()
     # the second translation catches look-alikes that the first normalisation composed
     expression = f"regexp_replace(nfc_normalize({column}), {_quoted(INVISIBLE)}, '', 'g')"
-    for ligature, letters in LIGATURES.items():
+    for ligature, letters in LIGATURES.items():  # most texts hold none; each replacement is a search only
         expression = f"replace({expression}, {_quoted(ligature)}, {_quoted(letters)})"
     return f"nfc_normalize(translate(nfc_normalize(translate({expression}, {_quoted(source)}, {_quoted(target)})), {_quoted(source)}, {_quoted(target)}))"
 

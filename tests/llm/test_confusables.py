@@ -5,7 +5,7 @@ from docassay.llm import confusables
 ITEM = "item_id long, doc_id long, text string, form string, seq int"
 SAME = [
     ("Valve", "Ｖａｌｖｅ"), ("café", "café"), ("no break", "no break"), ("thin space", "thin space"), ("hidden", "hid​den"), ("soft", "so­ft"), ("caps", "саps"), ("TOP", "ΤΟΡ"),
-    ("field", "ﬁeld"), ("office", "oﬃce"), ("off-line", "off‐line"), ("25 K", "25 K"), ("5 Ω", "5 Ω"), ("3 Å", "3 Å"), ("µm", "μm"), ("été", "е́té"), ("ё", "ë"), ("ทำ", "ทํา"),
+    ("field", "ﬁeld"), ("office", "oﬃce"), ("off-line", "off‐line"), ("25 K", "25 K"), ("5 Ω", "5 Ω"), ("3 Å", "3 Å"), ("µm", "μm"), ("été", "е́té"), ("ё", "ë"), ("ทำ", "ทํา"), ("ポンプ", "ﾎﾟﾝﾌﾟ"), ("IV", "Ⅳ"), ("xii", "ⅻ"), ("SOL", "ՏՕᏞ"), ("WELD", "ᎳᎬᏞᎠ"), ("Q1", "𝐐𝟏"), ("a", "𝚊"),
 ]
 APART = [("m2", "m²"), ("Tag", "TAG"), ("resume", "résumé"), ("done", "done."), ("a-b", "a–b"), ("A", "Å"), ("и", "й"), ("1", "l")]
 
