@@ -30,8 +30,9 @@ SIGNS = ("µ‐‑﹣∶∕", "μ---:/")
 SPACES = "               　"
 # Ligatures and digraphs with their letters, and the Thai vowel am in two signs.
 LIGATURES = {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "ﬅ": "st", "ﬆ": "st", "Ĳ": "IJ", "ĳ": "ij", "Ǆ": "DŽ", "ǆ": "dž", "Ǉ": "LJ", "ǈ": "Lj", "ǉ": "lj", "Ǌ": "NJ", "ǋ": "Nj", "ǌ": "nj", "ํา": "ำ"}
-# Roman numerals that are one character, with their letters.
-LIGATURES.update({chr(c): unicodedata.normalize("NFKC", chr(c)) for c in [*range(0x2160, 0x2180)] if unicodedata.normalize("NFKC", chr(c)) != chr(c)})
+# Roman numerals that are one character, with their letters, and where all rare forms stand.
+ROMAN = {chr(c): x for c in range(0x2160, 0x2180) if (x := unicodedata.normalize("NFKC", chr(c))) != chr(c)}
+RARE = "[\u2160-\u217f\uff61-\uff9f\U0001d400-\U0001d7ff\u0531-\u0586\u13a0-\u13f5]"
 #: Characters that leave no mark: soft hyphen, joiners, zero-width spaces, direction marks, selectors.
 INVISIBLE = "[­͏؜ᅟᅠ឴឵᠋-᠎​-‏‪-‮⁠-⁤⁦-⁯︀-️﻿]"
 #: DuckDB's memory in one Python worker.
@@ -42,29 +43,43 @@ def _quoted(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
-def _tables() -> tuple[str, str]:
-    """The characters that map one to one, and what they map to."""
+def _common() -> dict[str, str]:
+    """Characters that map to one other: full-width forms, Cyrillic, Greek, signs and spaces."""
     pairs: dict[str, str] = {chr(c + 0xFEE0): chr(c) for c in range(0x21, 0x7F)}  # full-width forms
-    # half-width syllables and marks, and letters and digits of formulas: their compatibility forms are one character each
-    pairs.update({chr(c): unicodedata.normalize("NFKC", chr(c)) for c in range(0xFF61, 0xFFA0)})
-    pairs.update({chr(c): x for c in range(0x1D400, 0x1D800) if len(x := unicodedata.normalize("NFKC", chr(c))) == 1 and x != chr(c)})
     pairs.update({"￠": "¢", "￡": "£", "￢": "¬", "￥": "¥", "￦": "₩"})
-    for source, target in (CYRILLIC, GREEK, ARMENIAN, CHEROKEE, COMPOSED, SIGNS):
+    for source, target in (CYRILLIC, GREEK, COMPOSED, SIGNS):
         pairs.update(zip(source, target, strict=True))
     pairs.update(dict.fromkeys(SPACES, " "))
-    return "".join(pairs), "".join(pairs.values())
+    return pairs
 
 
-def form_sql(column: str = "text") -> str:
-    """The DuckDB expression of the consistent form; every step is a DuckDB function."""
-    source, target = _tables()
+def _rare() -> dict[str, str]:
+    """Half-width syllables and marks, letters and digits of formulas (their compatibility form is one character), Armenian, Cherokee."""
+    pairs = {chr(c): unicodedata.normalize("NFKC", chr(c)) for c in range(0xFF61, 0xFFA0)}
+    pairs.update({chr(c): x for c in range(0x1D400, 0x1D800) if len(x := unicodedata.normalize("NFKC", chr(c))) == 1 and x != chr(c)})
+    for source, target in (ARMENIAN, CHEROKEE):
+        pairs.update(zip(source, target, strict=True))
+    return pairs
+
+
+def _form(column: str, pairs: dict[str, str], ligatures: dict[str, str]) -> str:
+    source, target = "".join(pairs), "".join(pairs.values())
     # the second translation catches look-alikes that the first normalisation composed
     expression = f"regexp_replace(nfc_normalize({column}), {_quoted(INVISIBLE)}, '', 'g')"
-    for ligature, letters in LIGATURES.items():  # most texts hold none; each replacement is a search only
+    for ligature, letters in ligatures.items():
         expression = f"replace({expression}, {_quoted(ligature)}, {_quoted(letters)})"
     return f"nfc_normalize(translate(nfc_normalize(translate({expression}, {_quoted(source)}, {_quoted(target)})), {_quoted(source)}, {_quoted(target)}))"
 
 
+def form_sql(column: str = "text") -> str:
+    """The DuckDB expression of the consistent form; every step is a DuckDB function.
+
+    Texts with a rare form go through the whole table; for all others, which it doesn't change, a short one is enough.
+    """
+    whole = _form(column, {**_common(), **_rare()}, {**LIGATURES, **ROMAN})
+    return f"CASE WHEN regexp_matches({column}, {_quoted(RARE)}) THEN {whole} ELSE {_form(column, _common(), LIGATURES)} END"
+
+
 def consistent(df: DataFrame, column: str, out: str = "form") -> DataFrame:
     """All columns, and the consistent form of a text column."""
     from pyspark.sql.types import StringType, StructField, StructType

@@ -41,8 +41,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     # the form character by character: each is looked up in one table, twice, as in between accents are composed
     items = "(SELECT item_id, any_value(doc_id) AS doc_id, any_value(text) AS text FROM (SELECT item_id, doc_id, text FROM headings UNION ALL SELECT item_id, doc_id, text FROM spans) GROUP BY item_id)"
-    source, target = confusables._tables()
-    mapped = {**dict(zip(source, target, strict=True)), **{k: v for k, v in confusables.LIGATURES.items() if len(k) == 1}}
+    mapped = {**confusables._common(), **confusables._rare(), **confusables.ROMAN, **{k: v for k, v in confusables.LIGATURES.items() if len(k) == 1}}
     rows = ", ".join(f"({ord(k)}, {confusables._quoted(v)})" for k, v in mapped.items())
     gone = " OR ".join(f"ascii(c) BETWEEN {a} AND {b}" for a, b in ((0xAD, 0xAD), (0x34F, 0x34F), (0x61C, 0x61C), (0x115F, 0x1160), (0x17B4, 0x17B5), (0x180B, 0x180E), (0x200B, 0x200F), (0x202A, 0x202E), (0x2060, 0x2064), (0x2066, 0x206F), (0xFE00, 0xFE0F), (0xFEFF, 0xFEFF)))
     one = "SELECT item_id, doc_id, text, nfc_normalize(coalesce(string_agg(coalesce(t, c), '' ORDER BY i), '')) AS form FROM (SELECT item_id, doc_id, text, unnest(string_split({form}, '')) AS c, unnest(range(len(string_split({form}, '')))) AS i FROM {of}) u LEFT JOIN m ON m.k = ascii(c) WHERE c = '' OR NOT ({gone}) GROUP BY item_id, doc_id, text"
