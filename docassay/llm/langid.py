@@ -184,6 +184,7 @@ def fit(pages: DataFrame, bound: int = TRAIN_PAGES) -> np.ndarray:
     n = labelled.count()
     if n > bound:
         labelled = labelled.where(F.pmod(F.xxhash64("page_id"), F.lit(1 << 20)) < int((1 << 20) * bound / n))
+    labelled = labelled.dropDuplicates(["page_id"])  # about the bound's pages at most; a redelivered one counts once
     model = _log_probabilities(_counts(labelled, None))
     return _log_probabilities(_counts(labelled, model))
 

@@ -60,3 +60,11 @@ def test_long_texts_are_scored_whole():
 def test_no_pages(spark):
     empty = training(spark).limit(0)
     assert langid.mislabelled(spark, empty).count() == 0
+
+
+def test_redelivered_pages_count_once_in_the_fit(spark):
+    import numpy as np
+
+    rows = [(1, "en", "the pump was opened and the valve was closed again"), (2, "de", "die Pumpe wurde geöffnet und das Ventil wieder geschlossen")]
+    once, again = spark.createDataFrame(rows, "page_id long, lang string, raw_text string"), spark.createDataFrame(rows + rows[:1] * 9, "page_id long, lang string, raw_text string")
+    assert np.allclose(langid.fit(once), langid.fit(again))
