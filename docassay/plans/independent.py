@@ -24,6 +24,34 @@ n(issue_id, path, j) AS (
   ) e)
 SELECT DISTINCT issue_id, path AS box_path FROM n WHERE json_type(j) = 'OBJECT' AND list_has_all(json_keys(j), ['x0', 'y0', 'x1', 'y1'])"""
 
+# Tables of nested records: nodes by walking down as above, with labels, then the nodes that have a row and the members they have.
+_HOLDS = "json_type(n.j) = 'VARCHAR' AND CASE WHEN json_valid(json_extract_string(n.j, '$')) THEN json_type(json_extract_string(n.j, '$')::JSON) IN ('OBJECT', 'ARRAY') OR json_type(json_extract_string(n.j, '$')::JSON) = 'VARCHAR' AND regexp_matches(json_extract_string(json_extract_string(n.j, '$')::JSON, '$'), '^\\s*[{[]') ELSE false END"
+TABLES_SQL = f"""
+WITH RECURSIVE once AS (SELECT issue_id, any_value(evidence) AS evidence FROM issues GROUP BY issue_id),
+n(issue_id, dewey, parent_dewey, ordinal, depth, path, schema, name, pk, owner_dewey, owner_table, oname, j) AS (
+  SELECT issue_id, '', CAST(NULL AS VARCHAR), CAST(NULL AS INT), 0, '', '', CAST(NULL AS VARCHAR), 'ROOT', CAST(NULL AS VARCHAR), CAST(NULL AS VARCHAR), CAST(NULL AS VARCHAR), evidence::JSON FROM once WHERE json_valid(evidence)
+  UNION ALL
+  SELECT n.issue_id,
+    CASE e.k WHEN 'INSIDE' THEN n.dewey ELSE CASE WHEN n.dewey = '' THEN '' ELSE n.dewey || '.' END || e.i END,
+    CASE e.k WHEN 'INSIDE' THEN n.parent_dewey ELSE n.dewey END, CASE e.k WHEN 'INSIDE' THEN n.ordinal ELSE e.i END, CASE e.k WHEN 'INSIDE' THEN n.depth ELSE n.depth + 1 END,
+    CASE e.k WHEN 'INSIDE' THEN n.path WHEN 'ARRAY' THEN n.path || '[' || e.i || ']' ELSE CASE WHEN n.path = '' THEN '' ELSE n.path || '.' END || e.name END,
+    CASE e.k WHEN 'INSIDE' THEN n.schema WHEN 'ARRAY' THEN n.schema || '[]' ELSE CASE WHEN n.schema = '' THEN '' ELSE n.schema || '.' END || e.name END,
+    CASE e.k WHEN 'INSIDE' THEN n.name WHEN 'OBJECT' THEN e.name END, CASE e.k WHEN 'INSIDE' THEN n.pk ELSE e.k END,
+    CASE WHEN e.k = 'INSIDE' OR e.k = 'ARRAY' AND n.pk = 'OBJECT' THEN n.owner_dewey ELSE n.dewey END,
+    CASE WHEN e.k = 'INSIDE' OR e.k = 'ARRAY' AND n.pk = 'OBJECT' THEN n.owner_table WHEN n.schema = '' THEN 'root' ELSE n.schema END,
+    CASE WHEN e.k = 'INSIDE' THEN n.oname WHEN e.k = 'ARRAY' AND n.pk = 'OBJECT' THEN n.name WHEN e.k = 'OBJECT' THEN e.name END, e.v
+  FROM n, LATERAL (
+    SELECT 'OBJECT' AS k, json_keys(n.j)[i + 1] AS name, CAST(i AS INT) AS i, json_extract(n.j, '$."' || json_keys(n.j)[i + 1] || '"') AS v FROM (SELECT unnest(range(CASE WHEN json_type(n.j) = 'OBJECT' THEN len(json_keys(n.j)) ELSE 0 END)) AS i) a
+    UNION ALL SELECT 'ARRAY', NULL, CAST(i AS INT), json_extract(n.j, '$[' || i || ']') FROM (SELECT unnest(range(CAST(coalesce(json_array_length(n.j), 0) AS BIGINT))) AS i) b
+    UNION ALL SELECT 'INSIDE', NULL, 0, json_extract_string(n.j, '$')::JSON FROM (SELECT 1) c WHERE {_HOLDS}
+  ) e),
+k AS (SELECT *, CASE json_type(j) WHEN 'OBJECT' THEN 'object' WHEN 'ARRAY' THEN 'array' WHEN 'NULL' THEN 'null' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'VARCHAR' THEN 'string' ELSE 'number' END AS kind,
+    CASE WHEN json_type(j) NOT IN ('OBJECT', 'ARRAY', 'NULL') THEN json_extract_string(j, '$') END AS value FROM n WHERE NOT ({_HOLDS})),
+m AS (SELECT issue_id, parent_dewey AS dewey, '{{' || string_agg(to_json(name) || ':' || coalesce(CAST(to_json(value) AS VARCHAR), 'null'), ',' ORDER BY name) || '}}' AS members, '{{' || string_agg(to_json(name) || ':' || to_json(kind), ',' ORDER BY name) || '}}' AS member_kinds
+  FROM k WHERE pk = 'OBJECT' AND kind <> 'object' AND (kind <> 'array' OR json_array_length(j) = 0) GROUP BY ALL)
+SELECT CASE WHEN k.schema = '' THEN 'root' ELSE k.schema END AS table_name, k.issue_id, k.dewey, k.parent_dewey, k.ordinal, k.depth, k.path, m.members, k.owner_dewey, k.owner_table, k.oname AS name, k.kind, k.value, m.member_kinds
+FROM k LEFT JOIN m ON m.issue_id = k.issue_id AND m.dewey = k.dewey AND k.kind = 'object' WHERE k.kind = 'object' OR k.pk IN ('ARRAY', 'ROOT')"""
+
 # Dates: the time is cut off first, then the day is read; wall-clock times are tried with the offsets of the days around
 # them, and an instant counts if its wall clock shows the time.
 P7_ALL = rf"""
@@ -145,6 +173,7 @@ TRACED = CITED + """SELECT doc_id, kind, code, year, count(*) AS citations FROM
 O: dict[str, str] = {
     "p4_found": P4,
     "p7_found": P7_ALL + "SELECT doc_id, field, iso FROM t9 WHERE iso IS NOT NULL",
+    "p4_tables": TABLES_SQL,
     "fun_roman": ROMAN,
     "fun_decimals": DECIMALS,
     "src8_page_entities": ENTITIES,
