@@ -39,6 +39,10 @@ def normalized_code(code: Column) -> Column:
     return F.regexp_replace(t, "^EN ISO ", "ISO ")
 
 
+def _cited_as(family: str):
+    return lambda code, year: F.struct(F.lit(family).alias("family"), code.alias("code"), year.alias("year"))
+
+
 def citations(items: DataFrame) -> DataFrame:
     """(doc_id, item_id, page_index, y0, x0, family, code, year, section, ambiguous): all citations; those behind the first bibliography heading are REFERENCE."""
     starts = F.trim(F.col("text")).rlike(BIBLIOGRAPHY) & (F.col("is_heading") | (F.length("text") <= 80))
@@ -50,12 +54,12 @@ def citations(items: DataFrame) -> DataFrame:
     readable = items.where(F.col("text").isNotNull())
     first = readable.where(starts).groupBy("doc_id").agg(F.min(place).alias("first"))
     marked = readable.where(any_citation).join(first, "doc_id", "left").withColumn("section", F.when(place >= F.col("first"), "REFERENCE").otherwise("BODY"))
-    found = None
-    for family, pattern in STANDARDS.items():
-        p = F.lit("(?i)" + pattern)
-        pairs = F.arrays_zip(F.regexp_extract_all("text", p, 1).alias("code"), F.regexp_extract_all("text", p, 2).alias("year"))
-        one = marked.withColumn("c", F.explode(pairs)).select("doc_id", "item_id", "page_index", "y0", "x0", F.lit(family).alias("family"), normalized_code(F.col("c.code")).alias("code"), F.col("c.year").try_cast("int").alias("year"), "section")
-        found = one if found is None else found.unionByName(one)
+    # all families in one pass over the texts
+    cited = F.concat(*[
+        F.zip_with(F.regexp_extract_all("text", F.lit("(?i)" + p), 1), F.regexp_extract_all("text", F.lit("(?i)" + p), 2), _cited_as(family))
+        for family, p in STANDARDS.items()
+    ])
+    found = marked.withColumn("c", F.explode(cited)).select("doc_id", "item_id", "page_index", "y0", "x0", "c.family", normalized_code(F.col("c.code")).alias("code"), F.col("c.year").try_cast("int").alias("year"), "section")
     number = F.regexp_extract("code", r"^API ([0-9]+[A-Z]?)$", 1)
     return found.withColumn("ambiguous", (F.col("family") == "API") & (number != "") & ~number.isin(BARE_API))
 

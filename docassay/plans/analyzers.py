@@ -38,11 +38,19 @@ def _drift(s: SparkSession, d: str) -> DataFrame:
     return references.drift(entries, targets)
 
 
-def _signals(s: SparkSession, d: str) -> DataFrame:
+def _faults(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Findings of grammar, wording and spelling."""
+    spans = table(s, d, "spans")
+    return language.grammar(spans), language.ambiguity(spans), language.spelling(spans)
+
+
+def _signals(s: SparkSession, d: str, faults: tuple[DataFrame, DataFrame, DataFrame] | None = None, items: DataFrame | None = None) -> DataFrame:
+    """The signals of documents; faults and items where they are at hand already."""
     spans = table(s, d, "spans")
     repeats = language.matches(spans.dropDuplicates(["item_id"]).select("doc_id", "item_id", "text"), "text", [r for r in language.GRAMMAR if "REPEATED" in r[0]])
-    items, cells = _items(s, d), table(s, d, "cells")
-    faults = language.grammar(spans).select("doc_id", "page_index").unionByName(language.ambiguity(spans).select("doc_id", "page_index")).unionByName(language.spelling(spans).select("doc_id", "page_index"))
+    items, cells = items or _items(s, d), table(s, d, "cells")
+    said, vague, words = (f.select("doc_id", "page_index") for f in faults or _faults(s, d))
+    faults = said.unionByName(vague).unionByName(words)
     metadata = table(s, d, "doc_metadata").select("doc_id", F.concat_ws(" ", "title", "original_filename").alias("named")).unionByName(table(s, d, "documents").select("doc_id", F.col("doc_type").alias("named")))
     return scorecard.signals(items, cells, references.citations(items), repeats, layout.uncontrolled(table(s, d, "pdf_pages")), layout.voids(layout.metrics(_placed(s, d))), _drift(s, d).where("kind = 'PAGE_DRIFT'"), consistency.contradictions(cells, items), faults, metadata)
 
@@ -59,27 +67,28 @@ def _contents_drift(s: SparkSession, d: str) -> DataFrame:
 
 
 def _merged(s: SparkSession, d: str) -> DataFrame:
-    # each stream reads the items; they are put together and deduplicated once and written
+    # each stream reads the items; they are put together and deduplicated once and written, as are findings that the scorecard counts
     items, pages, spans = cut(_items(s, d)), table(s, d, "pdf_pages"), table(s, d, "spans")
+    said, unclear, misspelt = (cut(f) for f in _faults(s, d))
     cells, none = table(s, d, "cells"), F.lit(None).cast("int")
     breaks = findings.as_issues(layout.page_breaks(items), 1, "LAYOUT", F.lit("CROSS_PAGE_BREAK"), F.col("page_index"), F.col("reason"))
     open_pages = findings.as_issues(layout.uncontrolled(pages), 2, "LAYOUT", F.lit("UNCONTROLLED_PAGE"), F.col("page_index"), F.col("missing"))
     trace = references.traceability(items)
     cited = findings.as_issues(trace, 3, "STANDARD_TRACEABILITY", F.col("kind"), none, F.col("code"))
-    grammar = findings.as_issues(language.grammar(spans), 4, "GRAMMAR", F.upper("type"), F.col("page_index"), F.col("original"))
+    grammar = findings.as_issues(said, 4, "GRAMMAR", F.upper("type"), F.col("page_index"), F.col("original"))
     sources = references.revision_sources(table(s, d, "doc_metadata"), spans, table(s, d, "headings"), cells)
     revisions = findings.as_issues(references.disagreeing(sources), 5, "TRACEABILITY", F.lit("REVISION_MISMATCH"), F.lit(0), F.concat_ws(" ", "source", "value"))
     status = F.when(F.col("status") == "MISMATCH", "TABLE_MATH_MISMATCH").otherwise(F.col("status"))
     sums = table_math.column_totals(cells).select("doc_id", "table_index", "r", "status").unionByName(table_math.row_totals(cells).select("doc_id", "table_index", "r", "status"))
     math = findings.as_issues(sums.where("status NOT IN ('CORRECT', 'ROUNDING_BOUNDARY')"), 6, "TABLE_MATH", status, none, F.concat_ws(" ", F.lit("table"), "table_index", F.lit("row"), "r"))
     drifts = findings.as_issues(_contents_drift(s, d).where("kind <> 'OK'"), 7, "TRACEABILITY", F.col("kind"), none, F.col("title"))
-    words = findings.as_issues(language.spelling(spans), 8, "GRAMMAR", F.lit("SPELLING"), F.col("page_index"), F.lower("word"))
+    words = findings.as_issues(misspelt, 8, "GRAMMAR", F.lit("SPELLING"), F.col("page_index"), F.lower("word"))
     copies = findings.as_issues(duplicates.near_duplicates(spans), 9, "GRAMMAR", F.lit("DUPLICATE_BLOCK"), F.col("page_index"), F.concat_ws(" ", F.lit("block"), "item_id", F.lit("repeats"), "first_item"))
-    vague = findings.as_issues(language.ambiguity(spans), 10, "GRAMMAR", F.upper("type"), F.col("page_index"), F.col("original"))
+    vague = findings.as_issues(unclear, 10, "GRAMMAR", F.upper("type"), F.col("page_index"), F.col("original"))
     broken = rules.all_findings(_texts(s, d), _rules(s, d))
     ruled = findings.as_issues(broken.withColumn("doc_id", F.col("text_key")), 11, "REFERENCE_PACK", F.col("rule_id"), none, F.concat_ws(" ", "rule_id", "detail", "status"))
     bands = findings.as_issues(consistency.contradictions(cells, items), 12, "TRACEABILITY", F.col("kind"), F.col("page_index"), F.col("quote"))
-    rework = findings.as_issues(scorecard.scores(_signals(s, d)).where("score <= 2"), 13, "SCORECARD", F.lit("REWORK_ITEM"), none, F.concat_ws(" ", "grp", "item", "score"))
+    rework = findings.as_issues(scorecard.scores(_signals(s, d, (said, unclear, misspelt), items)).where("score <= 2"), 13, "SCORECARD", F.lit("REWORK_ITEM"), none, F.concat_ws(" ", "grp", "item", "score"))
     return findings.merged(breaks, open_pages, cited, grammar, revisions, math, drifts, words, copies, vague, ruled, bands, rework)
 
 
