@@ -77,6 +77,18 @@ DATE = r"(?i)\b(?:by|before|due(?:\s+date)?|no\s+later\s+than|target(?:\s+date)?
 STEPS = r"(?i)\b(?:step\s*[0-9]+|[0-9]+[.)]|first|then|finally)\b"
 
 
+#: Characters of a section's text in a note.
+EXCERPT = 180
+# The section that an item rests on.
+EVIDENCE = {
+    "summary": "message_clear value_stated", "methodology": "logical_approach experimental_steps_outlined adequate_detail_to_repeat",
+    "introduction": "adequate_research purpose_of_report_clear purpose_of_work_clear objective_of_work_clear objective_of_report_clear format_stated",
+    "discussion": "adequate_comparison discussion_relates_to_others discussion_length_appropriate",
+    "conclusions": "conclusions_supported objective_met conclusions_follow_from_results conclusions_clear sentence_paragraph_length",
+    "references": "work_referenced test_standards_cited references_properly_attributed", "results": "results_clearly_stated results_free_of_discussion graphs_and_tables_proper sufficient_results",
+}
+
+
 def sections(items: DataFrame) -> DataFrame:
     """(doc_id, item_id, section_item, section, text): each span with the section of the last heading at or above it."""
     name = F.coalesce(*[F.when(F.col("head.text").rlike(p), k) for k, p in SECTIONS.items()], F.lit("other"))
@@ -158,6 +170,38 @@ def scores(signal_rows: DataFrame) -> DataFrame:
     return signal_rows.select("doc_id", F.explode(F.expr(f"array({parts})")).alias("s")).select("doc_id", "s.*")
 
 
+def item(signal_rows: DataFrame, name: str) -> DataFrame:
+    """(doc_id, grp, item, score) of one item by its name; an unknown name is an error."""
+    if name not in {k for _, k, _ in ITEMS}:
+        raise ValueError(f"unknown item: {name}")
+    return scores(signal_rows).where(F.col("item") == name)
+
+
+def evidence(items: DataFrame) -> DataFrame:
+    """(doc_id, section, heading, page, excerpt): of each kind of section its first heading with text, with the beginning of that text."""
+    named = F.coalesce(*[F.when(F.col("head.text").rlike(p), k) for k, p in SECTIONS.items()])
+    placed = with_heading(items.where("trim(text) <> ''")).where("NOT is_heading AND head IS NOT NULL").withColumn("section", named).where("section IS NOT NULL")
+    first = F.min_by(F.struct(F.col("head.text").alias("heading"), (F.col("page_index") + 1).alias("page"), F.substring(F.trim("text"), 1, EXCERPT).alias("excerpt")), F.struct("page_index", "y0", "seq", "item_id"))
+    return placed.groupBy("doc_id", "section").agg(first.alias("f")).select("doc_id", "section", "f.*")
+
+
+def notes(score_rows: DataFrame, sections_found: DataFrame) -> DataFrame:
+    """(doc_id, item, score, section, note): each scored item with the place in the document that it rests on.
+
+    An item that doesn't apply has no note. Items without a section of their own rest on the summary.
+    """
+    own = F.create_map(*[F.lit(x) for k, names in EVIDENCE.items() for name in names.split() for x in (name, k)])
+    asked = score_rows.where("score IS NOT NULL").withColumn("section", F.coalesce(own[F.col("item")], F.lit("summary")))
+    met = asked.join(sections_found, ["doc_id", "section"], "left")
+    begin = F.concat("item", F.lit(": "), F.col("score"), F.lit("/5. "))
+    note = (
+        F.when(F.col("heading").isNotNull(), F.concat(begin, F.lit("Source section “"), "heading", F.lit("”, PDF page "), "page", F.lit(". Evidence: “"), "excerpt", F.lit("”")))
+        .when(F.col("section") == "references", F.concat(begin, F.lit("No references or bibliography section was detected in the extracted document headings/text.")))
+        .otherwise(F.concat(begin, F.lit("The document did not yield a matching section heading and text excerpt for this item; manual review is needed.")))
+    )
+    return met.select("doc_id", "item", "score", "section", note.alias("note"))
+
+
 def baselines(signal_rows: DataFrame) -> DataFrame:
     """(doc_id, purpose_distinct, procedure_repeatable, conclusions_valid, recommendations_actionable): the four baselines."""
     return signal_rows.select("doc_id", "purpose_distinct", "procedure_repeatable", "conclusions_valid", "recommendations_actionable")

@@ -135,6 +135,8 @@ Q = {
     "txt20_scorecard": lambda s, d: scorecard.scores(_signals(s, d)),
     "agg20_group_averages": lambda s, d: scorecard.averages(scorecard.scores(_signals(s, d))),
     "txt19_four_baselines": lambda s, d: scorecard.baselines(_signals(s, d)),
+    "txt21_one_item": lambda s, d: scorecard.item(_signals(s, d), "references_properly_attributed"),
+    "txt23_section_notes": lambda s, d: scorecard.notes(scorecard.scores(_signals(s, d)), scorecard.evidence(_items(s, d))),
     "txt22_non_laboratory_items": lambda s, d: scorecard.not_applicable(_signals(s, d)),
     "txt24_rule_findings": lambda s, d: rules.all_findings(_texts(s, d), _rules(s, d)),
     "txt25_generic_rules": _judged,

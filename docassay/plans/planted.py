@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import consistency, findings, language, layout, references, scorecard, table_math
+from ..sources import guards
 from ..sources.tables import table
 
 _BOX = "named_struct('page_index', {page}, 'x0', 50.0D, 'y0', {y}, 'x1', 250.0D, 'y1', {y} + 12, 'page_width', 612.0D, 'page_height', 792.0D)"
@@ -80,8 +81,36 @@ def _once(s: SparkSession, d: str) -> DataFrame:
     return findings.merged(*streams).select("doc_id", F.col("type"), "page_number", "message", "stream")
 
 
+_HEADS = {1: "'Methodology'", 2: "CASE WHEN o_orderstatus = 'F' THEN 'Executive summary' ELSE 'Annex' END"}
+
+
+def _scores(s: SparkSession, d: str) -> DataFrame:
+    """Three items for each order: one on its method, one on its summary, one on references; the last doesn't apply to status P."""
+    return table(s, d, "orders").selectExpr("o_orderkey AS doc_id", "explode(array(named_struct('grp', 'I', 'item', 'logical_approach', 'score', 1 + day(o_orderdate) % 5), named_struct('grp', 'I', 'item', 'interesting', 'score', 3), named_struct('grp', 'II', 'item', 'work_referenced', 'score', CASE WHEN o_orderstatus <> 'P' THEN 2 END))) AS s").select("doc_id", "s.*")
+
+
+def _notes(s: SparkSession, d: str) -> DataFrame:
+    heads = _spans(s, d, _HEADS[1], y="100.0D", first=1).unionByName(_spans(s, d, _HEADS[2], "1", "100.0D", 2))
+    texts = _spans(s, d, "concat('Steps of ', o_orderkey)", y="120.0D", first=3).unionByName(_spans(s, d, "concat('In short ', o_orderpriority)", "1", "120.0D", 4))
+    return scorecard.notes(_scores(s, d), scorecard.evidence(references.ordered_items(heads, texts))).select("doc_id", "item", "note")
+
+
+def _rework(s: SparkSession, d: str) -> DataFrame:
+    low = _scores(s, d).where("score <= 2")
+    return findings.as_issues(low, 13, "SCORECARD", F.lit("REWORK_ITEM"), F.lit(None).cast("int"), F.concat_ws(" ", "grp", "item", "score")).select("doc_id", "type", "severity", "message")
+
+
+def _band_issues(s: SparkSession, d: str) -> DataFrame:
+    return findings.as_issues(_bands(s, d), 12, "TRACEABILITY", F.col("kind"), F.lit(0), F.col("category")).select("doc_id", "type", "severity", "page_number", "message")
+
+
 def queries() -> dict:
     return {
+        "src3_table_guards": lambda s, d: guards.guarded(table(s, d, "cells")),
+        "src3_order_guards": lambda s, d: guards.guarded(_cells(s, d, rows=False).withColumn("bbox", F.struct(F.lit(0).alias("page_index")))).select("doc_id", "cells", "rows", "warnings"),
+        "prj12_order_rework": _rework,
+        "prj13_order_bands": _band_issues,
+        "txt23_order_notes": _notes,
         "txt1_order_totals": lambda s, d: table_math.column_totals(_cells(s, d, rows=False)).select("doc_id", "kind", F.col("stated").cast("double").alias("stated"), F.col("computed").cast("double").alias("computed"), "operands", "status"),
         "txt2_line_totals": lambda s, d: table_math.row_totals(_cells(s, d, rows=True)).select("doc_id", "r", F.col("delta").cast("double").alias("delta"), "operands", "status"),
         "txt3_grid_of_spans": lambda s, d: table_math.grid(table(s, d, "cells")).select("doc_id", "table_index", "r", "c", "cell_id"),
@@ -103,6 +132,17 @@ def queries() -> dict:
 _LINES = "(SELECT l_orderkey, l_linenumber, sum(CAST(l_extendedprice AS DECIMAL(18, 2))) AS price, sum(CAST(l_quantity AS DECIMAL(18, 2))) AS quantity, max(l_returnflag) AS flag FROM lineitem GROUP BY ALL)"
 _JUDGED = "CASE WHEN delta = 0 THEN 'CORRECT' WHEN delta <= greatest(abs(stated) * 0.005, 1) THEN 'ROUNDING_BOUNDARY' ELSE 'MISMATCH' END"
 O = {
+    "src3_table_guards": """WITH t AS (SELECT doc_id, table_index, coalesce(min(page), 0) AS page_index, count(*) AS cells, max(row_index + greatest(coalesce(row_span, 1), 1)) AS rows, max(col_index + greatest(coalesce(col_span, 1), 1)) AS columns
+          FROM (SELECT cell_id, any_value(doc_id) AS doc_id, any_value(table_index) AS table_index, any_value(row_index) AS row_index, any_value(col_index) AS col_index, any_value(row_span) AS row_span, any_value(col_span) AS col_span, any_value(bbox.page_index) AS page FROM cells GROUP BY cell_id) c GROUP BY doc_id, table_index),
+        w AS (SELECT t.*, (SELECT count(*) FROM t o WHERE o.doc_id = t.doc_id AND o.page_index = t.page_index AND o.table_index <= t.table_index) AS nth FROM t),
+        x AS (SELECT doc_id, table_index, page_index, cells, rows, columns, concat_ws(',', CASE WHEN nth > 20 THEN 'TOO_MANY_TABLES' END, CASE WHEN cells > 500 THEN 'TOO_MANY_CELLS' END, CASE WHEN rows > 100 THEN 'TOO_MANY_ROWS' END, CASE WHEN columns > 30 THEN 'TOO_MANY_COLUMNS' END) AS warnings FROM w)
+        SELECT *, warnings = '' AS kept FROM x""",
+    "src3_order_guards": "SELECT o.k AS doc_id, 2 * o.n + 2 * coalesce(l.n, 0) + CASE WHEN l.n > 0 THEN 2 ELSE 0 END AS cells, CASE WHEN o.n > 0 THEN 1001 ELSE 1 + l.top END AS rows, CASE WHEN o.n > 0 THEN 'TOO_MANY_ROWS' ELSE '' END AS warnings FROM (SELECT o_orderkey AS k, count(*) AS n FROM orders GROUP BY ALL) o LEFT JOIN (SELECT l_orderkey AS k, count(DISTINCT l_linenumber) AS n, max(l_linenumber) AS top FROM lineitem GROUP BY ALL) l ON l.k = o.k",
+    "prj12_order_rework": "SELECT o_orderkey AS doc_id, 'REWORK_ITEM' AS type, 'MAJOR' AS severity, 'I logical_approach ' || (1 + day(o_orderdate) % 5) AS message FROM orders WHERE day(o_orderdate) % 5 < 2 UNION ALL SELECT o_orderkey, 'REWORK_ITEM', 'MAJOR', 'II work_referenced 2' FROM orders WHERE o_orderstatus <> 'P'",
+    "prj13_order_bands": "SELECT o_orderkey AS doc_id, 'CATEGORY_BAND_CONTRADICTION' AS type, 'BLOCKER' AS severity, 1 AS page_number, substr(o_orderpriority, 1, 1) AS message FROM orders WHERE o_orderstatus = 'F'",
+    "txt23_order_notes": """SELECT o_orderkey AS doc_id, 'logical_approach' AS item, 'logical_approach: ' || (1 + day(o_orderdate) % 5) || '/5. Source section “Methodology”, PDF page 1. Evidence: “Steps of ' || o_orderkey || '”' AS note FROM orders
+        UNION ALL SELECT o_orderkey, 'interesting', 'interesting: 3/5. ' || CASE o_orderstatus WHEN 'F' THEN 'Source section “Executive summary”, PDF page 2. Evidence: “In short ' || o_orderpriority || '”' ELSE 'The document did not yield a matching section heading and text excerpt for this item; manual review is needed.' END FROM orders
+        UNION ALL SELECT o_orderkey, 'work_referenced', 'work_referenced: 2/5. No references or bibliography section was detected in the extracted document headings/text.' FROM orders WHERE o_orderstatus <> 'P'""",
     "txt1_order_totals": f"""SELECT o_orderkey AS doc_id, 'COLUMN_TOTAL' AS kind, CAST(stated AS DOUBLE) AS stated, CAST(computed AS DOUBLE) AS computed, operands, {_JUDGED} AS status FROM (
         SELECT o_orderkey, CAST(o_totalprice AS DECIMAL(18, 2)) AS stated, sum(price) AS computed, count(*) AS operands, abs(sum(price) - CAST(any_value(o_totalprice) AS DECIMAL(18, 2))) AS delta
         FROM orders JOIN {_LINES} l ON l_orderkey = o_orderkey GROUP BY o_orderkey, o_totalprice) t""",

@@ -35,6 +35,13 @@ def replace_documents(issues: DataFrame, folder: str, buckets: int = 256, docume
         store.delete(path, True)
 
 
+def append_issues(first: DataFrame, *more: DataFrame, folder: str, buckets: int = 256, documents: DataFrame | None = None) -> None:
+    """Issues of a run and those that later stages add, in one write; columns that a part lacks are null."""
+    for part in more:
+        first = first.unionByName(part, allowMissingColumns=True)
+    replace_documents(first, folder, buckets, documents)
+
+
 def write_stage(df: DataFrame, folder: str, stage: str, rule_version: str) -> None:
     """A stage's artifact with its rule version."""
     df.withColumn("rule_version", F.lit(rule_version)).write.mode("overwrite").parquet(f"{folder}/{stage}")

@@ -389,3 +389,12 @@ def test_similarity_join_takes_headings_and_spans(spark, tmp_path):
     spans(spark, [(1, "Thickness survey of the lower shell plating", 0, 200)]).write.parquet(f"{tmp_path}/spans.parquet")
     rows = analyzers.Q["jon15_similarity_join"](spark, str(tmp_path)).collect()
     assert len(rows) == 1 and 85 <= rows[0].similarity < 95
+
+
+def test_items_and_notes(spark):
+    with pytest.raises(ValueError, match="nothing"):
+        scorecard.item(spark.range(1), "nothing")
+    found = scorecard.evidence(references.ordered_items(heads(spark, [(1, "2 Methodology", 1, 0, 10), (1, "Summary", 1, 1, 10), (2, "Summary", 1, 0, 10)]), spans(spark, [(1, "First step.", 0, 20), (1, "Second step.", 0, 30), (1, "x" * 500, 1, 20), (2, None, 0, 20), (2, " ", 0, 30)])))
+    assert {(r.doc_id, r.section, r.heading, r.page, len(r.excerpt)) for r in found.collect()} == {(1, "methodology", "2 Methodology", 1, 11), (1, "summary", "Summary", 2, 180)}
+    scored = spark.createDataFrame([(1, "I", "logical_approach", 5), (1, "I", "timely", None), (3, "I", "logical_approach", 3)], "doc_id long, grp string, item string, score int")
+    assert {(r.doc_id, r.item, "First step." in r.note) for r in scorecard.notes(scored, found).collect()} == {(1, "logical_approach", True), (3, "logical_approach", False)}

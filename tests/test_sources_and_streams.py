@@ -70,6 +70,23 @@ def test_documents_replaced_by_nothing(spark, tmp_path):
     assert got == {**{d: f"old{d}" for d in range(20) if d != 2}, 5: "new"}
 
 
+def test_issues_of_later_stages_in_one_write(spark, tmp_path):
+    out = str(tmp_path / "issues")
+    first, later = spark.createDataFrame([(1, "a")], "doc_id long, m string"), spark.createDataFrame([(1, 3), (2, 4)], "doc_id long, page int")
+    sinks.append_issues(first, later, folder=out, buckets=4)
+    assert {(r.doc_id, r.m, r.page) for r in spark.read.parquet(out).collect()} == {(1, "a", None), (1, None, 3), (2, None, 4)}
+
+
+def test_guards(spark):
+    from docassay.sources import guards
+
+    cell = "cell_id long, doc_id long, table_index int, row_index int, col_index int, row_span int, col_span int, bbox struct<page_index:int>"
+    rows = [(i, 1, i, 0, 0, 1, 1, (0,)) for i in range(22)] + [(100, 2, 0, 99, 29, 1, 1, None), (100, 2, 0, 99, 29, 1, 1, None), (101, 3, 0, 99, 0, 2, None, None), (102, 4, 0, 0, 30, None, 1, None)] + [(1000 + i, 5, 0, i % 50, i // 50, 1, 1, (1,)) for i in range(501)]
+    got = {(r.doc_id, r.table_index): (r.page_index, r.cells, r.warnings) for r in guards.guarded(spark.createDataFrame(rows, cell)).collect()}
+    assert got[1, 19][2] == "" and got[1, 20][2] == "TOO_MANY_TABLES" and got[2, 0] == (0, 1, "") and got[3, 0][2] == "TOO_MANY_ROWS" and got[4, 0][2] == "TOO_MANY_COLUMNS" and got[5, 0] == (1, 501, "TOO_MANY_CELLS")
+    assert guards.guarded(spark.createDataFrame([], cell)).count() == 0
+
+
 def test_unreadable_folders_are_errors(spark, tmp_path):
     broken = tmp_path / "issues"
     broken.mkdir()
