@@ -170,10 +170,39 @@ TRACED = CITED + """SELECT doc_id, kind, code, year, count(*) AS citations FROM
   FROM c b LEFT JOIN (SELECT doc_id, code, list(DISTINCT year) FILTER (WHERE year IS NOT NULL) AS years0, coalesce(list(DISTINCT year) FILTER (WHERE year IS NOT NULL), []) AS years FROM c WHERE section = 'REFERENCE' GROUP BY doc_id, code) r ON r.doc_id = b.doc_id AND r.code = b.code
   WHERE b.section = 'BODY') t WHERE kind IS NOT NULL GROUP BY ALL"""
 
+REPORT = """
+WITH i AS (SELECT * FROM {ISSUES} x WHERE included),
+m AS (SELECT doc_id, category, type, message, min(issue_id) AS first FROM i GROUP BY ALL),
+g AS (SELECT doc_id, category, type, count(*) AS occurrences, coalesce(array_to_string(list_sort(list(DISTINCT page_number) FILTER (WHERE page_number IS NOT NULL)), ', '), '') AS pages FROM i GROUP BY ALL)
+SELECT g.doc_id, g.category, g.type, array_to_string(list_transform(string_split(replace(lower(regexp_replace(g.type, '^(rule_|lt_)', '', 'i')), '_', ' '), ' '), lambda w: upper(w[1]) || w[2:]), ' ') AS label, occurrences, pages,
+  coalesce((SELECT string_agg(message, '; ' ORDER BY first) FROM m WHERE m.doc_id = g.doc_id AND m.category IS NOT DISTINCT FROM g.category AND m.type IS NOT DISTINCT FROM g.type), '') AS messages FROM g"""
+
+# Revisions: the four sources as one list of raw texts, then one form for all.
+REVISIONS = rf"""
+WITH d AS (SELECT * FROM {{META}} x),
+o AS (SELECT doc_id, text, row_number() OVER (PARTITION BY doc_id ORDER BY y0, x0, seq, item_id) AS n FROM {_ITEMS} i WHERE page_index = 0 AND text IS NOT NULL),
+c AS (SELECT a.doc_id, a.n, regexp_extract(concat_ws(' ', a.text, b.text, e.text), '(?:^|[^\p{{L}}\p{{M}}\p{{N}}_])REV(?:ISION)?\s*(?:NO\.?|NUMBER)?\s*[:#._-]?\s*([A-Z0-9]{{1,8}})(?:$|[^\p{{L}}\p{{M}}\p{{N}}_])', 1, 'i') AS raw FROM o a LEFT JOIN o b ON b.doc_id = a.doc_id AND b.n = a.n + 1 LEFT JOIN o e ON e.doc_id = a.doc_id AND e.n = a.n + 2),
+h AS (SELECT doc_id, table_index, col_index, min(row_index) AS head_row FROM {{CELLS}} x WHERE regexp_matches(trim(text), '^(?:REV(?:ISION)?\.?(?:\s*NO\.?)?)$', 'i') GROUP BY ALL),
+r AS (SELECT x.doc_id, arg_max(x.text, x.row_index) AS raw FROM {{CELLS}} x JOIN h ON h.doc_id = x.doc_id AND h.table_index = x.table_index AND h.col_index = x.col_index AND x.row_index > head_row WHERE regexp_matches(trim(x.text), '^[A-Za-z0-9]{{1,3}}$') GROUP BY x.doc_id),
+s AS (SELECT doc_id, 'FILENAME' AS source, 1 AS pos, regexp_extract(regexp_replace(filename, '\.[^.]*$', ''), '(?:^|[_\s-])REV(?:ISION)?[._\s-]?([A-Z0-9]{{1,8}})(?:$|[._\s-])', 1, 'i') AS raw FROM d
+  UNION ALL SELECT doc_id, 'COVER', 2, cover_rev FROM d
+  UNION ALL SELECT doc_id, 'COVER_PAGE', 3, arg_min(raw, n) FROM c WHERE raw <> '' GROUP BY doc_id
+  UNION ALL SELECT doc_id, 'REVISION_SHEET', 4, raw FROM r),
+t AS (SELECT doc_id, source, pos, regexp_replace(regexp_replace(upper(trim(raw)), '^REV(?:ISION)?\s*(?:NO\.?|NUMBER)?\s*[:#.-]?\s*', ''), '[^A-Z0-9]', '', 'g') AS v FROM s),
+q AS (SELECT doc_id, source, pos, CASE WHEN regexp_matches(v, '^[0-9]+$') THEN coalesce(nullif(ltrim(v, '0'), ''), '0') ELSE v END AS value FROM t WHERE v <> '' AND length(v) <= 8)
+"""
+DISAGREEING = REVISIONS + """, k AS (SELECT *, count(*) OVER (PARTITION BY doc_id, value) AS votes, min(pos) OVER (PARTITION BY doc_id, value) AS place FROM q),
+w AS (SELECT *, max(votes) OVER (PARTITION BY doc_id) AS top, min(value) OVER (PARTITION BY doc_id) AS low, max(value) OVER (PARTITION BY doc_id) AS high FROM k),
+z AS (SELECT *, min(CASE WHEN votes = top THEN place END) OVER (PARTITION BY doc_id) AS best FROM w)
+SELECT doc_id, source, value FROM z WHERE low <> high AND (top = 1 OR place <> best)"""
+
 O: dict[str, str] = {
     "p4_found": P4,
     "p7_found": P7_ALL + "SELECT doc_id, field, iso FROM t9 WHERE iso IS NOT NULL",
     "p4_tables": TABLES_SQL,
+    "agg15_report_table": REPORT,
+    "txt5_revision_sources": REVISIONS + "SELECT * FROM q",
+    "txt5_revision_mismatch": DISAGREEING,
     "fun_roman": ROMAN,
     "fun_decimals": DECIMALS,
     "src8_page_entities": ENTITIES,
