@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from ..operators.timestamps import MONTHS
+from ..operators.units import UNITS
 from .portable import filled
 
 _MONTHS = ", ".join(f"('{name}', {number})" for number, names in MONTHS.items() for name in names.split())
@@ -170,6 +171,53 @@ TRACED = CITED + """SELECT doc_id, kind, code, year, count(*) AS citations FROM
   FROM c b LEFT JOIN (SELECT doc_id, code, list(DISTINCT year) FILTER (WHERE year IS NOT NULL) AS years0, coalesce(list(DISTINCT year) FILTER (WHERE year IS NOT NULL), []) AS years FROM c WHERE section = 'REFERENCE' GROUP BY doc_id, code) r ON r.doc_id = b.doc_id AND r.code = b.code
   WHERE b.section = 'BODY') t WHERE kind IS NOT NULL GROUP BY ALL"""
 
+# Quantities: headers, unit rows and titles are joined to the columns they stand over; pairs are compared with each other directly.
+_ALIASES = ", ".join(f"('{d}', '{a}', CAST({f!r} AS DOUBLE), CAST({o!r} AS DOUBLE))" for d, f, o, names in UNITS for a in names)
+_M, _E = r"[-+−]?[0-9](?:[0-9.,'' ]*[0-9])?", r"\s*[eE][-+]?[0-9]+|\s*[x×]\s*10\^?[-−]?[0-9]+"
+_FEET = r"^([0-9]+)\s*(?:''|ft|feet)\s*-?\s*([0-9]+)?\s*(?:([0-9]+)/([0-9]+))?\s*(?:\"|in|inch)$"
+_BEHIND, _AHEAD = rf"^[(]?({_M})({_E})?[)]?\s*([^0-9\s.,'')].*)?$", rf"^([^0-9\s(+−-].*?)\s+({_M})({_E})?$"
+_SCALED = r"^(?:(?i)(x ?[0-9]+|10\^[0-9]+|hundred|thousand|million)\s+)?(\S.*)$"
+
+
+def _unit_key(text: str) -> str:
+    return rf"lower(regexp_replace(replace(replace(translate({text}, '²³µμ', '23uu'), '℃', '°C'), '℉', '°F'), '\s+', ' ', 'g'))"
+
+
+QUANTITIES = rf"""
+WITH alias(dimension, alias, factor, shift) AS (VALUES {_ALIASES}),
+target AS (SELECT quantity, lower(quantity) AS q, common_unit, dimension, factor AS tf, shift AS ts FROM unit_targets JOIN alias ON alias = {_unit_key('common_unit')}),
+plain AS (SELECT cell_id, doc_id, table_index, row_index, greatest(coalesce(row_span, 1), 1) AS rs, col_index, trim(translate(text, chr(160) || chr(8239) || chr(8201) || chr(8199), '    ')) AS t FROM {{CELLS}} x WHERE text IS NOT NULL),
+head AS (SELECT p.*, target.*, regexp_replace(regexp_replace(substr(regexp_replace(t, '\s+', ' ', 'g'), length(q) + 1), '^[\s,/:(\[-]*', ''), '[\s)\]]*$', '') AS said FROM plain p JOIN target ON regexp_matches(lower(regexp_replace(t, '\s+', ' ', 'g')), '^' || q || '([^0-9a-z]|$)') WHERE col_index > 0),
+top AS (SELECT *, row_number() OVER (PARTITION BY doc_id, table_index, col_index ORDER BY row_index) AS n FROM head),
+unit_row AS (SELECT doc_id, table_index, col_index, min(t) AS u FROM plain p JOIN alias ON alias = {_unit_key(f"regexp_extract(t, '{_SCALED}', 2)")} WHERE alias <> '1' AND col_index > 0 GROUP BY ALL),
+part AS (SELECT doc_id, table_index, unnest(string_split(t, ';')) AS x FROM plain WHERE t LIKE '%;% in %'),
+title AS (SELECT doc_id, table_index, lower(regexp_extract(x, '^\s*(.+?)\s+in\s+(.+?)\s*$', 1)) AS q, min(regexp_extract(x, '^\s*(.+?)\s+in\s+(.+?)\s*$', 2)) AS u FROM part WHERE regexp_matches(x, '^\s*.+?\s+in\s+.+') GROUP BY ALL),
+col AS (SELECT h.doc_id, h.table_index, h.col_index, h.quantity, h.common_unit, h.dimension, h.tf, h.ts, coalesce(nullif(h.said, ''), r.u, t.u) AS around FROM top h LEFT JOIN unit_row r USING (doc_id, table_index, col_index) LEFT JOIN title t ON t.doc_id = h.doc_id AND t.table_index = h.table_index AND t.q = h.q WHERE h.n = 1),
+tag AS (SELECT doc_id, table_index, unnest(range(row_index, row_index + rs)) AS row_at, t AS tag, row_index FROM plain WHERE col_index = 0 AND t <> ''),
+tags AS (SELECT doc_id, table_index, row_at, arg_min(tag, row_index) AS tag FROM tag GROUP BY ALL),
+form AS (SELECT *, CASE WHEN regexp_matches(t, '{_FEET}') THEN 'F' WHEN regexp_matches(t, '{_BEHIND}') THEN 'B' WHEN regexp_matches(t, '{_AHEAD}') THEN 'A' END AS k FROM plain WHERE col_index > 0 AND regexp_matches(t, '[0-9]')),
+got AS (SELECT *, CASE k WHEN 'B' THEN regexp_extract(t, '{_BEHIND}', ['m', 'e', 'u']) WHEN 'A' THEN regexp_extract(t, '{_AHEAD}', ['u', 'm', 'e']) END AS g, CASE k WHEN 'F' THEN regexp_extract(t, '{_FEET}', ['a', 'b', 'c', 'd']) END AS f FROM form WHERE k IS NOT NULL),
+mark AS (SELECT *, regexp_matches(g.m, '['' ]') AS parted, regexp_replace(translate(g.m, '−', '-'), '['' ]', '', 'g') AS m FROM got),
+num AS (SELECT doc_id, table_index, row_index, col_index, cell_id, t, CASE WHEN k = 'F' THEN 'ft' ELSE nullif(g.u, '') END AS own,
+  CASE WHEN k = 'F' THEN CAST(f.a AS DOUBLE) + (coalesce(TRY_CAST(nullif(f.b, '') AS DOUBLE), 0) + coalesce(TRY_CAST(nullif(f.c, '') AS DOUBLE) / TRY_CAST(nullif(f.d, '') AS DOUBLE), 0)) / 12
+  ELSE TRY_CAST(CASE WHEN m LIKE '%,%' AND m LIKE '%.%' THEN CASE WHEN strpos(reverse(m), ',') < strpos(reverse(m), '.') THEN replace(replace(m, '.', ''), ',', '.') ELSE replace(m, ',', '') END
+      WHEN m LIKE '%,%,%' OR regexp_matches(m, '^[-+]?[0-9]+,[0-9]{{3}}$') AND NOT parted THEN replace(m, ',', '') WHEN m LIKE '%,%' THEN replace(m, ',', '.') WHEN m LIKE '%.%.%' THEN replace(m, '.', '') ELSE m END AS DOUBLE)
+    * CASE WHEN g.e = '' THEN 1 ELSE power(10.0, CAST(regexp_extract(translate(g.e, '−', '-'), '([-+]?[0-9]+)$', 1) AS INT)) END * CASE WHEN regexp_matches(t, '^[(].*[)]') THEN -1 ELSE 1 END END AS number FROM mark),
+unit AS (SELECT num.*, col.*, tags.tag, regexp_extract(around, '{_SCALED}', 1) AS word, CASE WHEN own IS NOT NULL THEN own WHEN around IS NOT NULL THEN regexp_extract(around, '{_SCALED}', 2) WHEN dimension = 'ratio' THEN '1' END AS chosen
+  FROM num JOIN col USING (doc_id, table_index, col_index) JOIN tags ON tags.doc_id = num.doc_id AND tags.table_index = num.table_index AND tags.row_at = num.row_index WHERE number IS NOT NULL),
+valued AS (SELECT unit.*, ((CASE WHEN own IS NOT NULL OR coalesce(word, '') = '' THEN 1 WHEN lower(word) = 'hundred' THEN 100 WHEN lower(word) = 'thousand' THEN 1000 WHEN lower(word) = 'million' THEN 1000000 WHEN word LIKE '10^%' THEN power(10.0, CAST(word[4:] AS DOUBLE)) ELSE coalesce(TRY_CAST(trim(word[2:]) AS DOUBLE), 1) END
+    * number * factor + shift) - ts) / tf AS value FROM unit LEFT JOIN alias ON alias.dimension = unit.dimension AND alias.alias = {_unit_key('chosen')})
+"""
+P1_VALUES = QUANTITIES + """SELECT DISTINCT cell_id, doc_id, table_index, row_index, col_index, tag, quantity, t AS text, number, coalesce(own, around, CASE WHEN dimension = 'ratio' THEN '1' END) AS unit,
+  CASE WHEN own IS NOT NULL THEN 'CELL' WHEN around IS NOT NULL THEN 'AROUND' WHEN dimension = 'ratio' THEN 'RATIO' END AS unit_from, value, common_unit FROM valued"""
+_LIMIT = r"'[{]limit[}]\s*([^{}]*?)\s*(?:\bof\b|\bor\b|[.,;]|$)'"
+P1_FOUND = QUANTITIES + rf""", stated AS (SELECT rule_no, numeric_limit_params.parameter_name AS name, numeric_limit_params.limit_value AS number, target.*, coalesce(nullif(regexp_extract(title, '[(\[]([^()\[\]]+)[)\]]\s*$', 1), ''), nullif(regexp_extract(message_template, {_LIMIT}, 1), ''), nullif(regexp_extract(recommendation_template, {_LIMIT}, 1), ''),
+    nullif(replace(regexp_extract(numeric_limit_params.pattern, '[)]\\s[*]([^()\[\]]+)$', 1), '\', ''), ''), CASE WHEN dimension = 'ratio' THEN '1' END) AS unit
+  FROM rules JOIN target ON regexp_matches(lower(numeric_limit_params.parameter_name), '(^|\s)' || q || '\s*$') WHERE kind = 'numeric_limit'),
+every AS (SELECT DISTINCT 'cell' AS kind, tag AS owner, quantity, cell_id AS k, value FROM valued WHERE value IS NOT NULL
+  UNION ALL SELECT DISTINCT 'rule', name, quantity, rule_no, (number * factor + shift - ts) / tf FROM stated s JOIN alias ON alias.dimension = s.dimension AND alias.alias = {_unit_key('s.unit')} WHERE number IS NOT NULL)
+SELECT a.kind, a.k AS key_a, b.k AS key_b FROM every a JOIN every b ON a.kind = b.kind AND a.owner = b.owner AND a.quantity = b.quantity AND a.k < b.k AND abs(a.value - b.value) <= (0.005 + 1e-9) * greatest(abs(a.value), abs(b.value))"""
+
 REPORT = """
 WITH i AS (SELECT * FROM {ISSUES} x WHERE included),
 m AS (SELECT doc_id, category, type, message, min(issue_id) AS first FROM i GROUP BY ALL),
@@ -197,6 +245,8 @@ z AS (SELECT *, min(CASE WHEN votes = top THEN place END) OVER (PARTITION BY doc
 SELECT doc_id, source, value FROM z WHERE low <> high AND (top = 1 OR place <> best)"""
 
 O: dict[str, str] = {
+    "p1_values": P1_VALUES,
+    "p1_found": P1_FOUND,
     "p4_found": P4,
     "p7_found": P7_ALL + "SELECT doc_id, field, iso FROM t9 WHERE iso IS NOT NULL",
     "p4_tables": TABLES_SQL,
