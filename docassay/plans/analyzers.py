@@ -48,9 +48,9 @@ def _signals(s: SparkSession, d: str, faults: tuple[DataFrame, DataFrame, DataFr
     """The signals of documents; faults and items where they are at hand already."""
     spans = table(s, d, "spans")
     repeats = language.matches(spans.dropDuplicates(["item_id"]).select("doc_id", "item_id", "text"), "text", [r for r in language.GRAMMAR if "REPEATED" in r[0]])
-    items, cells = items or _items(s, d), table(s, d, "cells")
+    items, cells = items or cut(_items(s, d)), table(s, d, "cells")  # read by six of the parts below
     said, vague, words = (f.select("doc_id", "page_index") for f in faults or _faults(s, d))
-    faults = said.unionByName(vague).unionByName(words)
+    faults = cut(said.unionByName(vague).unionByName(words))  # counted twice
     metadata = table(s, d, "doc_metadata").select("doc_id", F.concat_ws(" ", "title", "original_filename").alias("named")).unionByName(table(s, d, "documents").select("doc_id", F.col("doc_type").alias("named")))
     return scorecard.signals(items, cells, references.citations(items), repeats, layout.uncontrolled(table(s, d, "pdf_pages")), layout.voids(layout.metrics(_placed(s, d))), _drift(s, d).where("kind = 'PAGE_DRIFT'"), consistency.contradictions(cells, items), faults, metadata)
 
