@@ -1,7 +1,8 @@
 """Totals of tables checked against their operands, exactly and with a dual tolerance.
 
-Cells with spans fill the grid first. Subtotals cut a column into segments by a running count; a total
-is then joined to its operands, and sums, units and malformed operands are aggregated.
+Cells with spans fill the grid first. Summary rows cut a column into blocks, and subtotals into segments, by a
+running count; sums, units and malformed operands are aggregated by block, and a total adds up its blocks. All
+of it is keyed by the table, so the cells are moved once, or not at all where they already lie by document.
 
 Defined results: a table of fewer than two rows, or without a summary row, gives nothing; an operand
 that is no number gives MALFORMED_ROW for its total; different units give UNIT_MISMATCH; a redelivered
@@ -20,16 +21,21 @@ PERCENT, LEAST = 0.5, 1.0
 # What summary rows and columns are called.
 GRAND, SUB = r"^(?i)\s*GRAND\s+TOTAL\b", r"^(?i)\s*SUB-?TOTAL\b"
 TOTAL = r"^(?i)\s*(?:TOTALS?|SUM|SUMMARY|OVERALL\s+TOTAL)\b"
+ANY_TOTAL = r"^(?i)\s*(?:GRAND|SUB|TOTAL|SUM|OVERALL)"  # how all of them begin
 TOTAL_COLUMN = r"^(?i)\s*(?:GRAND\s+)?(?:TOTALS?|SUM|SUMMARY)\b"
 _TABLE = ["doc_id", "table_index"]
 
 
+def _placed(cells: DataFrame, *more: str) -> DataFrame:
+    """The cell that covers a place last, of each place. A redelivered cell is equal to the first one, so it changes nothing here."""
+    spread = cells.where("text IS NOT NULL").withColumn("r", F.explode(F.expr("sequence(row_index, row_index + greatest(coalesce(row_span, 1), 1) - 1)"))).withColumn("c", F.explode(F.expr("sequence(col_index, col_index + greatest(coalesce(col_span, 1), 1) - 1)")))
+    own = F.max_by(F.struct("cell_id", "text", *more), F.struct("row_index", "col_index", "cell_id"))
+    return spread.groupBy(*_TABLE, "r", "c").agg(own.alias("own")).select(*_TABLE, "r", "c", "own.*")
+
+
 def grid(cells: DataFrame) -> DataFrame:
     """(doc_id, table_index, r, c, cell_id, text): each place of the grid with the cell that covers it last."""
-    once = cells.dropDuplicates(["cell_id"]).where("text IS NOT NULL")
-    spread = once.withColumn("r", F.explode(F.expr("sequence(row_index, row_index + greatest(coalesce(row_span, 1), 1) - 1)"))).withColumn("c", F.explode(F.expr("sequence(col_index, col_index + greatest(coalesce(col_span, 1), 1) - 1)")))
-    own = F.max_by(F.struct("cell_id", "text"), F.struct("row_index", "col_index", "cell_id"))
-    return spread.groupBy(*_TABLE, "r", "c").agg(own.alias("own")).select(*_TABLE, "r", "c", "own.*")
+    return _placed(cells.dropDuplicates(["cell_id"]))
 
 
 def judged(delta: str, stated: str) -> str:
@@ -39,29 +45,43 @@ def judged(delta: str, stated: str) -> str:
 
 def column_totals(cells: DataFrame) -> DataFrame:
     """(doc_id, table_index, r, c, kind, stated, computed, delta, operands, status) of each total of a column."""
-    places = with_decimal(grid(cells), "text").withColumnRenamed("unit", "own_unit")
-    kind = F.when(F.col("text").rlike(GRAND), F.struct(F.lit(1).alias("o"), F.lit("GRAND_TOTAL").alias("k"))).when(F.col("text").rlike(SUB), F.struct(F.lit(2).alias("o"), F.lit("SUBTOTAL").alias("k"))).when(F.col("text").rlike(TOTAL), F.struct(F.lit(3).alias("o"), F.lit("COLUMN_TOTAL").alias("k")))
-    summary = places.where("r > 0").withColumn("kind", kind).where("kind IS NOT NULL").groupBy(*_TABLE, "r").agg(F.min_by("kind.k", "c").alias("kind"), F.min("c").alias("label_col"))
-    # tables without a summary row leave here, before anything is sorted
-    tables = summary.select(*_TABLE).distinct()
-    kept = places.join(tables, _TABLE, "left_semi").join(summary, [*_TABLE, "r"], "left")
-    heads = kept.where("r = 0").select(*_TABLE, "c", header_unit(F.col("text")).alias("head_unit"))
-    body = kept.where("r > 0").join(heads, [*_TABLE, "c"], "left").withColumn("unit", F.coalesce("own_unit", "head_unit"))
-    before = Window.partitionBy(*_TABLE, "c").orderBy("r").rowsBetween(Window.unboundedPreceding, -1)
-    body = body.withColumn("segment", F.coalesce(F.sum(F.when(F.col("kind") == "SUBTOTAL", 1).otherwise(0)).over(before), F.lit(0)))
-    totals = body.where("kind IS NOT NULL AND c <> label_col AND value IS NOT NULL").select(*_TABLE, "c", F.col("r").alias("total_r"), F.col("kind").alias("total_kind"), F.col("value").alias("stated"), F.col("unit").alias("total_unit"), F.col("segment").alias("total_segment"))
-    data = body.select(*_TABLE, "c", "r", "kind", "value", "unit", "segment", neutral(F.col("text")).alias("blank"))
-    joined = totals.join(data, [*_TABLE, "c"]).where("r < total_r AND NOT blank")
+    kind = F.when(~F.col("text").rlike(ANY_TOTAL), None).when(F.col("text").rlike(GRAND), "GRAND_TOTAL").when(F.col("text").rlike(SUB), "SUBTOTAL").when(F.col("text").rlike(TOTAL), "COLUMN_TOTAL")
+    labelled = cells.where("text IS NOT NULL AND doc_id IS NOT NULL AND table_index IS NOT NULL").withColumn("label", kind)
+    # tables without a summary row leave here; what follows stays where its table is
+    kept = labelled.withColumn("any", F.max("label").over(Window.partitionBy(*_TABLE))).where("any IS NOT NULL")
+    by_row, by_column = Window.partitionBy(*_TABLE, "r"), Window.partitionBy(*_TABLE, "c").orderBy("r")
+    whole, before = by_column.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing), by_column.rowsBetween(Window.unboundedPreceding, -1)
+    named = F.when(F.col("r") > 0, F.col("label"))
+    rows = _placed(kept, "label").withColumn("kind", F.min_by(named, F.when(named.isNotNull(), F.col("c"))).over(by_row)).withColumn("label_col", F.min(F.when(named.isNotNull(), F.col("c"))).over(by_row))
+    # a block: the rows of a column behind a summary row, with the next one at its end
+    columns = rows.select(
+        *_TABLE, "r", "c", "text", "kind", (F.col("kind").isNotNull() & (F.col("c") != F.col("label_col"))).alias("beside"),
+        F.max(F.when(F.col("r") == 0, header_unit(F.col("text")))).over(whole).alias("head_unit"), F.count("kind").over(before).alias("block"),
+        F.max(F.col("kind").isNotNull() & (F.col("c") != F.col("label_col"))).over(whole).alias("used"),
+    ).where("r > 0 AND used")
+    body = with_decimal(columns.withColumnRenamed("text", "_text"), "_text").withColumn("own", F.coalesce("unit", "head_unit")).withColumn("blank", neutral(F.col("_text")))
+    last, plain = F.col("kind").isNotNull(), F.col("kind").isNull() & ~F.col("blank")
+    at_end = lambda column: F.max(F.when(last, column))
+    blocks = body.groupBy(*_TABLE, "c", "block").agg(
+        at_end(F.col("r")).alias("r"), at_end(F.col("kind")).alias("kind"), at_end(F.col("value")).alias("stated"), at_end(F.col("own")).alias("total_unit"), at_end(F.col("beside")).alias("beside"), at_end(F.col("blank")).alias("blank"),
+        F.sum(F.when(plain, F.col("value"))).alias("sum"), F.count_if(plain).alias("n"), F.count_if(plain & F.col("value").isNull()).alias("bad"),
+        F.min(F.when(plain, F.coalesce("own", F.lit("")))).alias("low"), F.max(F.when(plain, F.coalesce("own", F.lit("")))).alias("high"),
+    ).where("kind IS NOT NULL")
     # a subtotal takes its segment; a grand total takes the subtotals where there are any, else all rows; a total takes all rows
-    plain = F.col("kind").isNull()
-    role = F.when(F.col("total_kind") == "SUBTOTAL", plain & (F.col("segment") == F.col("total_segment"))).when((F.col("total_kind") == "GRAND_TOTAL") & (F.col("total_segment") > 0), F.col("kind") == "SUBTOTAL").otherwise(plain)
-    operands = joined.where(role).groupBy(*_TABLE, "c", "total_r", "total_kind", "stated", "total_unit").agg(
-        F.sum("value").cast(DECIMAL).alias("computed"), F.count("*").alias("operands"), F.count_if(F.col("value").isNull()).alias("malformed"),
-        F.count_distinct(F.coalesce("unit", F.lit(""))).alias("units"), F.max("unit").alias("unit"),
+    order = Window.partitionBy(*_TABLE, "c").orderBy("block")
+    earlier, sub = order.rowsBetween(Window.unboundedPreceding, -1), (F.col("kind") == "SUBTOTAL") & ~F.col("blank")
+    blocks = blocks.withColumn("segment", F.count_if(F.col("kind") == "SUBTOTAL").over(earlier))
+    until, segment = order.rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy(*_TABLE, "c", "segment").orderBy("block").rowsBetween(Window.unboundedPreceding, 0)
+    plain_over = lambda w: F.struct(F.sum("sum").over(w).alias("computed"), F.sum("n").over(w).alias("operands"), F.sum("bad").over(w).alias("malformed"), F.min("low").over(w).alias("low"), F.max("high").over(w).alias("high"))
+    subs = F.struct(
+        F.sum(F.when(sub, F.col("stated"))).over(earlier).alias("computed"), F.count_if(sub).over(earlier).alias("operands"), F.count_if(sub & F.col("stated").isNull()).over(earlier).alias("malformed"),
+        F.min(F.when(sub, F.coalesce("total_unit", F.lit("")))).over(earlier).alias("low"), F.max(F.when(sub, F.coalesce("total_unit", F.lit("")))).over(earlier).alias("high"),
     )
-    out = operands.withColumn("delta", F.expr("abs(computed - stated)"))
-    status = F.expr(f"CASE WHEN malformed > 0 THEN 'MALFORMED_ROW' WHEN units > 1 OR (total_unit IS NOT NULL AND unit IS NOT NULL AND total_unit <> unit) THEN 'UNIT_MISMATCH' ELSE {judged('delta', 'stated')} END")
-    return out.select(*_TABLE, F.col("total_r").alias("r"), "c", F.col("total_kind").alias("kind"), "stated", "computed", "delta", "operands", status.alias("status"))
+    taken = F.when(F.col("kind") == "SUBTOTAL", plain_over(segment)).when((F.col("kind") == "GRAND_TOTAL") & (F.col("segment") > 0), subs).otherwise(plain_over(until))
+    totals = blocks.withColumn("taken", taken).where("beside AND stated IS NOT NULL AND taken.operands > 0").select(*_TABLE, "r", "c", "kind", "stated", F.col("taken.computed").cast(DECIMAL).alias("computed"), "total_unit", "taken.operands", "taken.malformed", "taken.low", "taken.high")
+    out = totals.withColumn("delta", F.expr("abs(computed - stated)"))
+    status = F.expr(f"CASE WHEN malformed > 0 THEN 'MALFORMED_ROW' WHEN low <> high OR (total_unit IS NOT NULL AND high <> '' AND total_unit <> high) THEN 'UNIT_MISMATCH' ELSE {judged('delta', 'stated')} END")
+    return out.select(*_TABLE, "r", "c", "kind", "stated", "computed", "delta", "operands", status.alias("status"))
 
 
 def row_totals(cells: DataFrame) -> DataFrame:

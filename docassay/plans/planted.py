@@ -6,7 +6,7 @@ statement over the order tables, which is the comparison SQL.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import consistency, findings, language, layout, references, scorecard, table_math
@@ -17,21 +17,32 @@ _BOX = "named_struct('page_index', {page}, 'x0', 50.0D, 'y0', {y}, 'x1', 250.0D,
 
 
 def _cells(s: SparkSession, d: str, *, rows: bool) -> DataFrame:
-    """One table for each order: a header, its lines, and a column of amounts with a total, or totals at the end of rows."""
-    lines = table(s, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.sum(F.col("l_extendedprice").cast("decimal(18,2)")).alias("price"), F.sum(F.col("l_quantity").cast("decimal(18,2)")).alias("quantity"), F.max("l_returnflag").alias("flag"))
+    """One table for each order: a header, its lines, and a column of amounts with a total, or totals at the end of rows.
+
+    Lines and totals are moved to their order once, before they become cells.
+    """
+    money = lambda name: F.col(name).cast("decimal(18,2)")
+    given = table(s, d, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("row_index"), F.lit(False).alias("total"), money("l_extendedprice").alias("price"), money("l_quantity").alias("quantity"), F.col("l_returnflag").alias("flag"))
+    if not rows:
+        stated = table(s, d, "orders").select(F.col("o_orderkey").alias("doc_id"), F.lit(1_000).alias("row_index"), F.lit(True).alias("total"), money("o_totalprice").alias("price"))
+        given = given.drop("quantity", "flag").unionByName(stated)
+    sums = [F.sum("quantity").alias("quantity"), F.max("flag").alias("flag")] if rows else [F.max("price").alias("stated")]
+    # the number of the table is a column: a literal among the keys would hide the order of the rows, and each step would sort again
+    lines = given.repartition("doc_id").groupBy("doc_id", "row_index", "total").agg(F.sum("price").alias("price"), F.max(F.lit(0)).alias("table_index"), *sums)
+    label = F.concat(F.lit("Line "), F.col("row_index"))
     if rows:
         total = F.expr("quantity + price + CASE flag WHEN 'R' THEN 0.6 WHEN 'A' THEN 0 ELSE quantity + 0.01 * price END")
-        parts = [F.concat(F.lit("Line "), F.col("l_linenumber")), F.col("quantity").cast("string"), F.col("price").cast("string"), total.cast("decimal(18,2)").cast("string")]
+        parts = [label, F.col("quantity").cast("string"), F.col("price").cast("string"), total.cast("decimal(18,2)").cast("string")]
         head = ["Item", "Quantity", "Price", "Total"]
     else:
-        parts, head = [F.concat(F.lit("Line "), F.col("l_linenumber")), F.col("price").cast("string")], ["Item", "Amount"]
-    each = lines.select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("row_index"), F.posexplode(F.array(*parts)).alias("col_index", "text"))
-    heads = lines.select(F.col("l_orderkey").alias("doc_id")).distinct().select("doc_id", F.lit(0).alias("row_index"), F.posexplode(F.array(*map(F.lit, head))).alias("col_index", "text"))
-    out = each.unionByName(heads)
-    if not rows:
-        stated = table(s, d, "orders").select(F.col("o_orderkey").alias("doc_id"), F.lit(1_000).alias("row_index"), F.posexplode(F.array(F.lit("Total"), F.col("o_totalprice").cast("decimal(18,2)").cast("string"))).alias("col_index", "text"))
-        out = out.unionByName(stated)
-    return out.select(F.expr("doc_id * 100000 + row_index * 10 + col_index").alias("cell_id"), "doc_id", F.lit(0).alias("table_index"), "text", F.col("row_index").cast("int"), F.col("col_index").cast("int"), F.lit(1).alias("row_span"), F.lit(1).alias("col_span"))
+        parts, head = [F.when(F.col("total"), "Total").otherwise(label), F.when(F.col("total"), F.col("stated")).otherwise(F.col("price")).cast("string")], ["Item", "Amount"]
+    # the first line brings the header
+    first = F.min(F.when(~F.col("total"), F.col("row_index"))).over(Window.partitionBy("doc_id")) == F.col("row_index")
+    row = lambda index, texts: [F.struct(index.alias("row_index"), F.lit(i).alias("col_index"), text.alias("text")) for i, text in enumerate(texts)]
+    own = row(F.col("row_index").cast("int"), parts)
+    made = F.when(~F.col("total") & F.col("first"), F.array(*row(F.lit(0), map(F.lit, head)), *own)).otherwise(F.array(*own))
+    out = lines.withColumn("first", first).select("doc_id", "table_index", F.explode(made).alias("cell")).select("doc_id", "table_index", "cell.*")
+    return out.select(F.expr("doc_id * 100000 + row_index * 10 + col_index").alias("cell_id"), "doc_id", "table_index", "text", "row_index", "col_index", F.lit(1).alias("row_span"), F.lit(1).alias("col_span"))
 
 
 def _spans(s: SparkSession, d: str, text: str, page: str = "0", y: str = "100.0D", first: int = 0) -> DataFrame:

@@ -88,6 +88,19 @@ def test_column_totals(spark):
     assert got[0, "COLUMN_TOTAL", 4].computed == Decimal("61") and got[2, "COLUMN_TOTAL", 3].delta == 10
 
 
+def test_column_totals_move_the_cells_once(spark):
+    """Disk: one exchange of the cells, none where they already lie by document; redelivered cells and blocks count as before."""
+    from docassay.plans import planted
+
+    moved = lambda df: df._jdf.queryExecution().executedPlan().toString().count("Exchange ")
+    grid = [["Item", "Mass (kg)"], ["a", "1"], ["b", "-"], ["Subtotal", "1"], ["c", "2"], ["d", "3"], ["Subtotal", "5"], ["Total", "6"], ["Grand total", "6"]]
+    made = cells(spark, grid)
+    twice = table_math.column_totals(made.unionByName(made))
+    assert moved(twice) == 1
+    assert [(r.kind, r.computed, r.operands, r.status) for r in twice.orderBy("r").collect()] == [("SUBTOTAL", 1, 1, "CORRECT"), ("SUBTOTAL", 5, 2, "CORRECT"), ("COLUMN_TOTAL", 6, 3, "CORRECT"), ("GRAND_TOTAL", 6, 2, "CORRECT")]
+    assert moved(planted.queries()["txt1_order_totals"](spark, "/root/testdata/sf0.001")) == 1
+
+
 def test_row_totals_and_spans(spark):
     rows = [["Item", "Q1", "Q2", "Total"], ["A", "1", "2", "3"], ["B", "5", "5", "12"], ["C", "x", "5", "5"], ["D", "1", "-", "1"]]
     got = {r.r: r.status for r in table_math.row_totals(cells(spark, rows)).collect()}
