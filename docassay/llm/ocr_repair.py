@@ -1,17 +1,22 @@
 """Repair of text from scanned pages: furniture removal, joined lines and corrected characters.
 
-Two averaged perceptrons are trained here. The character editor predicts one operation for each
-character (keep, replace, delete, insert, and at the end of a line join); it learns from clean text of
-the corpus that is corrupted and broken into lines, by the confusions that the scanned pages themselves
-show: where an unknown word of a scan differs in one place from a known one, that place counts. The
-furniture model reads position features of each line; it learns from the lines that the header, footer
-and page-number fields of the pages name, with those features hidden half of the time.
+Three averaged perceptrons are trained here, on all pages. The character editor predicts one operation for
+each character (keep, replace, delete, insert); it learns from every form of a word in the clean text of
+the corpus, corrupted by the confusions that the scanned pages themselves show: where an unknown word of
+a scan differs in one place from a known one, that place counts. The joins of broken lines learn from
+every place where a clean word can break, and from every compound. The furniture model reads position
+features of each line; it learns from the lines that the header, footer and page-number fields of the
+pages name, also with those features hidden.
+
+What the models learn from is counted first: equal words, joins and lines of all pages are one row with
+their number. Rows that are too many for one task are shared out by a hash; the weights of the shares are
+averaged (parameter mixing).
 
 The vocabulary is counted over all text-layer pages. Its most frequent words, a bounded set, go to the
 workers; every other word is looked up by an exact join, once for each distinct word, so a word's state
 and its correction are the same on all pages and don't depend on the size of the corpus. The editor runs
 on distinct unknown words only; a word is edited where the operations, scored against keeping every
-character, exceed a margin that is calibrated on held-out words and lead to a known word.
+character, exceed a margin that is calibrated on all clean words and lead to a known word.
 
 Defined results: null and empty pages give no row; a word without a known correction stays as it is;
 scripts without spaces keep their characters (their words are no units here); a redelivered page counts
@@ -24,12 +29,12 @@ import heapq
 import random
 import re
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import cut
@@ -40,12 +45,14 @@ DIGIT_READ = {"0": "Oo", "1": "lI", "2": "Z", "5": "S", "6": "b", "8": "B", "9":
 BREAK_MARKS = "-¬­‐‑⁃"
 #: Frequent words that are sent to the workers (others are joined), and bits of the filter that spares most joins of a candidate.
 COMMON_WORDS, FILTER_BITS = 50_000, 1 << 23
-#: Bounds of what the models are fitted on: clean pages, scanned pages, and examples of the editor (a seeded choice from all its pages).
-TRAIN_PAGES, TRAIN_SCANS, TRAIN_EXAMPLES = 1_000, 1_500, 400_000
+#: Examples of the editor when it is trained on a list of pages at hand (a seeded choice from all of them); ``prepared`` has no such bound.
+TRAIN_EXAMPLES = 400_000
+#: Rows, by their repeats, that one task trains on; more are shared out.
+SHARE_ROWS = 60_000
+#: Repeats of the joins, in proportion to their numbers, beside one for each kind of join.
+JOIN_REPEATS = 20_000
 #: Distinct misread words that a confusion is learnt from.
 LEAST_FORMS = 3
-#: Words on which the margin of the editor is calibrated.
-HELD_OUT = 1_500
 #: Hypotheses kept while a word is edited in more than two neighbouring places.
 BEAM = 32
 
@@ -74,11 +81,13 @@ def form_of(word: str) -> str:
 
 def vocabulary(pdf_pages: DataFrame) -> DataFrame:
     """(word, n): words of at least two text-layer pages with their places, in the form of ``key_of``."""
-    clean = pdf_pages.where("text_source = 'TEXT_LAYER' AND raw_text IS NOT NULL")
-    words = clean.select("page_id", F.explode(F.regexp_extract_all("raw_text", F.lit(r"([\p{L}\p{M}\p{N}]+(?:['’][\p{L}\p{M}\p{N}]+)*)"), 1)).alias("w"))
-    keys = words.where("NOT w RLIKE '^[0-9]+$'").select("page_id", F.when(F.col("w").rlike("[0-9]"), F.regexp_replace(F.lower("w"), "[0-9]", "0")).otherwise(F.lower("w")).alias("word"))
+    return _vocabulary(clean_tokens(pdf_pages))
+
+
+def _vocabulary(tokens: DataFrame) -> DataFrame:
+    keys = tokens.where("NOT w RLIKE '^[0-9]+$'").groupBy(_key("w").alias("word")).agg(F.sum("n").alias("n"), F.min("a").alias("a"), F.max("b").alias("b"))
     # two pages, not two rows: a redelivered page doesn't make its words known
-    return keys.groupBy("word").agg(F.count("*").alias("n"), F.min("page_id").alias("a"), F.max("page_id").alias("b")).where("a <> b").select("word", "n")
+    return keys.where("a <> b").select("word", "n")
 
 
 class Common:
@@ -122,18 +131,18 @@ class Perceptron:
         get = self.leads[a, b].get
         return sum([get(f, 0.0) for f in features])
 
-    def train(self, data: list[tuple[list[str], str]], epochs: int, seed: int = 7) -> Perceptron:
-        self.classes = sorted({y for _, y in data})
-        number = {c: i for i, c in enumerate(self.classes)}
+    def train(self, data: Iterable[tuple[list[str], str]], epochs: int, seed: int = 7) -> Perceptron:
         ids: dict[str, int] = {}
-        for x, _ in data:
-            for f in x:
-                ids.setdefault(f, len(ids) + 1)
-        examples = [np.array([ids[f] for f in x], np.int32) for x, _ in data]
-        wanted = [number[y] for _, y in data]
+        examples, labels = [], []
+        for x, y in data:
+            examples.append(np.array([ids.setdefault(f, len(ids) + 1) for f in x], np.int32))
+            labels.append(y)
+        self.classes = sorted(set(labels))
+        number = {c: i for i, c in enumerate(self.classes)}
+        wanted = [number[y] for y in labels]
         w = np.zeros((len(ids) + 1, len(self.classes)), np.float32)
         late = np.zeros_like(w)
-        step, order = 1, list(range(len(data)))
+        step, order = 1, list(range(len(examples)))
         shuffle = random.Random(seed).shuffle
         for _ in range(epochs):
             shuffle(order)
@@ -155,6 +164,50 @@ class Perceptron:
         return self
 
 
+def fitted(rows: DataFrame, examples: Callable[[list[tuple]], Iterable[tuple[list[str], str]]], epochs: int, seed: int) -> Perceptron:
+    """A perceptron on all rows; times, the last column, is how often a row is repeated.
+
+    The first column says which share a row goes to, so the model doesn't depend on how the rows lie.
+    """
+    names = rows.columns
+    total = rows.agg(F.sum("times")).first()[0]
+    model = Perceptron()
+    if not total:
+        return model
+    shares = -(-int(total) // SHARE_ROWS)
+
+    def train(table: pa.Table) -> pa.Table:
+        own, size, seen = Perceptron(), 0, set()
+
+        def counted() -> Iterator[tuple[list[str], str]]:
+            nonlocal size
+            for x, y in examples(sorted(zip(*(table.column(c).to_pylist() for c in names), strict=True))):
+                size += 1
+                seen.add((x[1][1:] if x[0] == "b" and x[1][0] == "c" else "", y))
+                yield x, y
+
+        own.train(counted(), epochs, seed)
+        out = [("size", "", "", size), *(("seen", a, y, 1) for a, y in sorted(seen))]
+        for f, i in own.ids.items():
+            # whole numbers, so that sums don't depend on their order
+            out += [("weight", f, own.classes[k], int(round(float(own.w[i, k]) * 65536)) * size) for k in np.nonzero(own.w[i])[0]]
+        return pa.table({"kind": pa.array([r[0] for r in out], pa.string()), "a": pa.array([r[1] for r in out], pa.string()), "b": pa.array([r[2] for r in out], pa.string()), "x": pa.array([r[3] for r in out], pa.int64())})
+
+    found = rows.withColumn("share", F.pmod(F.xxhash64(names[0]), F.lit(shares))).groupBy("share").applyInArrow(train, "kind string, a string, b string, x bigint").groupBy("kind", "a", "b").agg(F.sum("x").alias("x")).collect()
+    size = sum(r.x for r in found if r.kind == "size")
+    model.classes = sorted({r.b for r in found if r.kind == "seen"})
+    number = {c: i for i, c in enumerate(model.classes)}
+    weights = [(r.a, number[r.b], r.x / 65536 / max(1, size)) for r in found if r.kind == "weight"]
+    model.ids = {f: i + 1 for i, f in enumerate(sorted({f for f, *_ in weights}))}
+    model.w = np.zeros((len(model.ids) + 1, max(1, len(model.classes))), np.float32)
+    for f, k, x in weights:
+        model.w[model.ids[f], k] = x
+    # the operations that occur at a character: others have no score there that means anything
+    for a, y in sorted((r.a, r.b) for r in found if r.kind == "seen" and r.a and r.b != "K"):
+        model.seen_with.setdefault(a, []).append(number[y])
+    return model
+
+
 # ---- confusions -------------------------------------------------------------------------------
 
 
@@ -205,6 +258,31 @@ def learnt_confusions(unknown: Counter, words: set[str]) -> list[tuple[str, str,
     return [(true, read, n**0.5) for (true, read), n in sorted(times.items()) if n >= LEAST_FORMS]
 
 
+def confusions_of(forms: DataFrame, words: DataFrame) -> list[tuple[str, str, float]]:
+    """``learnt_confusions`` of all forms and words, by a join on what stays when a place is taken out."""
+
+    def gaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, 2000):
+                rows = [
+                    (xxhash.xxh64_intdigest(f"{before}\n{behind}".encode("utf-8", "surrogatepass")) - (1 << 63), own, out, len(before))
+                    for own in batch.column(0).slice(start, 2000).to_pylist() for before, out, behind in _gaps(own) if len(before) + len(behind) > 2
+                ]
+                yield _columns(rows, ["key", "own", "out", "at"], pa.int64(), pa.string(), pa.string(), pa.int32())
+
+    schema = "key bigint, own string, out string, at int"
+    a = forms.select("form").mapInArrow(gaps, schema).selectExpr("key", "own AS form", "out AS read", "at")
+    b = words.select("word").mapInArrow(gaps, schema).selectExpr("key", "own AS word", "out AS meant", "at")
+    pairs = a.join(b, ["key", "at"]).where("left(form, at) = left(word, at) AND substr(form, at + 1 + length(read)) = substr(word, at + 1 + length(meant))")
+    # one place: nothing in common at its ends, and something changes
+    pairs = pairs.where("meant <> read AND NOT (meant <> '' AND read <> '' AND (left(meant, 1) = left(read, 1) OR right(meant, 1) = right(read, 1)))")
+    pairs = pairs.select("form", "meant", "read").distinct().withColumn("size", F.expr("length(meant) + length(read)"))
+    by_form = Window.partitionBy("form")
+    best = pairs.withColumn("least", F.min("size").over(by_form)).where("size = least").withColumn("parts", F.count("*").over(by_form))
+    times = best.groupBy("meant", "read").agg(F.round(F.sum(1 / F.col("parts")), 6).alias("n")).where(F.col("n") >= LEAST_FORMS).collect()
+    return sorted((r.meant, r.read, r.n**0.5) for r in times)
+
+
 def operations(read: str, true: str) -> list[str]:
     """One operation for each character read (K keep, D delete, R replace, I insert behind) that gives what is true."""
     if not read:
@@ -358,43 +436,101 @@ class Editor:
         return next((x for x in self.candidates(form) if x[1] in known), None)
 
 
-def calibrated(editor: Editor, pages: list[str], scans: list[str], known: Common, confusions: Confusions, seed: int = 17) -> float:
-    """The gain over keeping from which on an edit is more often right than wrong.
+def word_examples(rows: list[tuple], confusions: Confusions, seed: int) -> Iterator[tuple[list[str], str]]:
+    """Of (form, times): each form misread or kept."""
+    for form, times in rows:
+        rng = random.Random(f"{seed} {form}")
+        for _ in range(times):
+            if rng.random() < 0.7 and (made := confusions.corrupt(form, rng)):
+                yield from ((char_features(made[0], i), op) for i, op in enumerate(made[1]))
+            elif rng.random() < 0.5:
+                yield from ((char_features(form, i), "K") for i in range(len(form)))
+
+
+def _key(column: str):
+    """``key_of`` in SQL."""
+    return F.when(F.col(column).rlike("[0-9]"), F.regexp_replace(F.lower(column), "[0-9]", "0")).otherwise(F.lower(column))
+
+
+def clean_tokens(pdf_pages: DataFrame) -> DataFrame:
+    """(w, n, a, b): each word of the text-layer pages as written, how often, and the first and last page with it."""
+    clean = pdf_pages.where("text_source = 'TEXT_LAYER' AND raw_text IS NOT NULL")
+    words = clean.select("page_id", F.explode(F.regexp_extract_all("raw_text", F.lit(r"([\p{L}\p{M}\p{N}]+(?:['’][\p{L}\p{M}\p{N}]+)*)"), 1)).alias("w"))
+    return words.groupBy("w").agg(F.count("*").alias("n"), F.min("page_id").alias("a"), F.max("page_id").alias("b"))
+
 
-    Right edits come from corrupted words. Wrong ones come from words of clean pages that are not common but
-    have a common neighbour. How often either stands among the unknown words of a scan is estimated from the
-    rates of unknown words in scanned and in clean pages.
+def clean_forms(tokens: DataFrame) -> DataFrame:
+    """(form, form_key, n) of all words with at least two characters in scripts with spaces."""
+
+    def forms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(form := form_of(w), key_of(form), n) for t, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for w in _TOKEN.findall(t) if len(w) > 1 and not _SPACELESS.search(w)]
+            yield _columns(rows, ["form", "form_key", "n"], pa.string(), pa.string(), pa.int64())
+
+    return tokens.select("w", "n").mapInArrow(forms, "form string, form_key string, n bigint").groupBy("form", "form_key").agg(F.sum("n").alias("n"))
+
+
+def fitted_joins(pdf_pages: DataFrame, tokens: DataFrame, words: DataFrame) -> Perceptron:
+    """The model of broken lines: all places where a clean word of letters can break, and all compounds, whose mark stays."""
+    broken = tokens.where(r"w RLIKE '^\\p{L}{6,}$'").select("w", "n", F.explode(F.expr("sequence(2, length(w) - 3)")).alias("k"))
+    broken = broken.selectExpr("left(w, k) AS l", "substr(w, k + 1) AS r", "'J' AS label", "greatest(1, 15 * n div (length(w) - 4)) AS n")
+    clean = pdf_pages.where("text_source = 'TEXT_LAYER' AND raw_text IS NOT NULL")
+    pairs = clean.select(F.explode(F.regexp_extract_all("raw_text", F.lit(r"([\p{L}\p{N}]+-[\p{L}\p{N}]+)"), 1)).alias("w")).groupBy("w").agg(F.count("*").alias("n"))
+    parts = broken.unionByName(pairs.selectExpr("substring_index(w, '-', 1) AS l", "substring_index(w, '-', -1) AS r", "'K' AS label", "120 * n AS n"))
+    parts = parts.withColumn("lr", F.concat("l", "r"))
+    for name in ("lr", "l", "r"):
+        held = words.select(F.col("word").alias(f"{name}_key"), F.lit(True).alias(f"{name}_held"))
+        parts = parts.withColumn(f"{name}_key", _key(name)).join(held, f"{name}_key", "left").withColumn(f"{name}_known", F.col(f"{name}_held").isNotNull() | F.col(name).rlike("^[0-9]+$"))
+
+    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows: Counter = Counter()
+            for left, right, label, n, *known in zip(*(batch.column(i).to_pylist() for i in range(7)), strict=True):
+                for mark in BREAK_MARKS:
+                    rows["\x1f".join(join_features(left, mark, right, _state(*known))), label] += n * (7 if label == "K" and mark == "-" else 1)
+            yield _columns([(*k, n) for k, n in rows.items()], ["features", "label", "n"], pa.string(), pa.string(), pa.int64())
+
+    found = parts.select("l", "r", "label", "n", "lr_known", "l_known", "r_known").mapInArrow(features, "features string, label string, n bigint").groupBy("features", "label").agg(F.sum("n").alias("n")).collect()
+    # kinds of joins are few, whatever the corpus
+    total = sum(r.n for r in found)
+    data = [(r.features.split("\x1f"), r.label) for r in sorted(found) for _ in range(1 + r.n * JOIN_REPEATS // total)]
+    return Perceptron().train(data, 3) if data else Perceptron()
+
+
+def fitted_margin(spark: SparkSession, editor: Editor, forms: DataFrame, words: DataFrame, rare: DataFrame, common: Common, packed: np.ndarray, confusions: Confusions, rate_scan: float, seed: int = 17) -> float:
+    """The gain over keeping from which on an edit is more often right than wrong, by steps of a hundredth.
+
+    Right edits come from all clean words, corrupted. Wrong ones come from all clean words that are not known
+    but have a known neighbour. How often either stands among the unknown words of a scan is estimated from
+    the rates of unknown words in scanned and in clean pages.
     """
-    rng = random.Random(seed)
-    words = sorted({w for t in pages for w in _TOKEN.findall(t) if len(w) > 2 and not _SPACELESS.search(w)})
-    rng.shuffle(words)
-    right = []
-    for w in words[:HELD_OUT]:
-        made = confusions.corrupt(form_of(w), rng)
-        if made and made[0] not in known and (got := editor.first(made[0], known)) and key_of(got[1]) == key_of(form_of(w)):
-            right.append(got[0])
-
-    def unknown(texts: list[str]) -> tuple[Counter, int]:
-        tokens = Counter(form_of(w) for t in texts for w in _TOKEN.findall(t) if len(w) > 1 and not _SPACELESS.search(w))
-        return Counter({f: n for f, n in tokens.items() if f not in known}), max(1, sum(tokens.values()))
-
-    (clean, n_clean), (scan, n_scan) = unknown(pages), unknown(scans)
-    rare = sorted(clean)
-    rng.shuffle(rare)
-    wrong = [got[0] for f in rare[:HELD_OUT] if (got := editor.first(f, known))]
-    rate_clean, rate_scan = sum(clean.values()) / n_clean, sum(scan.values()) / n_scan
+
+    def corrupted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(form, made[0], key_of(made[0])) for form in batch.column(0).to_pylist() if (made := confusions.corrupt(form, random.Random(f"{seed} {form}")))]
+            yield _columns(rows, ["wanted", "form", "form_key"], pa.string(), pa.string(), pa.string())
+
+    known = words.select(F.col("word").alias("form_key"))
+    unknown = lambda df: df.where("NOT form RLIKE '^[0-9]+$'").join(known, "form_key", "left_anti")
+    step = F.floor(F.col("gain") * 100).alias("step")
+    made = cut(unknown(forms.where("length(form) > 2").select("form").mapInArrow(corrupted, "wanted string, form string, form_key string")))
+    got = corrections(spark, made.select("form", "form_key").distinct(), rare, editor, common, packed).where("text IS NOT NULL")
+    right = Counter({r.step: r.n for r in made.drop("form_key").join(got, "form").withColumn("wanted_key", _key("wanted")).where(_key("text") == F.col("wanted_key")).groupBy(step).agg(F.count("*").alias("n")).collect()})
+    clean = cut(unknown(forms))
+    counts = clean.agg(F.count("*").alias("forms"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
+    wrong = Counter({r.step: r.n for r in corrections(spark, clean.select("form", "form_key"), rare, editor, common, packed).where("text IS NOT NULL").groupBy(step).agg(F.count("*").alias("n")).collect()}) if counts.forms else Counter()
+    rate_clean = counts.n / max(1, forms.agg(F.sum("n")).first()[0] or 0)
     share = min(1.0, max(0.0, 1 - rate_clean / rate_scan)) if rate_scan else 0.0  # of unknown words of a scan that are misread
     if not right:
         return float("inf")
     if not wrong:  # nothing tells against an edit
         return float("-inf")
-    weight_right = share * 1.0 / len(right)
-    weight_wrong = (1 - share) * (len(wrong) / min(len(rare), HELD_OUT)) / len(wrong)
+    weight_right, weight_wrong = share / right.total(), (1 - share) / counts.forms
     best, margin = -1.0, float("-inf")
-    for m in [float("-inf"), *sorted({*right, max(wrong) + 1e-3})]:
-        value = weight_right * sum(x >= m for x in right) + weight_wrong * sum(x < m for x in wrong)
+    for m in [float("-inf"), *sorted({*right, max(wrong) + 1})]:
+        value = weight_right * sum(n for x, n in right.items() if x >= m) + weight_wrong * sum(n for x, n in wrong.items() if x < m)
         if value > best + 1e-9:
-            best, margin = value, m
+            best, margin = value, m / 100
     return margin
 
 
@@ -477,30 +613,45 @@ def furniture_features(lines: list[str], header: str, footer: str, number: str,
     return {page.full[rank]: page.features(rank) for rank in range(n) if rank < EDGE_LINES or n - 1 - rank < EDGE_LINES}
 
 
-def train_furniture(pages: list[tuple[str, str, str, str, set[int]]], seed: int = 13) -> Perceptron:
-    """The furniture model from pages (text, header, footer, number, repeated keys): lines that the fields name are
-    furniture; the others are not where all three fields are given, and never away from the edges."""
-    rng, data = random.Random(seed), []
-    for text, header, footer, number, repeated in pages:
-        lines = text.split("\n")
-        feats = furniture_features(lines, header, footer, number, repeated)
-        named = {}
-        for i, (_, g) in feats.items():
-            named[i] = g[0] != "nearFalseFalse" or "numTrue" in g
-        seen = sum(named.values())
-        complete = bool(header and footer and number) and seen >= 3
-        full, _ = edges(lines)
-        place = {i: min(r, len(full) - 1 - r) for r, i in enumerate(full)}
-        for i, (f, g) in feats.items():
-            if not named[i] and not complete and place[i] < 2:
-                continue
-            label = "F" if named[i] and place[i] < 3 else "B"
-            data.append((f + g, label))
-            hidden = [x.replace("True", "False") if x.startswith(("near", "num", "rep")) or "near" in x or "num" in x else x for x in g]
-            data.append((f + hidden if rng.random() < 0.5 else f, label))
+def furniture_labels(text: str, header: str, footer: str, number: str, repeated: set[int]) -> Iterator[tuple[list[str], list[str], str]]:
+    """(features, features from fields, label) of the lines of a page: lines that the fields name are furniture; the
+    others are not where all three fields are given, and never away from the edges."""
+    lines = text.split("\n")
+    feats = furniture_features(lines, header, footer, number, repeated)
+    named = {i: g[0] != "nearFalseFalse" or "numTrue" in g for i, (_, g) in feats.items()}
+    complete = bool(header and footer and number) and sum(named.values()) >= 3
+    full, _ = edges(lines)
+    place = {i: min(r, len(full) - 1 - r) for r, i in enumerate(full)}
+    for i, (f, g) in feats.items():
+        if named[i] or complete or place[i] >= 2:
+            yield f, g, "F" if named[i] and place[i] < 3 else "B"
+
+
+def line_examples(rows: list[tuple]) -> Iterator[tuple[list[str], str]]:
+    """Of (features, features from fields, label, times): each line as it is, and without its fields."""
+    for first, second, label, times in rows:
+        f, g = first.split("\x1f"), second.split("\x1f")
+        hidden = [x.replace("True", "False") if x.startswith(("near", "num", "rep")) or "near" in x or "num" in x else x for x in g]
+        odd = xxhash.xxh64_intdigest(first) & 1
+        for k in range(times):
+            yield f + g, label
+            yield f + hidden if (k + odd) % 2 else f, label
             if label == "B" and not {"lc4", "lc5", "lc6"}.isdisjoint(f):  # a sentence may open several pages of a document
-                data.append((f + [x.replace("repFalse", "repTrue") for x in hidden], label))
-    return Perceptron().train(data, 6) if data else Perceptron()
+                yield f + [x.replace("repFalse", "repTrue") for x in hidden], label
+
+
+def fitted_furniture(pages: DataFrame) -> Perceptron:
+    """The furniture model, from all scanned pages with their repeated lines; equal lines are one row, repeated by the root of their number."""
+
+    def labels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows: Counter = Counter()
+            for text, header, footer, number, repeated in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+                rows.update(("\x1f".join(f), "\x1f".join(g), label) for f, g, label in furniture_labels(text, header or "", footer or "", number or "", set(repeated or ())))
+            yield _columns([(*k, n) for k, n in rows.items()], ["first", "second", "label", "n"], pa.string(), pa.string(), pa.string(), pa.int64())
+
+    rows = pages.select("raw_text", "header_text", "footer_text", "page_number", "repeated").mapInArrow(labels, "first string, second string, label string, n bigint")
+    return fitted(cut(rows.groupBy("first", "second", "label").agg(F.ceil(F.sqrt(F.sum("n"))).alias("times"))), line_examples, 6, 7)
 
 
 def furniture_lines(lines: list[str], header: str, footer: str, number: str, repeated: set[int], model: Perceptron) -> set[int]:
@@ -520,13 +671,13 @@ def furniture_lines(lines: list[str], header: str, footer: str, number: str, rep
 
 
 class Repairer:
-    """Both models, as the workers use them. What is known of a page's words comes with the page."""
+    """The models of lines, as the workers use them. What is known of a page's words comes with the page."""
 
-    def __init__(self, editor: Perceptron, furniture: Perceptron):
-        self.editor, self.furniture = editor, furniture
+    def __init__(self, joins: Perceptron, furniture: Perceptron):
+        self.joins, self.furniture = joins, furniture
 
     def joined(self, left: str, mark: str, right: str, state: str) -> bool:
-        return self.editor.lead(join_features(left, mark, right, state), "J", "K") > 0
+        return self.joins.lead(join_features(left, mark, right, state), "J", "K") > 0
 
     def marks(self, text: str, header: str, footer: str, number: str, repeated: set[int], unknown: dict[str, tuple[str, list[int]] | None]) -> tuple[list[str], set[int], dict[int, int], set[int], dict[int, list[tuple[int, int, str]]]]:
         """(lines, furniture, broken line -> the line it goes on in, misread lines, line -> corrections (start, end, new)).
@@ -613,7 +764,8 @@ def scanned(pdf_pages: DataFrame) -> DataFrame:
 
 
 def facts(spark: SparkSession, pages: DataFrame, common: Common) -> DataFrame:
-    """(doc_id, page_id, line_key, form, form_key): of each page the keys of its edge lines, and the words that are not common.
+    """(doc_id, page_id, line_key, form, form_key, n, alone): of each page the keys of its edge lines, the words that are
+    not common, how often and how often not as the half of a broken word, and in a row without both the number of all words.
 
     One pass over the texts, written once. Words are forms of at least two characters in scripts with
     spaces; the two halves of a broken word count as one word too.
@@ -631,26 +783,32 @@ def facts(spark: SparkSession, pages: DataFrame, common: Common) -> DataFrame:
             return done[word]
 
         for batch in batches:
-            docs, ids, keys, forms = [], [], [], []
+            docs, ids, keys, forms, times, whole = [], [], [], [], [], []
             for page, doc, text, header, footer in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
                 lines = text.split("\n")
                 full, _ = edges(lines)
                 some = {lines[i] for i in full[:3] + full[-2:]}
                 some |= {x for t in (header, footer) if t for x in (t, *re.split(r" {2,}", t))}
                 found = sorted({k for x in some if (k := _repeat_key(x)) is not None})
-                words = set(_TOKEN.findall(text))
-                words |= {pair[0][1] + pair[1][1] for a, b in zip(full, full[1:], strict=False) if (pair := _broken(lines[a], lines[b]))}
-                own = sorted({f for w in words if (f := rare(w))})
-                docs += [doc] * (len(found) + len(own))
-                ids += [page] * (len(found) + len(own))
-                keys += [*found, *[None] * len(own)]
-                forms += [*[None] * len(found), *own]
+                words = Counter(_TOKEN.findall(text))
+                pairs = [pair for a, b in zip(full, full[1:], strict=False) if (pair := _broken(lines[a], lines[b]))]
+                seen, halves = Counter({f: 0 for l, r in pairs if (f := rare(l[1] + r[1]))}), Counter(f for pair in pairs for m in pair if (f := rare(m[1])))  # noqa: E741
+                for w, n in words.items():
+                    if f := rare(w):
+                        seen[f] += n
+                own = sorted(seen)
+                docs += [doc] * (len(found) + len(own) + 1)
+                ids += [page] * (len(found) + len(own) + 1)
+                keys += [*found, *[None] * (len(own) + 1)]
+                forms += [*[None] * len(found), *own, None]
+                times += [*[None] * len(found), *(seen[f] for f in own), sum(n for w, n in words.items() if len(w) > 1 and not _SPACELESS.search(w))]
+                whole += [*[None] * len(found), *(seen[f] - halves[f] for f in own), None]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(docs, pa.int64()), pa.array(ids, pa.int64()), pa.array(keys, pa.int64()), pa.array(forms, pa.string()), pa.array([None if f is None else key_of(f) for f in forms], pa.string())],
-                names=["doc_id", "page_id", "line_key", "form", "form_key"],
+                [pa.array(docs, pa.int64()), pa.array(ids, pa.int64()), pa.array(keys, pa.int64()), pa.array(forms, pa.string()), pa.array([None if f is None else key_of(f) for f in forms], pa.string()), pa.array(times, pa.int64()), pa.array(whole, pa.int64())],
+                names=["doc_id", "page_id", "line_key", "form", "form_key", "n", "alone"],
             )
 
-    return cut(pages.select("page_id", "doc_id", "raw_text", "header_text", "footer_text").mapInArrow(look, "doc_id bigint, page_id bigint, line_key bigint, form string, form_key string"))
+    return cut(pages.select("page_id", "doc_id", "raw_text", "header_text", "footer_text").mapInArrow(look, "doc_id bigint, page_id bigint, line_key bigint, form string, form_key string, n bigint, alone bigint"))
 
 
 def with_repeats(pages: DataFrame, seen: DataFrame) -> DataFrame:
@@ -683,29 +841,29 @@ def candidate_filter(rare: DataFrame) -> np.ndarray:
     return np.packbits(flags, bitorder="little")
 
 
-def corrections(spark: SparkSession, forms: DataFrame, rare: DataFrame, editor: Editor, common: Common) -> DataFrame:
-    """(form, text, at): every unknown form with its best known correction, or null. forms: form, form_key, distinct.
+def corrections(spark: SparkSession, forms: DataFrame, rare: DataFrame, editor: Editor, common: Common, packed: np.ndarray | None = None) -> DataFrame:
+    """(form, text, at, gain): every unknown form with its best known correction, or null. forms: form, form_key, distinct.
 
     The editor's candidates go by rank up to the first common word; those before it are looked up in the
     rest of the vocabulary by a join, and the best one that is found counts.
     """
-    packed = candidate_filter(rare)
+    packed = candidate_filter(rare) if packed is None else packed
     sent = spark.sparkContext.broadcast((editor, common, packed))
 
     def propose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, known, bits = sent.value
-        schema = pa.schema([("form", pa.string()), ("rank", pa.int32()), ("text", pa.string()), ("text_key", pa.string()), ("at", pa.list_(pa.int32())), ("sure", pa.bool_())])
+        schema = pa.schema([("form", pa.string()), ("rank", pa.int32()), ("text", pa.string()), ("text_key", pa.string()), ("at", pa.list_(pa.int32())), ("gain", pa.float64()), ("sure", pa.bool_())])
 
         def rows(form: str) -> Iterator[tuple]:
             rank = 0
-            for rank, (_, text, at) in enumerate(own.candidates(form)):
+            for rank, (gain, text, at) in enumerate(own.candidates(form)):
                 if text in known:
-                    yield form, rank, text, None, at, True
+                    yield form, rank, text, None, at, gain, True
                     return
                 key = key_of(text)
                 if all(bits[b >> 3] >> (b & 7) & 1 for b in _bits(key)):
-                    yield form, rank, text, key, at, False
-            yield form, rank + 1, None, None, None, True
+                    yield form, rank, text, key, at, gain, False
+            yield form, rank + 1, None, None, None, None, True
 
         for batch in batches:
             for start in range(0, batch.num_rows, 2000):
@@ -713,40 +871,34 @@ def corrections(spark: SparkSession, forms: DataFrame, rare: DataFrame, editor:
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], f.type) for i, f in enumerate(schema)], schema=schema)
 
     unknown = forms.join(rare.select(F.col("word").alias("form_key")), "form_key", "left_anti").select("form")
-    proposed = unknown.mapInArrow(propose, "form string, rank int, text string, text_key string, at array<int>, sure boolean")
+    proposed = unknown.mapInArrow(propose, "form string, rank int, text string, text_key string, at array<int>, gain double, sure boolean")
     checked = proposed.join(rare.select(F.col("word").alias("text_key"), F.lit(True).alias("held")), "text_key", "left").where("sure OR held")
-    return checked.groupBy("form").agg(F.min_by(F.struct("text", "at"), "rank").alias("c")).select("form", "c.*")
-
-
-def _sample(df: DataFrame, n: int, bound: int) -> DataFrame:
-    """Of n rows at most about ``bound``, chosen by a hash of the page id."""
-    return df if n <= bound else df.where(F.pmod(F.xxhash64("page_id", F.lit(3)), F.lit(1 << 20)) < int((1 << 20) * bound / n))
+    return checked.groupBy("form").agg(F.min_by(F.struct("text", "at", "gain"), "rank").alias("c")).select("form", "c.*")
 
 
 def prepared(spark: SparkSession, pdf_pages: DataFrame) -> tuple[DataFrame, Repairer]:
-    """(scanned pages with all that is known of their lines and words, both models)."""
+    """(scanned pages with all that is known of their lines and words, the models of lines), fitted on all pages."""
     pages = scanned(pdf_pages)
-    words = cut(vocabulary(pdf_pages))
+    tokens = cut(clean_tokens(pdf_pages))
+    words = cut(_vocabulary(tokens))
     top = words.orderBy(F.desc("n"), "word").limit(COMMON_WORDS)
     common = Common({r.word for r in top.select("word").collect()})
     longest = words.agg(F.max(F.length("word"))).first()[0] or 0
     rare = words.join(F.broadcast(spark.createDataFrame([(w,) for w in common.words] or [("",)], "word string")), "word", "left_anti")
+    packed = candidate_filter(rare)
     seen = facts(spark, pages, common)
     repeated = with_repeats(pages, seen)
-    # the models are fitted on bounded samples of pages
-    clean_pages = pdf_pages.where("text_source = 'TEXT_LAYER' AND raw_text IS NOT NULL").select("page_id", "raw_text")
-    clean = sorted(r.raw_text for r in _sample(clean_pages, clean_pages.count(), TRAIN_PAGES).collect())
-    scans = _sample(repeated, pages.count(), TRAIN_SCANS).select("raw_text", "header_text", "footer_text", "page_number", "repeated").collect()
-    named = sorted(((r.raw_text, r.header_text or "", r.footer_text or "", r.page_number or "", set(r.repeated or ())) for r in scans), key=lambda x: x[0])
-    texts = [x[0] for x in named]
-    confusions = Confusions(learnt_confusions(whole_unknown(texts, common), common.words))
-    model = train_editor(clean, common, confusions)
-    editor = Editor(model, longest)
-    editor.margin = calibrated(editor, clean, texts, common, confusions)
-    lookups = seen.where("form IS NOT NULL").select("page_id", "form", "form_key").distinct()
-    fixed = corrections(spark, lookups.select("form", "form_key").distinct(), rare, editor, common)
-    by_page = lookups.select("page_id", "form").join(fixed, "form").groupBy("page_id").agg(F.collect_list(F.struct("form", "text", "at")).alias("unknown"))
-    return repeated.join(by_page, "page_id", "left"), Repairer(model, train_furniture(named))
+    once = seen.where("line_key IS NULL").select("page_id", "form", "form_key", "n", "alone").distinct()
+    unknown = cut(once.join(rare.select(F.col("word").alias("form_key")), "form_key", "left_anti").groupBy("form", "form_key").agg(F.sum("n").alias("n"), F.sum("alone").alias("alone")))
+    rates = unknown.agg(F.coalesce(F.sum(F.when(F.col("form").isNotNull(), F.col("n"))), F.lit(0)).alias("unknown"), F.coalesce(F.sum(F.when(F.col("form").isNull(), F.col("n"))), F.lit(0)).alias("all")).first()
+    # a form can't be a known word in all but one place if it is longer by more than that place
+    confusions = Confusions(confusions_of(unknown.where(f"alone > 0 AND length(form) BETWEEN 4 AND {longest + 2}"), words))
+    forms = cut(clean_forms(tokens))
+    editor = Editor(fitted(forms.select("form", (F.floor(F.log2("n")) + 1).alias("times")), lambda rows: word_examples(rows, confusions, 11), 3, 7), longest)
+    editor.margin = fitted_margin(spark, editor, forms, words, rare, common, packed, confusions, rates.unknown / max(1, rates.all))
+    fixed = corrections(spark, unknown.where("form IS NOT NULL").select("form", "form_key"), rare, editor, common, packed)
+    by_page = once.where("form IS NOT NULL").select("page_id", "form").join(fixed, "form").groupBy("page_id").agg(F.collect_list(F.struct("form", "text", "at")).alias("unknown"))
+    return repeated.join(by_page, "page_id", "left"), Repairer(fitted_joins(pdf_pages, tokens, words), fitted_furniture(repeated))
 
 
 def _run(spark: SparkSession, pdf_pages: DataFrame, one, schema: str) -> DataFrame:

@@ -141,3 +141,27 @@ def test_the_bound_of_examples_takes_from_all_pages(monkeypatch):
     pages = ["alpha " * 400, "zulu " * 400]
     data = ocr.editor_examples(pages, ocr.Common({"alpha", "zulu"}), ocr.Confusions([("a", "o", 1.0), ("u", "v", 1.0)]), 11)
     assert len(data) == 200 and {"ca", "co", "cv"} <= {x[1] for x, _ in data}
+
+
+def test_the_models_are_fitted_on_all_pages(spark):
+    """A confusion that only three of 2,500 scanned pages show is learnt, whichever pages these are."""
+    words = "pressure vessel nozzle reading flange number support inspection external maintenance".split()
+    clean = [(10_000 + i, 1, 0, " ".join(words), None, None, None, "TEXT_LAYER", "") for i in range(3)]
+    odd = {i: w.replace("e", "q", 1) for i, w in zip(ODD_PAGES, ("pressure", "vessel", "reading"), strict=True)}
+    scans = [(i, 1, i, "\n".join([words[i % 10], f"the {odd.get(i, words[i % 7])} of", words[i % 9]]), None, None, None, "OCR", "") for i in range(2_500)]
+    got = {(r.page_id, r.line_no) for r in ocr.defects(spark, spark.createDataFrame(scans + clean, PAGE)).where("kind = 'CHARS'").collect()}
+    assert got == {(i, 1) for i in odd}
+
+
+#: Pages that a choice of 1,500 by the hash of the page id left out.
+ODD_PAGES = (1, 4, 7)
+
+
+def test_a_model_depends_on_its_rows_only(spark, monkeypatch):
+    rows = spark.createDataFrame([(w, 1 + i % 3) for i, w in enumerate(" ".join(SENTENCES).lower().replace(".", "").replace(",", "").split())], "form string, times long").dropDuplicates(["form"])
+    confusions = ocr.Confusions([("e", "c", 1.0), ("l", "i", 1.0)])
+    for bound in (60_000, 20):  # one share, and several
+        monkeypatch.setattr(ocr, "SHARE_ROWS", bound)
+        a, b = (ocr.fitted(rows.repartition(n), lambda given: ocr.word_examples(given, confusions, 11), 3, 7) for n in (1, 5))
+        assert a.ids == b.ids and a.classes == b.classes and np.array_equal(a.w, b.w) and a.seen_with == b.seen_with
+        assert {"K", "Re"} <= set(a.classes) and a.classes.index("Re") in a.seen_with["c"]
